@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, neardup, packing, sharding, suffixes, toxicity
+from . import bpe, embeddings, neardup, packing, sharding, suffixes, syncmers, toxicity
 from .common import read_table
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_embeddings": op7_embeddings,
     "op8_packing": op8_packing,
+    "op9_syncmers": op9_syncmers,
     "op10_bpe": op10_bpe,
 }
 
