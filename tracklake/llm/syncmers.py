@@ -31,20 +31,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def syncmer_places(data: Column, k: int = K, s: int = S) -> Column:
-    """Places (from 1, in bytes) of the closed syncmers of a binary value."""
-    w = k - s
-
-    def closed(h: Column, i: Column) -> Column:
-        first, last = F.get(h, i - 1), F.get(h, i + (w - 1))
-        # From the middle outwards, where a smaller hash is as likely as anywhere; most places fail at once.
-        inner = sorted(range(1, w), key=lambda j: abs(j - w / 2))
-        by_first, by_last = first <= last, last <= first
-        for j in inner:
-            by_first, by_last = by_first & (first <= F.get(h, i + (j - 1))), by_last & (last <= F.get(h, i + (j - 1)))
-        return by_first | by_last
+    """Places (from 1, in bytes) of the closed syncmers of a binary value: whole arrays of hashes are compared shift by shift."""
+    w = k - s  # the inner strings of a place are w + 1
+
+    def least(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda x, y: F.least(x, y))
+
+    def later(a: Column, by: int) -> Column:
+        return F.slice(a, F.lit(by + 1), F.greatest(F.size(a) - by, F.lit(0)))
+
+    def doubled(h: Column, m: Column, width: int) -> Column:
+        """Least of w + 1 neighbours, from the least of `width` of them."""
+        if 2 * width <= w + 1:
+            return let(least(m, later(m, width)), lambda x: doubled(h, x, 2 * width))
+        return m if width == w + 1 else least(m, later(m, w + 1 - width))
+
+    def places(h: Column) -> Column:
+        edges = least(h, later(h, w))
+        hits = F.zip_with(edges, doubled(h, h, 1), lambda x, y: x == y)
+        marked = F.transform(F.slice(hits, F.lit(1), F.size(h) - w), lambda hit, i: F.when(hit, i + 1))
+        return F.filter(marked, lambda i: i.isNotNull())
 
     hashes = F.transform(F.sequence(F.lit(1), F.length(data) - (s - 1)), lambda i: F.xxhash64(F.substring(data, i, F.lit(s))))
-    return let(hashes, lambda h: F.filter(F.sequence(F.lit(1), F.length(data) - (k - 1)), lambda i: closed(h, i)))
+    return let(hashes, places)
 
 
 def anchors(data: Column, k: int = K, s: int = S) -> Column:
@@ -79,14 +88,15 @@ def _own(docs: DataFrame) -> DataFrame:
     """Each document with what it needs of itself: its sketch, and the sketch of its first half."""
     docs = docs.withColumn("n", F.length("text")).withColumn("front", F.expr("left(text, n - n div 2)"))
 
-    def sketches(data: Column) -> Column:
+    def sketches(given: Column) -> Column:
         def of(found: Column) -> Column:
-            inside = F.size(F.filter(found["places"], lambda i: i <= F.octet_length("front") - (K - 1)))
+            inside = F.size(F.filter(found["places"], lambda i: i <= given["end"]))
             return F.struct(sketch(found["values"]).alias("own"), sketch(F.slice(found["values"], F.lit(1), inside)).alias("half"))
 
-        return let(anchors(data), of)
+        return let(anchors(given["data"]), of)
 
-    return docs.withColumn("s", let(F.encode("text", "UTF-8"), sketches)).select("id", "doc_id", "block", "ghost", "h", "text", "n", F.col("s.own").alias("own"), F.col("s.half").alias("half"))
+    given = F.struct(F.encode("text", "UTF-8").alias("data"), (F.octet_length("front") - (K - 1)).alias("end"))
+    return docs.withColumn("s", let(given, sketches)).select("id", "doc_id", "block", "ghost", "h", "text", "n", F.col("s.own").alias("own"), F.col("s.half").alias("half"))
 
 
 def fingerprints(docs: DataFrame, block: int = BLOCK) -> DataFrame:
