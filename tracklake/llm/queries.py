@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, neardup, packing, sharding, suffixes, syncmers, toxicity
+from . import bpe, embeddings, neardup, packing, pages, sharding, suffixes, syncmers, toxicity
 from .common import read_table
 
 
@@ -27,6 +27,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffixes": op2_suffixes,
     "op3_minhash": op3_minhash,
+    "op4_pages": op4_pages,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_embeddings": op7_embeddings,
