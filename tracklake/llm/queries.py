@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, neardup, packing, pages, sharding, suffixes, syncmers, toxicity
+from . import bpe, embeddings, licences, neardup, packing, pages, sharding, suffixes, syncmers, toxicity
 from .common import read_table
 
 
@@ -19,6 +19,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(licences.document_paths(read_table(spark, sf_dir, "documents")))
+
+
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licences": op1_licences,
     "op2_suffixes": op2_suffixes,
     "op3_minhash": op3_minhash,
     "op4_pages": op4_pages,
@@ -59,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_licences": licences.oracle()}
