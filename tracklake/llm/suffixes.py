@@ -41,10 +41,10 @@ GRAM = 24
 REACH = SPAN - GRAM  # bytes of a window before or after its anchor, at most
 BLOCK_BYTES = 4 << 20
 #: Text bytes for each bucket of hashes and of suffixes.
-HASH_BUCKET_BYTES = 64 << 20
+HASH_BUCKET_BYTES = 16 << 20
 SUFFIX_BUCKET_BYTES = 24 << 20
-#: Sampled anchors for the splitters, at most.
-SAMPLE = 65_536
+#: Blocks sampled for the splitters, and anchors of each, at most.
+SAMPLE_BLOCKS, SAMPLE_ANCHORS = 64, 1024
 NOBODY = np.iinfo(np.int64).max
 
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -306,26 +306,30 @@ def write_blocks(docs: DataFrame, rest: bool) -> tuple[DataFrame, int]:
     return table, table.agg(F.sum("n_bytes")).first()[0] or 0
 
 
-def shared_anchors(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(block, marks): bits for each block's distinct hashes; and sampled anchors with a random order."""
+def rows_of(batches):
+    """Rows one by one, so that only one block's bytes are copied at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [c[i].as_py() for c in batch.columns]
+
+
+def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, marks): bits for each block's distinct hashes."""
 
     def send(batches):
-        for batch in batches:
-            for number, *parts in zip(*(c.to_pylist() for c in batch.columns)):
-                block = Block(*parts)
-                kinds, several, bounds, inverse = block.distinct(buckets)
-                out = []
-                for k in range(buckets):
-                    a, b = bounds[k], bounds[k + 1]
-                    if a < b:
-                        # Six bytes of each hash: the others would rarely change the answer, and only for the better.
-                        six = kinds[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                        out.append((k, number, six.tobytes(), np.packbits(several[a:b]).tobytes(), None))
-                least = np.argsort(block.hash * M3)[:64]
-                out.append((-1, number, None, None, b"".join(block.text[p : p + GRAM].tobytes() for p in block.anchor[least].tolist())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "block", "hashes", "several", "sample"])
-
-    sent = materialize(mapped(blocks.select("block", "ids", "ends", "body"), send, "bucket int, block long, hashes binary, several binary, sample binary"), "suffix-hashes", "none")
+        for number, *parts in rows_of(batches):
+            kinds, several, bounds, _ = Block(*parts).distinct(buckets)
+            out = []
+            for k in range(buckets):
+                a, b = bounds[k], bounds[k + 1]
+                if a < b:
+                    # Six bytes of each hash: the others would rarely change the answer, and only for the better.
+                    six = kinds[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                    out.append((k, number, six.tobytes(), np.packbits(several[a:b]).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "hashes", "several"])
+
+    sent = mapped(blocks.select("block", "ids", "ends", "body"), send, "bucket int, block long, hashes binary, several binary")
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = [len(h) // 6 for h in rows["hashes"]]
@@ -342,13 +346,20 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> tuple[DataFrame, DataFram
         parts = np.split(marks, np.cumsum(sizes)[:-1])
         return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "marks": [np.packbits(p).tobytes() for p in parts]})
 
-    marks = sent.filter("bucket >= 0").groupBy("bucket").applyInPandas(mark, "block long, bucket int, marks binary")
-    return materialize(marks, "suffix-marks"), sent.filter("bucket < 0").select("block", "sample")
+    return materialize(sent.groupBy("bucket").applyInPandas(mark, "block long, bucket int, marks binary"), "suffix-marks")
+
 
+def splitters_of(blocks: DataFrame, count: int) -> np.ndarray:
+    """Anchors that cut those of some blocks, a bounded sample, into `count` even ranges."""
 
-def splitters_of(samples: DataFrame, count: int) -> np.ndarray:
-    """Anchors that cut the sampled ones into `count` even ranges."""
-    rows = samples.orderBy(F.xxhash64("block")).limit(SAMPLE // 64).collect()
+    def sample(batches):
+        for ids, ends, body in rows_of(batches):
+            block = Block(ids, ends, body)
+            least = np.argsort(block.hash * M3)[:SAMPLE_ANCHORS]
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(block.text[p : p + GRAM].tobytes() for p in block.anchor[least].tolist())], pa.binary())], ["sample"])
+
+    few = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).collect()]
+    rows = mapped(blocks.filter(F.col("block").isin(few)).select("ids", "ends", "body"), sample, "sample binary").collect()
     grams = np.frombuffer(b"".join(r["sample"] for r in rows), f"S{GRAM}")
     if count < 2 or not len(grams):
         return np.zeros(0, f"S{GRAM}")
@@ -375,15 +386,14 @@ def compared(blocks: DataFrame, marks: DataFrame, buckets: int, splitters: np.nd
     """(block, bucket, found): for each block's suffixes of a bucket, documents smaller than the block's own."""
 
     def send(batches):
-        for batch in batches:
-            for number, ids, ends, body, mark in zip(*(c.to_pylist() for c in batch.columns)):
-                block = Block(ids, ends, body)
-                _, _, rows, who, bucket = block.suffixes(marked_runs(block, mark, buckets), splitters)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
-                out = [(int(bucket[part[0]]), number, squeeze(rows[part].tobytes()), squeeze(who[part].tobytes())) for part in np.split(order, cuts[1:])] if len(order) else []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "rows", "who"])
+        for number, ids, ends, body, mark in rows_of(batches):
+            block = Block(ids, ends, body)
+            _, _, rows, who, bucket = block.suffixes(marked_runs(block, mark, buckets), splitters)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
+            out = [(int(bucket[part[0]]), number, squeeze(rows[part].tobytes()), squeeze(who[part].tobytes())) for part in np.split(order, cuts[1:])] if len(order) else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "rows", "who"])
 
     def sort_bucket(parts: pd.DataFrame) -> pd.DataFrame:
         parts = parts.sort_values("block", kind="stable")
@@ -456,8 +466,8 @@ def _prepare(docs: DataFrame, rest: bool):
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     blocks, n_bytes = write_blocks(docs, rest)
     buckets = max(4, -(-n_bytes // HASH_BUCKET_BYTES))
-    marks, samples = shared_anchors(blocks, buckets)
-    splitters = splitters_of(samples, max(4, -(-n_bytes // SUFFIX_BUCKET_BYTES)))
+    marks = shared_anchors(blocks, buckets)
+    splitters = splitters_of(blocks, max(4, -(-n_bytes // SUFFIX_BUCKET_BYTES)))
     found = compared(blocks, marks, buckets, splitters)
     return with_lists(with_lists(blocks, marks, "marks", "marks"), found, "found", "found"), buckets, splitters
 
@@ -467,18 +477,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     joined, buckets, splitters = _prepare(docs.select("doc_id", "text"), False)
 
     def run(batches):
-        for batch in batches:
-            for ids, ends, body, marks, found in zip(*(c.to_pylist() for c in batch.columns)):
-                block = Block(ids, ends, body)
-                gone = covered(block, marks, found, buckets, splitters)
-                out = []
-                for d, a, b in zip(block.ids.tolist(), block.starts[:-1].tolist(), block.starts[1:].tolist()):
-                    g = gone[a:b]
-                    n = int(g.sum())
-                    spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-                    kept = block.text[a:b][~g].tobytes() if n else block.text[a:b].tobytes()
-                    out.append((None if d == NOBODY else d, b - a, n, spans, hashlib.sha256(kept).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.string(),))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        for ids, ends, body, marks, found in rows_of(batches):
+            block = Block(ids, ends, body)
+            gone = covered(block, marks, found, buckets, splitters)
+            out = []
+            for d, a, b in zip(block.ids.tolist(), block.starts[:-1].tolist(), block.starts[1:].tolist()):
+                g = gone[a:b]
+                n = int(g.sum())
+                spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
+                kept = block.text[a:b][~g].tobytes() if n else block.text[a:b].tobytes()
+                out.append((None if d == NOBODY else d, b - a, n, spans, hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.string(),))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return mapped(joined.select("ids", "ends", "body", "marks", "found"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -489,17 +498,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     joined, buckets, splitters = _prepare(docs, True)
 
     def run(batches):
-        for batch in batches:
-            for ids, ends, body, rest, marks, found in zip(*(c.to_pylist() for c in batch.columns)):
-                block = Block(ids, ends, body)
-                gone = covered(block, marks, found, buckets, splitters)
-                table = pa.ipc.open_stream(unsqueeze(rest)).read_all().combine_chunks()
-                texts = [block.text[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist())]
-                at = names.index("text")
-                table = table.set_column(at, "text", pa.array(texts, pa.string()))
-                if "n_chars" in names:
-                    table = table.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], table.schema.field("n_chars").type))
-                yield from table.to_batches()
+        for ids, ends, body, rest, marks, found in rows_of(batches):
+            block = Block(ids, ends, body)
+            gone = covered(block, marks, found, buckets, splitters)
+            table = pa.ipc.open_stream(unsqueeze(rest)).read_all().combine_chunks()
+            texts = [block.text[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist())]
+            at = names.index("text")
+            table = table.set_column(at, "text", pa.array(texts, pa.string()))
+            if "n_chars" in names:
+                table = table.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], table.schema.field("n_chars").type))
+            yield from table.to_batches()
 
     return mapped(joined.select("ids", "ends", "body", "rest", "marks", "found"), run, schema)
 
