@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from tracklake.functions.missing import finite, narrow
 from tracklake.operators import intervals as I
+from tracklake.shipping import ship_code
 
 ANCHORS = ("tss", "tes", "center")
 STATISTICS = ("mean", "median", "min", "max", "sum")
@@ -142,6 +143,7 @@ def planned(regions: DataFrame, layout: Layout) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(rows, kind)], [*out.schema.names, "segments"])
 
     given = regions if "minus" in regions.columns else regions.withColumn("minus", F.col("strand") == "-")
+    ship_code(given.sparkSession)
     kind = given.limit(0).select(F.lit(None).cast(SEGMENTS).alias("segments")).schema["segments"]
     return given.mapInArrow(run, StructType([*given.schema.fields, kind]))
 

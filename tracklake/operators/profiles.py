@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions.missing import aggregate_value
+from tracklake.shipping import ship_code
 
 BANDS = ("none", "std", "se", "ci")
 
@@ -131,6 +132,7 @@ def bootstrap(matrix: DataFrame, statistic: str = "mean", resamples: int = 300,
         out = pd.DataFrame({"group_id": rows["group_id"].iloc[0], "sample": rows["sample"].iloc[0], "bin": np.arange(x.shape[1]), "centre": centre, "lower": tails[0], "upper": tails[1]})
         return out.astype(object).where(out.notna(), None)
 
+    ship_code(matrix.sparkSession)
     return matrix.select("group_id", "sample", "ord", "bins").groupBy("group_id", "sample").applyInPandas(run, "group_id int, sample int, bin int, centre double, lower double, upper double")
 
 
