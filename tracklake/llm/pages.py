@@ -234,9 +234,8 @@ def style_nodes(pages: DataFrame) -> DataFrame:
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """(host, path, m, importance) of each node of each host's style tree."""
-    different = nodes.distinct()
-    counts = different.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("d"))
+    """(host, path, m, importance) of each node of each host's style tree, from its distinct nodes."""
+    counts = nodes.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("d"))
     # Pages of a path: each has one presentation there; contents may be several, so the pages are counted themselves.
     sizes = nodes.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("m"))
     joined = counts.join(sizes, ["host", "path"]).filter(F.col("m") > 1)
@@ -258,7 +257,7 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 def removed_branches(pages: DataFrame) -> DataFrame:
     """(host, branches): low-importance branches of hosts with enough different pages and something important besides."""
-    tree = importance(style_nodes(pages)).filter(F.col("m") >= PAGES)
+    tree = importance(materialize(style_nodes(pages).distinct(), "pages-nodes")).filter(F.col("m") >= PAGES)
     hosts = tree.groupBy("host").agg(F.max("importance").alias("best"))
     # A branch that holds the host's articles is never removed whole.
     low = tree.join(hosts, "host").filter((F.col("importance") < LEAST) & (F.col("best") > 0.5) & ~F.col("path").rlike(r"/(html|body|article|main|p|h1)$"))
