@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import mapped
+from .common import claim, mapped
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Entries of a worker's word cache and of its pair table. Beyond them, words are encoded anew: slower, not different.
@@ -185,6 +185,7 @@ _LOADED: dict[str, WordBpe] = {}
 def load(path: str) -> WordBpe:
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
+    claim("bpe", _LOADED.clear)
     return _LOADED[path]
 
 
@@ -202,7 +203,7 @@ def round_trips(docs: DataFrame, vocabulary: str, text: str = "text", key: str =
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return mapped(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), run, SCHEMA)
+    return mapped(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), run, SCHEMA, "bpe")
 
 
 def encoded(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -214,4 +215,4 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "do
             rows = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([memoryview(r).cast("I").tolist() for r in rows], pa.list_(pa.int32())), pa.array([bpe.decode(r).decode("utf-8") for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return mapped(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), run, "doc_id long, ids array<int>, decoded string")
+    return mapped(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), run, "doc_id long, ids array<int>, decoded string", "bpe")

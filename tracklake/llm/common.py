@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from tracklake.shipping import ship_code
+
+#: What a Python worker keeps between tasks, by operator: functions that empty it.
+_HELD: dict[str, Callable[[], None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _give_back() -> None:
+    """Freed memory to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and return the table: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tracklake/{name}-{uuid.uuid4().hex}"
@@ -32,18 +45,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Give executors this package, so that functions are pickled by reference and worker caches live across tasks."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="tracklake-code-")) / "tracklake_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
+def claim(owner: str, empty: Callable[[], None] | None = None) -> None:
+    """Called in a worker by an operator: what other operators have kept there goes, so that only one set of caches is held."""
+    others = [k for k in _HELD if k != owner]
+    for k in others:
+        _HELD.pop(k)()
+    if others:
+        gc.collect()
+        _give_back()
+    if empty is not None:
+        _HELD[owner] = empty
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +65,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with the package shipped first."""
+def mapped(df: DataFrame, fn, schema, owner: str = "") -> DataFrame:
+    """mapInArrow with the package shipped first; the worker is claimed for `owner`."""
     ship_code(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        claim(owner)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)

@@ -59,6 +59,7 @@ def similarities(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     def run(batches):
         a, b = shingles.permutations(HASHES)
+        shingles.hold_words()
         for batch in batches:
             counts, keys, bands, packed = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -79,7 +80,7 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
                 packed.append(pack_bits(low))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "signature"])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary", "shingles")
 
 
 class Forest:
@@ -201,10 +202,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, size: int = 5, blo
     wanted = F.broadcast(ids) if groups.count() <= BROADCAST_IDS else ids
 
     def sets(batches):
+        shingles.hold_words()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles.shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["class_id", "values"])
 
-    values = mapped(docs.join(wanted, "doc_id", "left_semi"), sets, "class_id long, values binary")
+    values = mapped(docs.join(wanted, "doc_id", "left_semi"), sets, "class_id long, values binary", "shingles")
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
     members = groups.join(sizes, "grp").join(reps.select("class_id", "signature"), "class_id").join(values, "class_id")
     exact = components(verified_links(block_pairs(members, ["grp"], F.col("class_id"), "n", block), threshold, cutoff), "neardup-exact")

@@ -13,7 +13,6 @@ as separate pieces; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
-import random
 import re
 import zlib
 from array import array
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, materialize, ship_code
+from .common import claim, mapped, materialize, ship_code
 
 CAPACITY = 1024
 END = 2
@@ -85,6 +84,7 @@ def load(path: str) -> Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _LOADED[path] = Encoder(path)
+    claim("packing", _LOADED.clear)
     return _LOADED[path]
 
 
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, text: str
                     rows += [(d, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(ids, capacity))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return mapped(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), run, PIECES)
+    return mapped(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), run, PIECES, "packing")
 
 
 class Bins:
@@ -264,7 +264,3 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands:
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     return pack(materialize(pieces(docs, vocabulary, capacity), "packing-pieces"), capacity)
 
-
-def shuffled_sizes(n: int, seed: int) -> list[int]:
-    """Test sizes."""
-    return [random.Random(seed + i).randint(1, CAPACITY - 1) for i in range(n)]

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from .common import claim
+
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Entries of a worker's word table; it is emptied when full.
 CACHE_WORDS = 400_000
@@ -24,6 +26,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def hold_words() -> None:
+    claim("shingles", _HASHES.clear)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     h = h ^ (h >> np.uint64(32))

@@ -26,23 +26,21 @@ import hashlib
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, materialize, ship_code
+from .common import claim, mapped, materialize, ship_code
 
 SPAN = 50
 GRAM = 24
 REACH = SPAN - GRAM  # bytes of a window before or after its anchor, at most
 BLOCK_BYTES = 4 << 20
 #: Text bytes for each bucket of hashes and of suffixes.
-HASH_BUCKET_BYTES = 16 << 20
-SUFFIX_BUCKET_BYTES = 24 << 20
+HASH_BUCKET_BYTES = 8 << 20
+SUFFIX_BUCKET_BYTES = 8 << 20
 #: Blocks sampled for the splitters, and anchors of each, at most.
 SAMPLE_BLOCKS, SAMPLE_ANCHORS = 64, 1024
 NOBODY = np.iinfo(np.int64).max
@@ -61,8 +59,8 @@ def unsqueeze(data: bytes) -> bytes:
 def gram_hashes(text: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of the GRAM bytes from each position (or from the given ones)."""
     n = len(text) - GRAM + 1
-    word = np.lib.stride_tricks.as_strided(text[: n + GRAM - 8].view(np.uint8), (n + GRAM - 8,), (1,))
-    eight = np.ndarray((len(word),), np.uint64, buffer=text, strides=(1,)) if len(word) else np.zeros(0, np.uint64)
+    # Eight bytes from each position on, without copies.
+    eight = np.ndarray((n + GRAM - 8,), np.uint64, buffer=text, strides=(1,))
     a, b, c = (eight[:n], eight[8 : n + 8], eight[16 : n + 16]) if at is None else (eight[at], eight[at + 8], eight[at + 16])
     h = a * M1
     h += b * M2
@@ -75,7 +73,7 @@ def gram_hashes(text: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     return h
 
 
-def anchored(text: np.ndarray, starts: np.ndarray, chunk: int = 1 << 20):
+def anchored(text: np.ndarray, starts: np.ndarray, chunk: int = 1 << 18):
     """Runs of windows with a common anchor: (first window, last window, anchor, document) arrays. starts has the end as well."""
     n = len(text)
     firsts, lasts, anchors = [], [], []
@@ -152,8 +150,8 @@ class Block:
         before, after = anchor - first, last + SPAN - anchor
         text, size = self.text, len(self.text)
         column = np.arange(SPAN)
-        for s in range(0, n, 1 << 16):
-            e = min(s + (1 << 16), n)
+        for s in range(0, n, 1 << 14):
+            e = min(s + (1 << 14), n)
             rows[s:e, :SPAN] = np.where(column < after[s:e, None], text[np.minimum(anchor[s:e, None] + column, size - 1)], 0)
             back = np.arange(REACH) - REACH
             rows[s:e, SPAN : SPAN + REACH] = np.where(-back <= before[s:e, None], text[np.maximum(anchor[s:e, None] + back, 0)], 0)
@@ -244,8 +242,8 @@ def least_documents(rows: np.ndarray, who: np.ndarray):
     shift = picked[of, 76].astype(np.int64) - number
     wide = np.zeros((len(of), 56), np.uint8)
     column = np.arange(SPAN)
-    for s in range(0, len(of), 1 << 17):
-        e = min(s + (1 << 17), len(of))
+    for s in range(0, len(of), 1 << 14):
+        e = min(s + (1 << 14), len(of))
         wide[s:e, :SPAN] = line[of[s:e, None], (REACH - shift[s:e])[:, None] + column]
     wide[:, 50] = shift
     order2, group2 = multikey_sort(big_endian(wide))
@@ -331,22 +329,25 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
 
     sent = mapped(blocks.select("block", "ids", "ends", "body"), send, "bucket int, block long, hashes binary, several binary")
 
-    def mark(rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(h) // 6 for h in rows["hashes"]]
-        six = np.frombuffer(b"".join(rows["hashes"]), np.uint8).reshape(-1, 6)
-        value = np.zeros((len(six), 8), np.uint8)
-        value[:, 2:] = six
-        value = value.view(">u8").ravel().astype(np.uint64)
-        several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n).astype(bool) for s, n in zip(rows["several"], sizes)])
+    def mark(rows: pa.Table) -> pa.Table:
+        claim("")
+        hashes = rows.column("hashes").to_pylist()
+        sizes = [len(h) // 6 for h in hashes]
+        value = np.zeros((sum(sizes), 8), np.uint8)
+        value[:, 2:] = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 6)
+        del hashes
+        value = value.view(">u8").ravel()
+        several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n).astype(bool) for s, n in zip(rows.column("several").to_pylist(), sizes)])
         order = np.argsort(value, kind="stable")
-        same = value[order][1:] == value[order][:-1]
+        value = value[order]
+        same = value[1:] == value[:-1]
         again = np.r_[False, same] | np.r_[same, False]
         marks = several.copy()
         marks[order[again]] = True
         parts = np.split(marks, np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "marks": [np.packbits(p).tobytes() for p in parts]})
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "marks": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
 
-    return materialize(sent.groupBy("bucket").applyInPandas(mark, "block long, bucket int, marks binary"), "suffix-marks")
+    return materialize(sent.groupBy("bucket").applyInArrow(mark, "block long, bucket int, marks binary"), "suffix-marks")
 
 
 def splitters_of(blocks: DataFrame, count: int) -> np.ndarray:
@@ -395,10 +396,11 @@ def compared(blocks: DataFrame, marks: DataFrame, buckets: int, splitters: np.nd
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "rows", "who"])
 
-    def sort_bucket(parts: pd.DataFrame) -> pd.DataFrame:
-        parts = parts.sort_values("block", kind="stable")
-        rows = np.frombuffer(b"".join(unsqueeze(r) for r in parts["rows"]), np.uint8).reshape(-1, 80)
-        each = [np.frombuffer(unsqueeze(w), np.int64) for w in parts["who"]]
+    def sort_bucket(parts: pa.Table) -> pa.Table:
+        claim("")
+        parts = parts.sort_by("block")
+        rows = np.frombuffer(b"".join(unsqueeze(r.as_py()) for r in parts.column("rows")), np.uint8).reshape(-1, 80)
+        each = [np.frombuffer(unsqueeze(w.as_py()), np.int64) for w in parts.column("who")]
         who = np.concatenate(each)
         least, head, window, smaller, *kind = least_documents(rows, who)
         out, at = [], 0
@@ -407,7 +409,7 @@ def compared(blocks: DataFrame, marks: DataFrame, buckets: int, splitters: np.nd
             order = np.argsort(head, kind="stable")
             head, window, smaller = head[order], window[order], smaller[order]
             low, high = np.searchsorted(head, kind[0], "left"), np.searchsorted(head, kind[0], "right")
-        for number, bucket, own in zip(parts["block"], parts["bucket"], each):
+        for number, bucket, own in zip(parts.column("block").to_pylist(), parts.column("bucket").to_pylist(), each):
             end = at + len(own)
             hit = np.flatnonzero(least[at:end] < own)
             found = [hit.astype("<u4").tobytes(), least[at:end][hit].tobytes(), b"", b"", b""]
@@ -419,10 +421,10 @@ def compared(blocks: DataFrame, marks: DataFrame, buckets: int, splitters: np.nd
             if len(hit) or found[2]:
                 out.append((number, bucket, squeeze(np.array([len(hit), len(found[2]) // 4], "<i8").tobytes() + b"".join(found))))
             at = end
-        return pd.DataFrame(out, columns=["block", "bucket", "found"])
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "found"])
 
     sent = mapped(with_lists(blocks, marks, "marks", "marks").select("block", "ids", "ends", "body", "marks"), send, "bucket int, block long, rows binary, who binary")
-    return materialize(sent.groupBy("bucket").applyInPandas(sort_bucket, "block long, bucket int, found binary"), "suffix-found")
+    return materialize(sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, bucket int, found binary"), "suffix-found")
 
 
 def covered(block: Block, marks: list | None, found: list | None, buckets: int, splitters: np.ndarray) -> np.ndarray:
@@ -511,7 +513,3 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     return mapped(joined.select("ids", "ends", "body", "rest", "marks", "found"), run, schema)
 
-
-def seed_of(text: str) -> int:
-    """Test helper: a stable number for a text."""
-    return xxhash.xxh32_intdigest(text)
