@@ -51,8 +51,8 @@ def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rg = F.regexp_extract("value", r"\tRG:Z:([^\t]+)", 1)
     mate = F.when(f[6] == "=", f[2]).when(f[6] != "*", f[6])
     rows = lines.filter(~F.col("value").startswith("@") & (F.length("value") > 0)).select(
-        f[0].alias("qname"), F.when(rg != "", rg).alias("rg"), f[1].cast("int").alias("flag"), F.when(f[2] != "*", f[2]).alias("chrom"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"),
-        A.cigar_array(f[5]).alias("cigar"), mate.alias("mchrom"), (f[7].cast("long") - 1).alias("mpos"), f[8].cast("long").alias("tlen"),
+        f[0].alias("qname"), F.when(rg != "", rg).alias("rg"), f[1].try_cast("int").alias("flag"), F.when(f[2] != "*", f[2]).alias("chrom"), (f[3].try_cast("long") - 1).alias("pos"), f[4].try_cast("int").alias("mapq"),
+        A.cigar_array(f[5]).alias("cigar"), mate.alias("mchrom"), (f[7].try_cast("long") - 1).alias("mpos"), f[8].try_cast("long").alias("tlen"),
     )
     return rows, sizes.select("chrom", "ord", "length")
 
