@@ -13,10 +13,12 @@ from tracklake.llm.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-def test_licences_match_sql(spark):
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    got = QUERIES["op1_licences"](spark, SF).toPandas()
-    want = duckdb.sql(ORACLE_SQL["op1_licences"]).df()
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_match_sql(spark, name):
+    for t in ("documents", "embeddings"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duckdb.sql(ORACLE_SQL[name]).df()
     rows = lambda df: sorted(map(str, df[sorted(df.columns)].fillna("~").itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, embeddings, licences, neardup, packing, pages, sharding, suffixes, syncmers, toxicity
 from .common import read_table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +64,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_syncmers": op9_syncmers,
     "op10_bpe": op10_bpe,
 }
-
-ORACLE_SQL: dict[str, str] = {"op1_licences": licences.oracle()}

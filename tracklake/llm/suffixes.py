@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, mapped, materialize, ship_code
+from .common import claim, mapped, materialize, shared_dir, ship_code
 
 SPAN = 50
 GRAM = 24
@@ -257,7 +257,7 @@ def least_documents(rows: np.ndarray, who: np.ndarray):
 
 
 def write_blocks(docs: DataFrame, rest: bool) -> tuple[DataFrame, int]:
-    """Table of blocks, bucketed by block in the warehouse, and its number of text bytes."""
+    """Table of blocks in the shared folder, bucketed by block, and its number of text bytes."""
     names = docs.columns
     at_id, at_text = names.index("doc_id"), names.index("text")
 
@@ -299,7 +299,7 @@ def write_blocks(docs: DataFrame, rest: bool) -> tuple[DataFrame, int]:
     blocks = mapped(docs, run, "block long, n_bytes long, ids binary, ends binary, body binary, rest binary")
     name = f"tracklake_blocks_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
-    blocks.write.bucketBy(buckets, "block").option("compression", "none").saveAsTable(name)
+    blocks.write.bucketBy(buckets, "block").option("compression", "none").option("path", f"{shared_dir(spark)}/tracklake/{name}").saveAsTable(name)
     table = spark.table(name)
     return table, table.agg(F.sum("n_bytes")).first()[0] or 0
 
