@@ -459,3 +459,174 @@ def profile_mean_with_confidence(spark, sf):
 @query()
 def profile_bootstrap(spark, sf):
     return P.bootstrap(f.matrix(spark, sf), resamples=50)
+
+
+# --- more of the matrix build -------------------------------------------------------------------------------------------
+
+#: Base of a region's blocks by its offset.
+BASE_AT = "(CASE WHEN {0} < n THEN s + {0} ELSE s + 15 + {0} END)"
+TES = f"""bases AS (
+SELECT row_id, chrom, minus, 0 AS first, 10 AS n, 99 - i AS o, 100 AS size, CASE WHEN i < len THEN {BASE_AT.format("(len - 1 - i)")} ELSE s - 1 - (i - len) END AS p FROM bodies, LATERAL (SELECT unnest(range(0, 100)) AS i) WHERE NOT minus
+UNION ALL {FLANK.format(first=10, n=20, w=200, start="e")} WHERE NOT minus
+UNION ALL {FLANK.format(first=0, n=20, w=200, start="s - 200")} WHERE minus
+UNION ALL SELECT row_id, chrom, minus, 20, 10, i, 100, CASE WHEN i < len THEN {BASE_AT.format("i")} ELSE e + i - len END FROM bodies, LATERAL (SELECT unnest(range(0, 100)) AS i) WHERE minus)"""
+CENTRE = f"""sides AS (SELECT *, len // 2 AS middle, CASE WHEN minus THEN 200 ELSE 100 END AS l, CASE WHEN minus THEN 100 ELSE 200 END AS r FROM bodies), bases AS (
+SELECT row_id, chrom, minus, 0 AS first, l // 10 AS n, l - 1 - i AS o, l AS size, CASE WHEN i < middle THEN {BASE_AT.format("(middle - 1 - i)")} ELSE s + middle - 1 - i END AS p FROM sides, LATERAL (SELECT unnest(range(0, l)) AS i)
+UNION ALL SELECT row_id, chrom, minus, l // 10, r // 10, i, r, CASE WHEN middle + i < len THEN {BASE_AT.format("(middle + i)")} ELSE e + middle + i - len END FROM sides, LATERAL (SELECT unnest(range(0, r)) AS i))"""
+
+
+@query(built_sql(TES, "min", 30))
+def matrix_tes_min(spark, sf):
+    return _built(spark, sf, B.Layout(upstream=100, downstream=200, bin_size=10, anchor="tes"), statistic="min")
+
+
+@query(built_sql(CENTRE, "mean", 30, as_zero=True))
+def matrix_centre_mean_zero_filled(spark, sf):
+    return _built(spark, sf, B.Layout(upstream=100, downstream=200, bin_size=10, anchor="center"), statistic="mean", missing_as_zero=True)
+
+
+@query(f"WITH {f.REGIONS_SQL}, {f.MASK_SQL}, {TSS} SELECT DISTINCT row_id FROM bases WHERE row_id NOT IN (SELECT b.row_id FROM bases b JOIN mask m ON m.chrom = b.chrom AND b.p >= m.s AND b.p < m.e)")
+def matrix_hard_mask(spark, sf):
+    out = B.build(f.regions(spark, sf), f.tracks(spark, sf).select("source", "chrom", "start", "end", "value"), f.sizes(spark), B.Layout(upstream=100, downstream=200, bin_size=10), tracks_count=2, mask=f.mask(spark, sf), hard_mask=True)
+    return out.select("row_id").distinct()
+
+
+# --- more algebra -------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {f.REGIONS_SQL} SELECT row_id, strand FROM regions WHERE strand <> '.'")
+def filter_strand(spark, sf):
+    return X.filter_strand(f.regions(spark, sf), ["+", "-"]).select("row_id", "strand")
+
+
+@query(f"{CELLS} SELECT row_id FROM cells GROUP BY row_id HAVING max(abs(v)) >= 0.33")
+def skip_rows_without_signal(spark, sf):
+    m = f.matrix(spark, sf)
+    return X.skip_zeros(m.withColumn("bins", F.transform("bins", lambda v: F.when(F.abs(v) >= 0.33, v).otherwise(F.lit(0).cast("float"))))).select("row_id").distinct()
+
+
+@query(f"{CELLS}, gone AS (SELECT row_id FROM cells WHERE sample IN (1, 2) GROUP BY row_id HAVING count(CASE WHEN abs(v) >= 0.2 THEN v END) = 0) SELECT DISTINCT row_id FROM cells WHERE row_id NOT IN (SELECT row_id FROM gone)")
+def filter_missing_all_bins(spark, sf):
+    m = f.matrix(spark, sf)
+    return X.filter_values(m.withColumn("bins", F.transform("bins", lambda v: F.when(F.abs(v) >= 0.2, v))), nan_mode="all_bins", samples=[1, 2]).select("row_id").distinct()
+
+
+@query(f"{CELLS} SELECT DISTINCT row_id, CAST(CASE group_id WHEN 7 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS INT) AS group_id FROM cells WHERE group_id IN (7, 2, 4)")
+def subset_and_reorder_groups(spark, sf):
+    return X.subset_groups(f.matrix(spark, sf), [7, 2, 4]).select("row_id", "group_id").distinct()
+
+
+@query(f"{CELLS} SELECT DISTINCT row_id, CAST(group_id % 3 AS INT) AS group_id FROM cells")
+def merge_groups_of_one_name(spark, sf):
+    _, mapping = X.merge_groups([f"g{i % 3}" for i in range(10)])
+    return X.map_groups(f.matrix(spark, sf), mapping).select("row_id", "group_id").distinct()
+
+
+@query(f"{CELLS}, held AS (SELECT DISTINCT row_id, group_id FROM cells WHERE group_id % 2 = 1), numbered AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS g FROM (SELECT DISTINCT group_id FROM held)) SELECT row_id, CAST(g AS INT) AS group_id FROM held JOIN numbered USING (group_id)")
+def drop_groups_without_rows(spark, sf):
+    _, rows = X.drop_empty_groups([f"g{i}" for i in range(10)], f.matrix(spark, sf).filter("group_id % 2 = 1"))
+    return rows.select("row_id", "group_id").distinct()
+
+
+@query("SELECT p_partkey AS row_id, CAST(p_partkey % 2 AS INT) AS out_group, row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY -p_partkey) - 1 AS out_pos FROM part WHERE p_partkey % 5 <> 0")
+def restore_order_of_a_list(spark, sf):
+    rows = f.regions(spark, sf).withColumn("name", F.concat(F.lit("n"), F.col("row_id").cast("string"))).withColumn("sample", F.lit(0))
+    listed = rows.filter("row_id % 5 <> 0").select("group_id", "name", (-F.col("row_id")).alias("bed_ord"))
+    return X.restore_order(rows, listed)
+
+
+@query(f"WITH {f.REGIONS_SQL}, placed AS (SELECT row_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY score, row_id) - 1 AS pos, count(*) OVER (PARTITION BY group_id) AS n FROM regions) SELECT row_id, CAST(group_id AS INT) AS out_group, pos AS out_pos, n - 1 - pos AS draw_pos FROM placed")
+def draw_positions_from_the_bottom(spark, sf):
+    rows = f.regions(spark, sf).withColumn("sample", F.lit(0)).withColumn("bins", F.array().cast("array<float>"))
+    return X.draw_positions(X.sort_order(rows, "score", "ascend"))
+
+
+@query(f"{CELLS}, p AS (SELECT a.row_id, a.bin, CASE WHEN abs(a.v) < 0.1 THEN 0 ELSE a.v END AS n, CASE WHEN abs(b.v) < 0.1 THEN 0 ELSE b.v END AS d FROM cells a JOIN cells b ON a.row_id = b.row_id AND a.bin = b.bin AND a.sample = 2 AND b.sample = 3) SELECT row_id, bin, CASE WHEN n <> 0 AND d <> 0 THEN round(CAST(CAST((n + 1) / (d + 1) AS FLOAT) AS DOUBLE), 4) END AS value FROM p")
+def compare_ratio_without_zeros(spark, sf):
+    m = f.matrix(spark, sf).withColumn("bins", F.transform("bins", lambda v: F.when(v.isNotNull(), F.when(F.abs(v) < 0.1, F.lit(0).cast("float")).otherwise(v))))
+    a, b = (m.filter(F.col("sample") == s).select("row_id", F.col("bins").alias(f"b{s}")) for s in (2, 3))
+    out = a.join(b, "row_id").select("row_id", F.posexplode(X.compare(F.col("b2"), F.col("b3"), "ratio", 1.0, "any")).alias("bin", "value"))
+    return out.select("row_id", "bin", rounded("value").alias("value"))
+
+
+@query(f"{CELLS}, p AS (SELECT a.row_id, a.bin, a.v AS n, b.v AS d FROM cells a JOIN cells b ON a.row_id = b.row_id AND a.bin = b.bin AND a.sample = 0 AND b.sample = 2) SELECT row_id, bin, round(CAST(CAST(n - d AS FLOAT) AS DOUBLE), 5) AS value FROM p")
+def compare_difference(spark, sf):
+    m = f.matrix(spark, sf)
+    a, b = (m.filter(F.col("sample") == s).select("row_id", F.col("bins").alias(f"b{s}")) for s in (0, 2))
+    out = a.join(b, "row_id").select("row_id", F.posexplode(X.compare(F.col("b0"), F.col("b2"), "difference")).alias("bin", "value"))
+    return out.select("row_id", "bin", rounded("value", 5).alias("value"))
+
+
+@query(f"{CELLS}, t AS (SELECT row_id, sample, string_agg(CASE WHEN v IS NULL THEN 'nan' ELSE printf('%.6f', v) END, chr(9) ORDER BY bin) AS t FROM cells GROUP BY ALL) SELECT row_id, string_agg(t, chr(9) ORDER BY sample) AS line FROM t GROUP BY row_id")
+def matrix_text(spark, sf):
+    from tracklake.sources import text
+
+    meta = {"chrom": F.lit("c"), "blocks": F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))), "name": F.col("row_id").cast("string"), "score": F.lit(None).cast("double"), "strand": F.lit(".")}
+    lines = text.matrix_lines(f.matrix(spark, sf).withColumns(meta))
+    return lines.select(F.col("ord").alias("row_id"), F.array_join(F.slice(F.split("line", "\t"), 7, 1 << 20), "\t").alias("line"))
+
+
+# --- more intervals and tracks ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SPANS} SELECT chrom, greatest(s - 300, 0) AS \"start\", least(e + 700, 99000) AS \"end\" FROM spans WHERE greatest(s - 300, 0) < 99000")
+def intervals_clip(spark, sf):
+    rows = _spans(spark, sf).select("chrom", (F.col("start") - 300).alias("start"), (F.col("end") + 700).alias("end"))
+    return I.clip(rows, f.sizes(spark).withColumn("length", F.lit(99000).cast("long"))).select("chrom", "start", "end")
+
+
+@query("SELECT chrom, CAST(100 AS BIGINT) AS length FROM (VALUES ('a'), ('c')) t(chrom)")
+def chromosomes_common_to_tracks(spark, sf):
+    return T.common_sizes(spark.createDataFrame([(0, "a", 100), (0, "b", 100), (0, "c", 100), (1, "a", 100), (1, "b", 90), (1, "c", 100), (1, "d", 5)], "sample int, chrom string, length long"))
+
+
+@query(f"WITH {f.PAIRS_SQL} SELECT quantile_cont(d + 50, 0.5) AS fragment_length FROM pairs WHERE d >= 0")
+def typical_fragment_length(spark, sf):
+    return C.typical_fragment(f.pairs(spark, sf), sample=1 << 30)
+
+
+# --- more summaries -----------------------------------------------------------------------------------------------------
+
+
+@query(f"{CELLS}, p AS (SELECT group_id, sample, bin, avg(v) AS m FROM cells GROUP BY ALL) SELECT sample, round(min(m), 6) AS ymin, round(max(m), 6) AS ymax FROM p GROUP BY sample")
+def axis_limits_of_profiles(spark, sf):
+    out = P.y_limits(P.profile(f.matrix(spark, sf)), ["sample"])
+    return out.select("sample", F.round("ymin", 6).alias("ymin"), F.round("ymax", 6).alias("ymax"))
+
+
+@query(f"{CELLS} SELECT group_id, sample, round(quantile_cont(v, 0.01), 6) AS zmin, round(quantile_cont(v, 0.98), 6) AS zmax FROM cells GROUP BY ALL")
+def colour_limits_by_panel(spark, sf):
+    return P.colour_limits(f.matrix(spark, sf), "panel").select("group_id", "sample", F.round("zmin", 6).alias("zmin"), F.round("zmax", 6).alias("zmax"))
+
+
+@query(f"{CELLS} SELECT sample, round(quantile_cont(v, 0.37), 6) AS value FROM cells GROUP BY sample")
+def quantile_of_all_cells(spark, sf):
+    return P.cell_quantile(f.matrix(spark, sf), 0.37).withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""{CELLS}, x AS (SELECT row_id, group_id, list(coalesce(v, 0) ORDER BY sample, bin) AS x FROM cells GROUP BY ALL),
+d AS (SELECT a.row_id, a.group_id AS g, b.group_id AS h, sum(list_distance(a.x, b.x)) AS t, count(*) AS n FROM x a JOIN x b ON true GROUP BY ALL),
+s AS (SELECT row_id, g, max(CASE WHEN g = h THEN t / nullif(n - 1, 0) END) AS a, min(CASE WHEN g <> h THEN t / n END) AS b FROM d GROUP BY ALL)
+SELECT row_id, CAST(g AS INT) AS cluster, round(coalesce((b - a) / nullif(greatest(a, b), 0), 0), 5) AS silhouette FROM s"""
+)
+def silhouettes_of_groups(spark, sf):
+    from tracklake.operators import clusters
+
+    m = f.matrix(spark, sf)
+    rows = clusters.row_vectors(m).join(m.select("row_id", F.col("group_id").alias("cluster")).distinct(), "row_id")
+    return clusters.silhouettes(rows).withColumn("silhouette", F.round("silhouette", 5))
+
+
+@query()
+def clusters_by_kmeans(spark, sf):
+    from tracklake.operators import clusters
+
+    return clusters.kmeans(clusters.row_vectors(f.matrix(spark, sf)), 4, restarts=2).select("row_id", "cluster", "name")
+
+
+@query()
+def clusters_by_ward(spark, sf):
+    from tracklake.operators import clusters
+
+    return clusters.ward(clusters.row_vectors(f.matrix(spark, sf).filter("row_id < 2000")), 4).select("row_id", "cluster", "name")
