@@ -94,6 +94,11 @@ def test_sort_rules(spark):
     order = lambda *a, **k: [r.row_id for r in X.sort_order(m, *a, **k).orderBy("out_group", "out_pos").collect()]
     assert order("mean", "ascend") == [0, 3, 4, 2, 1] and order("mean", "descend") == [1, 2, 4, 0, 3]
     assert [r.out_group for r in X.sort_order(m, "mean", "ascend", quantiles=2).orderBy("out_group", "out_pos").collect()] == [0, 0, 1, 1, 1]
+    many = spark.createDataFrame([(r, r % 2, r, 0, [None if r % 11 == 0 else float(r * 7 % 13)]) for r in range(300)], "row_id long, group_id int, ord long, sample int, bins array<float>")
+    for method in ("ascend", "descend", "keep"):
+        for q in (1,) if method == "keep" else (1, 4):
+            one, cut = ({tuple(r) for r in X.sort_order(many, "mean", method, q, per_task=n).collect()} for n in (1000, 20))
+            assert one == cut and len(one) == 300
     assert X.relabel(["a", "b"], {"2": "c"}) == ["a", "c"] and X.pseudocount_spec("min-numerator/2") == ("min", "numerator", 2.0) and X.pseudocount_spec("0.5")[2] == 0.5
 
 

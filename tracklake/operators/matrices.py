@@ -133,7 +133,36 @@ def row_keys(matrix: DataFrame, using: str, samples: list[int] | None = None) ->
     return exploded.groupBy("row_id", "group_id", "ord").agg(aggregate_value(F.col("v").cast("double"), using).alias("key"))
 
 
-def sort_order(matrix: DataFrame, using: str = "mean", method: str = "ascend", quantiles: int = 1, samples: list[int] | None = None) -> DataFrame:
+#: Rows that one task ranks, about. More are cut into ranges of the key first.
+RANK_ROWS = 100_000
+
+
+def _ranks(keys: DataFrame, within: list[str], key: str, down: bool, missing_first: bool, ties: list[str], per_task: int) -> DataFrame:
+    """Adds r, a gapless rank from 0 within `within`, by key and then ties.
+
+    Keys are cut into ranges at approximate percentiles; a range is ranked alone and starts where the ranges before it
+    end. Equal keys share a range, so a rank never depends on where the cuts lie.
+    """
+    rows = keys.count()
+    cuts: list[float] = []
+    if rows > per_task:
+        n = min(1024, rows // per_task)
+        cuts = sorted(set(keys.filter(F.col(key).isNotNull()).approxQuantile(key, [(i + 1) / (n + 1) for i in range(n)], 0.001)))
+    place = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    place = F.when(F.col(key).isNull(), -1 if missing_first else len(cuts) + 1).otherwise(len(cuts) - place if down else place)
+    k = F.col(key)
+    order = k.desc_nulls_first() if down and missing_first else k.desc_nulls_last() if down else k.asc_nulls_first() if missing_first else k.asc_nulls_last()
+    dealt = keys.withColumn("_range", place.cast("int"))
+    inside = F.row_number().over(Window.partitionBy(*within, "_range").orderBy(order, *ties)) - 1
+    if not cuts:
+        return keys.withColumn("r", F.row_number().over(Window.partitionBy(*within).orderBy(order, *ties)) - 1)
+    counts = dealt.groupBy(*within, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("_before", before).drop("_n")
+    return dealt.withColumn("_inside", inside).join(starts, [*within, "_range"]).withColumn("r", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
+def sort_order(matrix: DataFrame, using: str = "mean", method: str = "ascend", quantiles: int = 1, samples: list[int] | None = None, per_task: int = RANK_ROWS) -> DataFrame:
     """(row_id, out_group, out_pos): the layout of sorted rows. Ties keep their order both ways.
 
     Missing keys come last ascending and first descending; a missing score comes last always. With quantiles, all groups
@@ -143,22 +172,16 @@ def sort_order(matrix: DataFrame, using: str = "mean", method: str = "ascend", q
         raise ValueError("unknown method")
     if quantiles < 1 or quantiles > 1 and method == "keep":
         raise ValueError("quantiles need a sorted order")
-    if method == "keep":
-        keys, order = matrix.select("row_id", "group_id", "ord").distinct(), [F.col("ord").asc()]
-    else:
-        keys = row_keys(matrix, using, samples)
-        down = method == "descend"
-        key = F.col("key")
-        first = key.desc_nulls_last() if down and using == "score" else key.desc_nulls_first() if down else key.asc_nulls_last()
-        order = [first, F.col("ord").asc()]
+    keys = matrix.select("row_id", "group_id", "ord", F.col("ord").cast("double").alias("key")).distinct() if method == "keep" else row_keys(matrix, using, samples)
+    down = method == "descend"
+    first = down and using != "score"
     if quantiles == 1:
-        pos = F.row_number().over(Window.partitionBy("group_id").orderBy(*order)) - 1
-        return keys.select("row_id", F.col("group_id").alias("out_group"), pos.cast("long").alias("out_pos"))
-    # Group by group in stored order decides ties across groups.
-    ranked = keys.withColumn("r", F.row_number().over(Window.orderBy(*order[:1], F.col("group_id"), F.col("ord"))) - 1)
+        return _ranks(keys, ["group_id"], "key", down, first, ["ord"], per_task).select("row_id", F.col("group_id").alias("out_group"), F.col("r").cast("long").alias("out_pos"))
     n = keys.count()
     if quantiles > n:
         raise ValueError("more quantiles than rows")
+    # Group by group in stored order decides ties across groups.
+    ranked = _ranks(keys.withColumn("_all", F.lit(0)), ["_all"], "key", down, first, ["group_id", "ord"], per_task)
     bounds = [int(q * n / quantiles) for q in range(quantiles + 1)]
     group = F.lit(quantiles - 1)
     for q in range(quantiles - 2, -1, -1):
