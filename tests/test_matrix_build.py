@@ -85,6 +85,15 @@ def test_strands(spark):
     }
 
 
+def test_antisense_groups(spark):
+    """Each region's copy reads the other strand in a group of its own; bins and orientation stay."""
+    df = spark.createDataFrame([(0, 0, 0, "c", [{"start": 100, "end": 120}], "-", "x")], "row_id long, group_id int, ord long, chrom string, blocks array<struct<start:bigint,end:bigint>>, strand string, name string")
+    both = M.with_antisense_groups(df)
+    track = spark.createDataFrame([(0, "c", 0, 110, 1.0), (1, "c", 0, 200, 10.0)], "source int, chrom string, start long, end long, value double")
+    rows = M.build(both, track, spark.createDataFrame([("c", 1000)], "chrom string, length long"), M.Layout(body=20, bin_size=10), wanted=M.sources(both, 1, stranded=True, scale_antisense=2.0), tracks_count=2).collect()
+    assert {(r.group_id, r.row_id): r.bins for r in rows} == {(0, 0): [10.0, 10.0], (1, 1): [None, 2.0]} and {r.name for r in both.collect()} == {"x", "x_antisense"}
+
+
 def test_plan_properties():
     rng = random.Random(5)
     for _ in range(250):

@@ -168,23 +168,25 @@ def sources(regions: DataFrame, tracks: int, stranded: bool = False, antisense:
 
     With stranded tracks, source i is plus and tracks + i is minus. A region reads the track of its own strand, its
     antisense samples (which follow each sense sample) the other; unstranded regions the sum of both, or one of them.
+    Rows of antisense groups (a column reads_other) read the other strand as well, at the antisense scale.
     """
     if unstranded not in ("sum_strands", "as_plus", "as_minus"):
         raise ValueError("unknown handling of unstranded regions")
     kind = "array<struct<sample:int,source:int,factor:double,parts:int>>"
     roles = (False, True) if antisense else (False,)
+    flipped = F.col("reads_other") if "reads_other" in regions.columns else F.lit(False)
     own_minus = F.when(F.col("strand").isin("+", "-"), F.col("strand") == "-").otherwise(F.lit(unstranded == "as_minus"))
     out = []
     for i in range(tracks):
         for k, other in enumerate(roles):
-            sample, extra = i * len(roles) + k, scale_antisense if other else 1.0
+            sample, extra = i * len(roles) + k, F.when(flipped | F.lit(other), F.lit(float(scale_antisense))).otherwise(F.lit(1.0))
             one = lambda source, factor, parts: F.struct(F.lit(sample).alias("sample"), source.cast("int").alias("source"), factor.cast("double").alias("factor"), F.lit(parts).alias("parts"))  # noqa: B023, E731
             if not stranded:
-                out.append(F.array(one(F.lit(i), F.lit(scale_plus * extra), 1)))
+                out.append(F.array(one(F.lit(i), scale_plus * extra, 1)))
                 continue
-            minus = ~own_minus if other else own_minus
+            minus = own_minus != (flipped | F.lit(other))
             single = F.array(one(F.when(minus, tracks + i).otherwise(i), F.when(minus, scale_minus * extra).otherwise(scale_plus * extra), 1))
-            both = F.array(one(F.lit(i), F.lit(scale_plus * extra), 2), one(F.lit(tracks + i), F.lit(scale_minus * extra), 2))
+            both = F.array(one(F.lit(i), scale_plus * extra, 2), one(F.lit(tracks + i), scale_minus * extra, 2))
             out.append(F.when(~F.col("strand").isin("+", "-") & F.lit(unstranded == "sum_strands"), both).otherwise(single))
     return F.concat(*out).cast(kind)
 
