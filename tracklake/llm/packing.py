@@ -13,6 +13,7 @@ as separate pieces; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -21,9 +22,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import claim, mapped, materialize, ship_code
 
 CAPACITY = 1024
@@ -33,44 +36,68 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 3
 GENERATIONS = 3
-CACHE_WORDS = 700_000
+#: Entries of a worker's word caches.
+CACHE_WORDS, ONCE_WORDS = 350_000, 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
 class Encoder:
-    """Ids of the tokenizers library, asked once per distinct pre-token; its pre-tokens are encoded independently."""
+    """Ids of the tokenizers library's byte-level vocabulary, for each distinct pre-token once.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Pre-tokens are merged independently. In such a vocabulary the ids are the ranks of the merges, so that the ranks, read
+    from the same file, give the same ids; texts that hold a special token's string go to the library itself.
+    """
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self.library = path, None
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        symbols = byte_symbols()
+        ranks = {bytes(symbols[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        made = [ranks[bytes(symbols[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in spec["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError(f"the ids of {path} are not in order of merging")
+        self.piece = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.by_property = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         # The same for texts in which the standard library's classes agree with those properties: it is faster.
         self.by_class = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.differs = re.compile(r"[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]").search
         self.cache: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         return self.by_property(text) if self.differs(text) else self.by_class(text)
 
     def whole(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        cache = self.cache
+        """Little-endian ids of each text. Words seen in two batches stay in the cache; those seen once wait for a second time."""
+        cache, once = self.cache, self.once
         parts = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
-        new = list({w for words in parts if words for w in words}.difference(cache))
-        fresh = dict(zip(new, (array("I", e.ids).tobytes() for e in self.library.encode_batch(new, add_special_tokens=False))))
-        cache.update(fresh)
+        absent = {w for words in parts if words for w in words}.difference(cache)
+        again = absent.intersection(once)
+        for w in again:
+            cache[w] = once.pop(w)
+        new = absent.difference(again)
+        for w in new:
+            cache[w] = array("I", self.piece(w)).tobytes()
         out = [self.whole(t) if words is None else b"".join(map(cache.__getitem__, words)) for t, words in zip(texts, parts)]
-        if len(cache) > CACHE_WORDS:  # the words seen first stay: they are the frequent ones
-            for w in new:
+        if len(once) > ONCE_WORDS:
+            once.clear()
+        for w in new:
+            once[w] = cache.pop(w)
+        if len(cache) > CACHE_WORDS:  # the words that came first stay: they are the frequent ones
+            for w in again:
                 del cache[w]
         return out
 
@@ -80,9 +107,6 @@ _LOADED: dict[str, Encoder] = {}
 
 def load(path: str) -> Encoder:
     if path not in _LOADED:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _LOADED[path] = Encoder(path)
     claim("packing", _LOADED.clear)
     return _LOADED[path]
@@ -102,8 +126,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, text: str
     def run(batches):
         encoder = load(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 rows = []
                 for d, ids in zip(part.column(0).to_pylist(), encoder.batch([t or "" for t in part.column(1).to_pylist()])):
                     ids += end
