@@ -86,7 +86,6 @@ def scan(files: DataFrame) -> DataFrame:
     for t in sorted({t[:6] for t in TRIGGERS}):
         held = held | F.contains(text, F.lit(t))
     lines = F.flatten(F.transform(F.filter(F.split(text, "\n"), lambda s: s.rlike("|".join(TRIGGERS))), lambda s: candidates(words(s))))
-    # A document of few words is compared as a whole as well: its notice may be broken into lines.
     scanned = files.select(
         files["doc_id"].cast("long").alias("doc_id"), F.coalesce(files["path"], F.lit("/")).alias("path"), F.xxhash64("text").alias("h"),
         F.array_intersect(words(text), known).alias("terms"),
