@@ -32,8 +32,8 @@ HASHES, BANDS, BITS = 128, 32, 4
 BLOCK = 2048
 #: Below the threshold by five standard deviations of the estimate, a pair isn't compared exactly.
 MARGIN = 0.2
-#: Up to so many ids are broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Up to so many ids are broadcast (about 50 MB as a hash table); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 NIBBLES = np.uint64(0x1111111111111111)
 
@@ -220,7 +220,9 @@ def keep_one(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     found = near_duplicates(docs, threshold)
     kept = found.groupBy("doc_id").agg(F.first("kept").alias("_one"), F.count("*").alias("_rows")).filter(F.col("_one") | F.col("doc_id").isNull())
     kept = materialize(kept.select(F.col("doc_id").alias("_kept"), "_rows"), "neardup-kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    # The counted ids are broadcast up to that bound, so that texts stay where they are; beyond it they are shuffled.
+    ids = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
+    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
     if kept.filter("_rows > 1 and _kept is not null").limit(1).count():
         named = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
         out = named.unionByName(out.filter(F.col("doc_id").isNull()))
