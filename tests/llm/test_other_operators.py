@@ -65,6 +65,17 @@ def test_style_tree_removes_repeated_branches(spark):
     assert pages.extract(df.filter("page_id < 0")).count() == 0
 
 
+def test_style_tree_keeps_articles_and_does_not_depend_on_pages(spark):
+    page = lambda i: f"<body><div class='x'>Club</div><div class='k'>turn {i % 4}</div><div class='w'><i>All</i><div>one {i}</div></div><article><h2>Method</h2><p>text {i}</p><h2>Results</h2></article></body>"
+    df = spark.createDataFrame([(i, "http://h.org/%d" % i, page(i)) for i in range(3000)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert all(got[i] == f"Method\ntext {i}\nResults" for i in range(3000))
+    whole = spark.createDataFrame([(i, "http://h.org/%d" % i, page(i).replace("article", "section")) for i in range(3000)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(whole).collect()}
+    # Four texts in turn stay however many the pages are, and a unique block stays beside a repeated one.
+    assert all("Club" not in t and f"turn {i % 4}\nAll\none {i}\n" in t for i, t in got.items())
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out").toPandas()
     hit, said, there = ((r.predicted == 1) & (r.toxic == 1)).sum(), (r.predicted == 1).sum(), (r.toxic == 1).sum()

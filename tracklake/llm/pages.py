@@ -2,10 +2,12 @@
 
 A page is read into blocks, each with the path of its elements (tags with their classes). The style tree of a host merges
 the pages' paths: at each path, pages differ in presentation (the sequence of child elements) and in content (the text).
-A text that m pages of a path share in d of them has the entropy log d / log m: common to all, 1; found once, 0. A node's
-importance averages 1 less that entropy over its texts, with presentation's own entropy above the leaves, and reaches its
-ancestors with weight GAMMA for each step up. Branches below LEAST are removed from the host's pages, besides those whose
-elements say what they are: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments.
+A text that d of a path's m pages have weighs (m - d) / (m - 1): common to all, 0; found once, 1; for the same share of the
+pages never less than 1 - d / m, however many they are. A node's importance averages that over its texts, or above the
+leaves takes the chance that two pages differ in presentation, and reaches its ancestors with weight GAMMA for each step
+up. Blocks of paths below LEAST are removed from the host's pages, but never below an article or main element, and so are
+those whose elements say what they are: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+comments.
 
 The tree is built by aggregation on (host, path, text): a hot host is pre-aggregated in each task and never gathered.
 Pages that are equal count once, and a host's tree decides nothing below PAGES different pages. The list of removed
@@ -189,19 +191,11 @@ def blocks_of(html: str | None):
     return blocks, shapes
 
 
-def parents(path: str):
-    """(ancestor or self, steps up)."""
-    steps = 0
-    while path:
-        yield path, steps
-        path = path.rpartition("/")[0]
-        steps += 1
-
-
 def main_text(html: str | None, removed: set[str] | None = None) -> str:
     """The page's text without what its elements name as other, and without the removed branches of its host."""
     blocks, _ = blocks_of(html)
-    left = [b for b in blocks if not b[3] and not (removed and any(p in removed for p, _ in parents(b[0])))]
+    # Below an article or main element the tree removes nothing; a block goes by its own path, not for what else a branch holds.
+    left = [b for b in blocks if not b[3] and (b[2] or not removed or b[0] not in removed)]
     for place in ("article", "main"):
         inside = [b for b in left if b[2] == place or place == "main" and b[2]]
         if inside:
@@ -239,12 +233,12 @@ def importance(nodes: DataFrame) -> DataFrame:
     # Pages of a path: each has one presentation there; contents may be several, so the pages are counted themselves.
     sizes = nodes.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("m"))
     joined = counts.join(sizes, ["host", "path"]).filter(F.col("m") > 1)
-    entropy = F.log(F.col("d")) / F.log(F.greatest("m", "d"))
+    differs = (F.col("m") - F.col("d")) / (F.col("m") - 1)
     share = F.col("d") / F.col("m")
     own = joined.groupBy("host", "path").agg(
         F.max("m").alias("m"),
-        F.avg(F.when(F.col("kind") == 0, 1 - entropy)).alias("content"),
-        F.sum(F.when(F.col("kind") == 1, -share * F.log(share) / F.log(F.col("m")))).alias("presentation"),
+        F.avg(F.when(F.col("kind") == 0, differs)).alias("content"),
+        F.sum(F.when(F.col("kind") == 1, share * differs)).alias("presentation"),
     )
     parts = F.split(F.substring("path", 2, 1 << 20), "/")
     up = own.withColumn("parts", parts).withColumn("steps", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)))
@@ -259,8 +253,8 @@ def removed_branches(pages: DataFrame) -> DataFrame:
     """(host, branches): low-importance branches of hosts with enough different pages and something important besides."""
     tree = importance(materialize(style_nodes(pages).distinct(), "pages-nodes")).filter(F.col("m") >= PAGES)
     hosts = tree.groupBy("host").agg(F.max("importance").alias("best"))
-    # A branch that holds the host's articles is never removed whole.
-    low = tree.join(hosts, "host").filter((F.col("importance") < LEAST) & (F.col("best") > 0.5) & ~F.col("path").rlike(r"/(html|body|article|main|p|h1)$"))
+    # Nothing is removed below a host's articles.
+    low = tree.join(hosts, "host").filter((F.col("importance") < LEAST) & (F.col("best") > 0.5) & ~F.col("path").rlike(r"/(html|body|p|h1)$|/(article|main)([./]|$)"))
     return low.groupBy("host").agg(F.collect_set("path").alias("branches"))
 
 
