@@ -65,6 +65,11 @@ def test_style_tree_removes_repeated_branches(spark):
     assert pages.extract(df.filter("page_id < 0")).count() == 0
 
 
+def test_main_text_keeps_links_and_all_of_main():
+    assert pages.main_text("<div><p><a href=x>Mostly a link</a> here</p><ul><li><a href=y>Reference</a></ul><p>b</p></div>") == "Mostly a link here\nReference\nb"
+    assert pages.main_text("<p>x</p><main><h1>T</h1><p>lead</p><article><p>a</p></article><section>s</section><article>b</article></main>") == "T\nlead\na\ns\nb"
+
+
 def test_style_tree_keeps_articles_and_does_not_depend_on_pages(spark):
     page = lambda i: f"<body><div class='x'>Club</div><div class='k'>turn {i % 4}</div><div class='w'><i>All</i><div>one {i}</div></div><article><h2>Method</h2><p>text {i}</p><h2>Results</h2></article></body>"
     df = spark.createDataFrame([(i, "http://h.org/%d" % i, page(i)) for i in range(3000)], "page_id long, url string, html string")

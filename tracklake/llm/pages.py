@@ -13,9 +13,10 @@ The tree is built by aggregation on (host, path, text): a hot host is pre-aggreg
 Pages that are equal count once, and a host's tree decides nothing below PAGES different pages. The list of removed
 branches is broadcast up to BROADCAST_ROWS rows and joined by host beyond that; pages are not shuffled for it otherwise.
 
-Edge cases: null or empty html gives an empty text; a null url is the host of no name; a page without article or main
-element gives all blocks that remain; repeated rows stay; other columns are not read. Broken markup is closed as
-browsers do for paragraphs and list items; a document that never ends a tag is text from there on.
+Edge cases: null or empty html gives an empty text; a null url is the host of no name; a page with article or main elements
+gives all that remains inside them, in page order, one without them all blocks that remain, short or linked ones too;
+repeated rows stay; other columns are not read. Broken markup is closed as browsers do for paragraphs and list items; a
+document that never ends a tag is text from there on.
 """
 
 from __future__ import annotations
@@ -108,14 +109,12 @@ def judged(tag: str, attributes: str, parent: Element | None) -> tuple[str, str]
 
 
 def blocks_of(html: str | None):
-    """(path, text, place, out, share of link text) of each block, and (path, child names) of each element."""
+    """(path, text, place, out) of each block, and (path, child names) of each element."""
     html = html or ""
     root = Element("", "", "", "")
     stack, path = [root], [""]
     blocks, shapes = [], []
     buffer: list[str] = []
-    state = {"links": 0}
-    link = 0
 
     def flush():
         if buffer:
@@ -123,23 +122,17 @@ def blocks_of(html: str | None):
             buffer.clear()
             if text:
                 top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCKS or not i))
-                blocks.append((path[top], text, stack[top].place, stack[top].out, state["links"] / max(len(text), 1)))
-        state["links"] = 0
+                blocks.append((path[top], text, stack[top].place, stack[top].out))
 
     def pop(to: int):
         while len(stack) > to:
             e = stack.pop()
             shapes.append((path.pop(), ",".join(e.kids)))
 
-    def said(text: str):
-        buffer.append(text)
-        if link:
-            state["links"] += len(" ".join(text.split()))
-
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
-            said(html[at : m.start()])
+            buffer.append(html[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -157,7 +150,6 @@ def blocks_of(html: str | None):
             else:
                 if tag in BLOCKS:
                     flush()
-            link = sum(e.tag == "a" for e in stack)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -183,9 +175,8 @@ def blocks_of(html: str | None):
             parent.kids.append(name)
         stack.append(e)
         path.append(path[-1] + "/" + name)
-        link += tag == "a" and not m[4].endswith("/")
     if at < len(html):
-        said(html[at:])
+        buffer.append(html[at:])
     flush()
     pop(1)
     return blocks, shapes
@@ -196,11 +187,7 @@ def main_text(html: str | None, removed: set[str] | None = None) -> str:
     blocks, _ = blocks_of(html)
     # Below an article or main element the tree removes nothing; a block goes by its own path, not for what else a branch holds.
     left = [b for b in blocks if not b[3] and (b[2] or not removed or b[0] not in removed)]
-    for place in ("article", "main"):
-        inside = [b for b in left if b[2] == place or place == "main" and b[2]]
-        if inside:
-            return "\n".join(b[1] for b in inside)
-    return "\n".join(b[1] for b in left if not (b[4] > 0.6 and len(b[1]) < 200))
+    return "\n".join(b[1] for b in [b for b in left if b[2]] or left)
 
 
 def _key(*parts: str) -> int:
@@ -218,7 +205,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 blocks, shapes = blocks_of(html)
                 kept = {b[0] for b in blocks if not b[3]}
                 # Only branches that nothing else removes have to be judged.
-                seen = {(path, 0, _key(text)) for path, text, _, gone, _ in blocks if not gone}
+                seen = {(path, 0, _key(text)) for path, text, _, gone in blocks if not gone}
                 seen |= {(path, 1, _key(shape)) for path, shape in shapes if shape and any(k.startswith(path) for k in kept)}
                 out += [(host, path, kind, feature, page) for path, kind, feature in seen]
             if out:
