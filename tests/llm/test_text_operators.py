@@ -165,6 +165,26 @@ def test_fingerprints(documents):
         assert r.edited_fingerprint == shown(sketch(edited)) and r.near_edited == pytest.approx(dice(sketch(t), sketch(edited)))
 
 
+def test_fingerprints_hold_all_anchors_with_places(documents):
+    """An edit of a long text shows in its fingerprint, and a passage shared with the next text is found at its places."""
+    words = prose(20, 4000).split(" ")
+    changed, shared = [*words[:2000], "entirely", "new", *words[2002:]], prose(21, 100)
+    rows = [(3, " ".join(words)), (2, " ".join(changed)), (1, prose(22, 900) + shared), (0, shared + prose(23, 900))]
+    out = syncmers.fingerprints(documents(rows))
+    got = {r.doc_id: r for r in out.collect()}
+    for d, t in rows:
+        b, places = t.encode(), got[d].fingerprint_places
+        hashes = [int(got[d].fingerprint[i : i + 8], 16) for i in range(0, len(got[d].fingerprint), 8)]
+        assert hashes == sorted(set(brute_anchors(b))) and hashes == [xxhash.xxh64_intdigest(b[p - 1 : p - 1 + syncmers.K], seed=42) & 0xFFFFFFFF for p in places]
+        assert all(b.find(b[p - 1 : p - 1 + syncmers.K]) == p - 1 for p in places)
+    assert got[3].fingerprint != got[2].fingerprint and 0.98 < got[3].near_next < 1 and got[1].near_next > 0.05
+    pair = out.filter("doc_id < 2").selectExpr("doc_id", "fingerprint_places AS places", "transform(sequence(0, length(fingerprint) div 8 - 1), i -> cast(conv(substring(fingerprint, i * 8 + 1, 8), 16, 10) AS bigint)) AS values").selectExpr("doc_id", "struct(values, places) AS f")
+    a, b = (pair.filter(f"doc_id = {d}").selectExpr(f"f AS f{d}") for d in (1, 0))
+    at = a.crossJoin(b).select(syncmers.matched(a["f1"], b["f0"]).alias("m")).first().m
+    shift = len(rows[2][1].encode()) - len(shared.encode())
+    assert len(at) > 50 and sum(p.a - p.b == shift for p in at) > 0.9 * len(at)
+
+
 def test_fingerprints_of_null_ids(documents):
     rows = [(None, "a" * 40), (-5, "b" * 40), (3, None)]
     got = {r.doc_id: r for r in syncmers.fingerprints(documents(rows)).collect()}

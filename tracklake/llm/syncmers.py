@@ -2,9 +2,10 @@
 
 A string of K bytes is a closed syncmer if the least hash of its inner strings of S bytes lies at its first or last place.
 Whether it is one depends on its own bytes alone: equal passages have equal anchors wherever they stand. A fingerprint is
-the KEPT smallest hashes of a text's distinct syncmers; likeness of two fingerprints is the Dice coefficient that they
-estimate. Because anchors are free of context, those of an edited text are taken from its parts: what the first half has
-on its own, and the anchors of the new half together with the K - 1 bytes before it.
+all hashes of a text's distinct syncmers, each with its first place in the text; likeness of two fingerprints is the Dice
+coefficient of these sets, and `matched` gives the places of their common anchors in both texts. Because anchors are free
+of context, those of an edited text are taken from its parts: what the first half has on its own, and the anchors of the
+new half together with the K - 1 bytes before it. Only places are shuffled; hashes are taken from the texts again.
 
 The next document by id lies in the same block of ids or is the head of the next block. Blocks hold at most `width`
 integer ids; the list of heads is bounded by MAX_BLOCKS, so it may be broadcast, and texts are shuffled once.
@@ -21,7 +22,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, KEPT = 16, 8, 64
+K, S = 16, 8
+#: Anchors that a fingerprint keeps: None is all of them.
+KEPT = None
 BLOCK, MAX_BLOCKS = 1024, 65_536
 
 
@@ -65,42 +68,59 @@ def anchors(data: Column, k: int = K, s: int = S) -> Column:
     return F.when(F.length(data) >= k, found).when(F.length(data) > 0, pair(whole, F.array(value(data)))).otherwise(pair(none, F.array().cast("array<bigint>")))
 
 
-def sketch(values: Column, kept: int = KEPT) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(values)), 1, kept)
+def sketch(values: Column) -> Column:
+    return F.sort_array(F.array_distinct(values))
 
 
-def printed(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def hashes_at(data: Column, places: Column, k: int = K) -> Column:
+    """The 32-bit hashes of a binary value's anchors at known places; the value itself where it is short."""
+    return F.transform(places, lambda i: F.xxhash64(F.substring(data, i, F.lit(k))).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """Dice coefficient estimated from two sketches."""
+def placed(values: Column, places: Column) -> Column:
+    """(values, places) by ascending value, each value once with its first place. Places are under 2 ** 31, values under 2 ** 32."""
+    bits = F.lit(1 << 31)
 
-    def measured(u: Column) -> Column:
-        both = F.size(F.array_intersect(F.array_intersect(u, a), b))
-        return (2.0 * both) / (F.size(u) + both)
+    def firsts(x: Column) -> Column:
+        value = lambda y: F.shiftrightunsigned(y, 31)
+        return F.filter(x, lambda y, i: (i == 0) | (value(y) != value(F.get(x, i - 1))))
 
-    merged = F.slice(F.sort_array(F.array_union(a, b)), 1, kept)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(let(merged, measured))
+    both = F.zip_with(values, places, lambda v, p: v * bits + p)
+    split = lambda x: F.struct(F.transform(x, lambda y: F.shiftrightunsigned(y, 31)).alias("values"), F.transform(x, lambda y: (y % bits).cast("int")).alias("places"))
+    return let(F.sort_array(both), lambda x: let(firsts(x), split))
 
 
-def _own(docs: DataFrame) -> DataFrame:
-    """Each document with what it needs of itself: its sketch, and the sketch of its first half."""
-    docs = docs.withColumn("n", F.length("text")).withColumn("front", F.expr("left(text, n - n div 2)"))
+def matched(a: Column, b: Column) -> Column:
+    """(place in a, place in b) of the common anchors of two fingerprints (values, places), in order of the first place."""
+    common = F.array_intersect(a["values"], b["values"])
+    place = lambda f, v: F.element_at(f["places"], F.array_position(f["values"], v).cast("int"))
+    return F.sort_array(F.transform(common, lambda v: F.struct(place(a, v).alias("a"), place(b, v).alias("b"))))
 
-    def sketches(given: Column) -> Column:
-        def of(found: Column) -> Column:
-            inside = F.size(F.filter(found["places"], lambda i: i <= given["end"]))
-            return F.struct(sketch(found["values"]).alias("own"), sketch(F.slice(found["values"], F.lit(1), inside)).alias("half"))
 
-        return let(anchors(given["data"]), of)
+def printed(values: Column) -> Column:
+    return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+
 
+def likeness(a: Column, b: Column) -> Column:
+    """Dice coefficient of two sets of anchors."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """Each document with the places of its anchors, and the number of those that its first half has on its own."""
+    docs = docs.withColumn("n", F.length("text")).withColumn("front", F.expr("left(text, n - n div 2)"))
     given = F.struct(F.encode("text", "UTF-8").alias("data"), (F.octet_length("front") - (K - 1)).alias("end"))
-    return docs.withColumn("s", let(given, sketches)).select("id", "doc_id", "block", "ghost", "h", "text", "n", F.col("s.own").alias("own"), F.col("s.half").alias("half"))
+
+    def found(g: Column) -> Column:
+        places = F.when(F.length(g["data"]) >= K, syncmer_places(g["data"])).when(F.length(g["data"]) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+        return let(places, lambda p: F.struct(p.alias("places"), F.size(F.filter(p, lambda i: i <= g["end"])).alias("inside")))
+
+    return docs.withColumn("s", let(given, found)).select("id", "doc_id", "block", "ghost", "h", "text", "n", F.col("s.places").alias("places"), F.col("s.inside").alias("inside"))
 
 
 def fingerprints(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, fingerprint_places for every row."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
@@ -116,7 +136,7 @@ def fingerprints(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     heads = docs.join(F.broadcast(tops), docs["id"] == tops["top"]).select("doc_id", "text", "id", F.col("above").alias("block"), F.lit(1).alias("ghost"), "h")
     rows = _own(docs).unionByName(_own(heads))
     following = Window.partitionBy("block").orderBy("ghost", F.desc("id"), "h")
-    rows = rows.withColumn("next_text", F.lead("text").over(following)).withColumn("next_own", F.lead("own").over(following)).filter("ghost = 0")
+    rows = rows.withColumn("next_text", F.lead("text").over(following)).withColumn("next_places", F.lead("places").over(following)).filter("ghost = 0")
     rows = rows.withColumn("front", F.expr("left(text, n - n div 2)")).withColumn("back", F.expr("left(next_text, n div 2)"))
 
     def edited(front: Column, back: Column) -> Column:
@@ -127,10 +147,14 @@ def fingerprints(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         values = F.when(F.length(whole) < K, let(whole, lambda d: anchors(d)["values"])).otherwise(F.concat("half_values", let(seam, lambda d: F.when(F.length(d) >= K, anchors(d)["values"]).otherwise(F.array().cast("array<bigint>")))))
         return F.struct(F.sha2(whole, 256).alias("sha"), sketch(values).alias("sketch"))
 
+    own = let(F.encode("text", "UTF-8"), lambda d: hashes_at(d, F.col("places")))
+    following_own = let(F.encode(F.coalesce("next_text", F.lit("")), "UTF-8"), lambda d: hashes_at(d, F.coalesce("next_places", F.array().cast("array<int>"))))
+    rows = rows.withColumn("values", own).withColumn("next_own", following_own)
     # A first half under K bytes has no anchors of its own.
-    rows = rows.withColumn("half_values", F.col("half"))
+    rows = rows.withColumn("half_values", F.slice("values", F.lit(1), F.col("inside")))
     rows = rows.withColumn("e", let(F.struct(F.encode("front", "UTF-8").alias("f"), F.encode("back", "UTF-8").alias("b")), lambda p: edited(p["f"], p["b"])))
+    rows = rows.withColumn("own", placed(F.col("values"), F.col("places")))
     return rows.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), F.col("e.sha").alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("e.sketch")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("e.sketch")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.col("e.sha").alias("edited_sha256"), printed(F.col("own.values")).alias("fingerprint"), printed(F.col("e.sketch")).alias("edited_fingerprint"),
+        likeness(F.col("own.values"), F.col("e.sketch")).alias("near_edited"), likeness(F.col("own.values"), F.array_distinct("next_own")).alias("near_next"), F.col("own.places").alias("fingerprint_places"),
     )
