@@ -2,6 +2,7 @@
 
 import gzip
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,25 @@ def test_bands(spark):
     assert ci[0].upper > band[0].upper and ci[1].centre is None
     with pytest.raises(Exception, match="one sign"):
         P.profile(m.withColumn("bins", F.array(F.col("ord") - 3.0, F.lit(1.0)).cast("array<float>")), "geom_mean").collect()
+
+
+def test_ward_from_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 6)) + 4 * rng.integers(0, 3, (700, 1))
+    want, got = clusters.ward_tree(x), clusters.ward_tree_of_vectors(x, block=64)
+    assert [m[:2] for m in got] == [m[:2] for m in want] and np.allclose([m[2] for m in got], [m[2] for m in want])
+    assert len(clusters.ward_tree_of_vectors(np.ones((50, 2)))) == 49 and clusters.ward_tree_of_vectors(x[:1]) == []
+    monkeypatch.setattr(clusters, "WARD_ROWS", 100)
+    vectors = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "row_id long, ord long, x array<double>")
+    named = {r.row_id: r.cluster for r in clusters.ward(vectors, 3).collect()}
+    label = clusters.cut(want, 700, 3)
+    assert len({(named[i], label[i]) for i in range(700)}) == 3 and len(named) == 700
+
+
+def test_ward_query_reads_all_rows(spark, tmp_path):
+    from tracklake.plans import catalog
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=64).tolist(), i % 3) for i in (*range(40), *range(2000, 2040))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r.row_id for r in catalog.QUERIES["clusters_by_ward"](spark, str(tmp_path)).collect()} == {i for i, _, _ in rows}

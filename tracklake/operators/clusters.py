@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracklake.shipping import ship_code
 
-#: Rows that a task may cluster by linkage: its distances take 8 bytes for each pair.
+#: Rows whose distances a task may hold, 8 bytes for each pair; more are linked from centroids and sizes.
 WARD_ROWS = 8192
 
 
@@ -73,7 +73,49 @@ def ward_tree(x: np.ndarray) -> list[tuple[int, int, float]]:
             alive[b] = False
         else:
             chain.append(b)
-    # In order of height, with numbers of the merged clusters.
+    return _numbered(merges, n)
+
+
+def ward_tree_of_vectors(x: np.ndarray, block: int = 1024) -> list[tuple[int, int, float]]:
+    """As ward_tree, from centroids and sizes: memory for the rows and `block` rows of distances.
+
+    In each round all pairs that are each other's nearest merge; by Ward's criterion a merged cluster is never nearer to a
+    third one than its parts were, so only clusters whose nearest has gone look for it again. Equal distances may merge in
+    another order than in ward_tree.
+    """
+    n = len(x)
+    centre, size, alive = np.array(x, float), np.ones(n), np.arange(n)
+    near, far, done = np.full(n, -1), np.full(n, np.inf), np.zeros(n)
+    stale, merges = alive, []
+    while len(alive) > 1:
+        points, square = centre[alive], (centre[alive] ** 2).sum(1)
+        for s in range(0, len(stale), block):
+            part = stale[s : s + block]
+            d = np.maximum((centre[part] ** 2).sum(1)[:, None] + square[None, :] - 2 * centre[part] @ points.T, 0)
+            d *= 2 * size[part][:, None] * size[alive][None, :] / (size[part][:, None] + size[alive][None, :])
+            d[np.arange(len(part)), np.searchsorted(alive, part)] = np.inf
+            at = d.argmin(1)
+            near[part], far[part] = alive[at], d[np.arange(len(part)), at]
+        pairs = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+        if not len(pairs):
+            # Equal distances in a ring: the nearest pair of all merges.
+            pairs = alive[[far[alive].argmin()]]
+        gone = []
+        for a in pairs.tolist():
+            a, b = min(a, int(near[a])), max(a, int(near[a]))
+            # No cluster is lower than its parts, whatever was rounded.
+            done[a] = max(far[a], far[b] if near[b] == a else far[a], done[a], done[b])
+            merges.append((a, b, float(done[a])))
+            centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            gone += [a, b]
+        alive = np.setdiff1d(alive, [b for _, b, _ in merges[-len(pairs) :]], assume_unique=True)
+        stale = alive[np.isin(alive, gone) | np.isin(near[alive], gone)]
+    return _numbered(merges, n)
+
+
+def _numbered(merges: list[tuple[int, int, float]], n: int) -> list[tuple[int, int, float]]:
+    """In order of height, with numbers of the merged clusters."""
     merges.sort(key=lambda m: m[2])
     number, out = list(range(n)), []
     for k, (a, b, height) in enumerate(merges):
@@ -106,15 +148,13 @@ def cut(merges: list[tuple[int, int, float]], n: int, k: int) -> list[int]:
 
 
 def ward(vectors: DataFrame, k: int) -> DataFrame:
-    """Ward clustering of up to WARD_ROWS rows in one task; its distances bound the rows, so more are refused."""
-    n = vectors.count()
-    if n > WARD_ROWS:
-        raise ValueError(f"linkage of {n} rows needs more than its bounded distances; use k-means")
+    """Ward clustering of all rows in one task: from their distances up to WARD_ROWS rows, from centroids beyond that."""
+    held = WARD_ROWS
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
         x = np.array(rows["x"].tolist())
-        rows["label"] = cut(ward_tree(x), len(x), k)
+        rows["label"] = cut(ward_tree(x) if len(x) <= held else ward_tree_of_vectors(x), len(x), k)
         return rows[["row_id", "ord", "x", "label"]]
 
     ship_code(vectors.sparkSession)

@@ -629,4 +629,4 @@ def clusters_by_kmeans(spark, sf):
 def clusters_by_ward(spark, sf):
     from tracklake.operators import clusters
 
-    return clusters.ward(clusters.row_vectors(f.matrix(spark, sf).filter("row_id < 2000")), 4).select("row_id", "cluster", "name")
+    return clusters.ward(clusters.row_vectors(f.matrix(spark, sf)), 4).select("row_id", "cluster", "name")
