@@ -143,3 +143,23 @@ def test_ward_query_reads_all_rows(spark, tmp_path):
     rows = [(i, rng.normal(size=64).tolist(), i % 3) for i in (*range(40), *range(2000, 2040))]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {r.row_id for r in catalog.QUERIES["clusters_by_ward"](spark, str(tmp_path)).collect()} == {i for i, _, _ in rows}
+
+
+def test_cluster_and_bootstrap_queries_use_defaults(spark, monkeypatch):
+    import inspect
+
+    from tracklake.plans import catalog
+
+    sf, seen = "/root/testdata/sf0.001", {}
+    for module, name, of in ((clusters, "kmeans", "restarts"), (P, "bootstrap", "resamples")):
+        whole = getattr(module, name)
+
+        def spy(*given, _whole=whole, _name=name, _of=of, **named):
+            seen[_name] = inspect.signature(_whole).bind(*given, **named)
+            seen[_name].apply_defaults()
+            seen[_name] = seen[_name].arguments[_of]
+            return spark.createDataFrame([(1, 1, "x")], "row_id long, cluster int, name string")
+
+        monkeypatch.setattr(module, name, spy)
+    catalog.QUERIES["clusters_by_kmeans"](spark, sf), catalog.QUERIES["profile_bootstrap"](spark, sf)
+    assert seen == {"kmeans": 20, "bootstrap": 300}

@@ -30,7 +30,7 @@ def _named(assigned: DataFrame) -> DataFrame:
     return assigned.join(F.broadcast(ranks), "label").drop("label").withColumn("name", F.concat(F.lit("cluster_"), (F.col("cluster") + 1).cast("string")))
 
 
-def kmeans(vectors: DataFrame, k: int, restarts: int = 5, iterations: int = 300, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
+def kmeans(vectors: DataFrame, k: int, restarts: int = 20, iterations: int = 300, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
     """Best of several starts by cost; empty clusters do not appear."""
     features = vectors.withColumn("features", array_to_vector("x")).persist()
     best = None

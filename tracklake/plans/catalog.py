@@ -458,7 +458,7 @@ def profile_mean_with_confidence(spark, sf):
 
 @query()
 def profile_bootstrap(spark, sf):
-    return P.bootstrap(f.matrix(spark, sf), resamples=50)
+    return P.bootstrap(f.matrix(spark, sf))
 
 
 # --- more of the matrix build -------------------------------------------------------------------------------------------
@@ -622,7 +622,7 @@ def silhouettes_of_groups(spark, sf):
 def clusters_by_kmeans(spark, sf):
     from tracklake.operators import clusters
 
-    return clusters.kmeans(clusters.row_vectors(f.matrix(spark, sf)), 4, restarts=2).select("row_id", "cluster", "name")
+    return clusters.kmeans(clusters.row_vectors(f.matrix(spark, sf)), 4).select("row_id", "cluster", "name")
 
 
 @query()
