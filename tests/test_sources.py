@@ -1,6 +1,8 @@
 """Text formats: parsing rules, and files written and read again."""
 
 import gzip
+import math
+import random
 
 import numpy as np
 import pytest
@@ -76,18 +78,48 @@ def test_matrix_round_trip(spark, tmp_path):
         S.check_header(header | {"upstream": [1000]})
 
 
+def judged(row, statistic, nan_mode, action, low, high, gated, inclusive):
+    """One row's samples after a filter, or None where it goes: the policy in plain words."""
+    outside = lambda v: v <= low or v >= high if inclusive else v < low or v > high
+    failed = []
+    for s, bins in enumerate(row):
+        here = [v for v in bins if math.isfinite(v)]
+        tested = here if statistic == "perBin" else [{"mean": np.mean, "median": np.median, "sum": np.sum, "min": min, "max": max}[statistic](here)] if here else []
+        lacking = nan_mode == "any_bin" and len(here) < len(bins) or nan_mode == "any_sample" and not here
+        failed.append(s in gated and (lacking or any(map(outside, tested))))
+    if nan_mode == "all_bins" and not any(math.isfinite(v) for s in gated for v in row[s]):
+        failed = [s in gated for s in range(len(row))]
+    if action == "remove":
+        return None if any(failed) else [[v if math.isfinite(v) else None for v in bins] for bins in row]
+    return [[None if f or not math.isfinite(v) else v for v in bins] for f, bins in zip(failed, row)]
+
+
 def test_filter_policy(spark):
-    """Rows with missing, infinite and extreme bins under every policy; three samples of 1, 3 and 2 bins."""
-    n, i = float("nan"), float("inf")
-    rows = [[n] * 6, [2, n, n, n, n, n], [n, 1, 2, 3, 2, 2], [2, 1, n, 3, i, 2], [-1, 1, 2, 3, 2, 5], [4, 1e20, 1, -1e20, 0, 4], [0] * 6, [2, -i, n, i, 2, 2]]
-    long = [(r, 0, r, s, [float(v) for v in row[a:b]]) for r, row in enumerate(rows) for s, (a, b) in enumerate(((0, 1), (1, 4), (4, 6)))]
-    m = X.stored(spark.createDataFrame(long, "row_id long, group_id int, ord long, sample int, bins array<double>"))
-    kept = lambda **o: {r.row_id for r in X.filter_values(m, 0, 4, **o).select("row_id").distinct().collect()}
-    assert kept() == {0, 1, 2, 3, 6, 7} and kept(nan_mode="any_sample") == {3, 6} and kept(nan_mode="any_bin") == {6} and kept(nan_mode="all_bins") == {1, 2, 3, 6, 7}
-    assert kept(statistic="mean") == {0, 1, 2, 3, 4, 5, 6, 7} - {4} and kept(statistic="sum", samples=[2]) == {0, 1, 2, 3, 5, 6, 7}
-    assert kept(inclusive=True) == {0, 1, 2, 3, 7} and {r.row_id for r in X.skip_zeros(m).collect()} == {1, 2, 3, 4, 5, 7}
-    masked = {(r.row_id, r.sample): r.bins for r in X.filter_values(m, 0, 4, action="mask").collect()}
-    assert masked[4, 0] == [None] and masked[4, 1] == [1.0, 2.0, 3.0] and masked[4, 2] == [None, None] and len(masked) == 24
+    """Random rows, missing and infinite bins among them, under every statistic, missing-value mode and action."""
+    rng = random.Random(8)
+    value = lambda: rng.choice([math.nan, math.inf, -math.inf, 0.0, 5.0, -2.0, 2.0**50, *(float(rng.randint(-1, 6)) for _ in range(9))])
+    rows = [[[math.nan if rng.random() < 0.15 else value() for _ in range(n)] if rng.random() < 0.9 else [math.nan] * n for n in (2, 4, 1, 3)] for _ in range(60)]
+    m = X.stored(spark.createDataFrame([(r, 0, r, s, bins) for r, row in enumerate(rows) for s, bins in enumerate(row)], "row_id long, group_id int, ord long, sample int, bins array<double>")).cache()
+    for k, (statistic, nan_mode) in enumerate((s, n) for s in X.FILTER_STATISTICS for n in X.NAN_MODES):
+        action, gated, inclusive = ("remove", "mask")[k % 2], ([0, 1, 2, 3], [1], [0, 3])[k % 3], k % 5 == 0
+        got = {}
+        for r in X.filter_values(m, -2, 5, statistic, nan_mode, gated, action, inclusive).collect():
+            got.setdefault(r.row_id, {})[r.sample] = r.bins
+        want = {r: dict(enumerate(left)) for r, row in enumerate(rows) if (left := judged(row, statistic, nan_mode, action, -2, 5, gated, inclusive))}
+        assert got == want, (statistic, nan_mode, action)
+    kept = {r.row_id for r in X.skip_zeros(m).select("row_id").distinct().collect()}
+    assert kept == {r for r, row in enumerate(rows) if any(math.isfinite(v) and v for bins in row for v in bins)}
+
+
+def test_combine_keeps_the_rows_of_the_first(spark):
+    schema = "row_id long, group_id int, ord long, sample int, bins array<float>, name string"
+    first = spark.createDataFrame([(1, 0, 0, 0, [1.0, None], "a"), (2, 0, 1, 0, [None, 4.0], "b"), (3, 1, 0, 0, [5.0, 6.0], "a")], schema)
+    other = spark.createDataFrame([(7, 0, 0, 0, [3.0, None], "a"), (1, 1, 0, 0, [None, 2.0], "a"), (9, 0, 5, 0, [9.0, 9.0], "z")], schema)
+    got = X.combine([first, other], "mean", ["name"])
+    assert got.columns == first.columns and {(r.row_id, r.ord): r.bins for r in got.collect()} == {(1, 0): [2.0, None], (2, 1): [None, 4.0], (3, 0): [5.0, 4.0]}
+    assert {r.row_id: r.bins for r in X.combine([first, other, first], "sum").collect()} == {1: [2.0, 2.0], 2: [None, 8.0], 3: [10.0, 12.0]}
+    with pytest.raises(Exception, match="more than once"):
+        X.combine([first, other.unionByName(other)], "mean", ["name"]).collect()
 
 
 def test_sort_rules(spark):
@@ -101,6 +133,10 @@ def test_sort_rules(spark):
             one, cut = ({tuple(r) for r in X.sort_order(many, "mean", method, q, per_task=n).collect()} for n in (1000, 20))
             assert one == cut and len(one) == 300
     assert X.relabel(["a", "b"], {"2": "c"}) == ["a", "c"] and X.pseudocount_spec("min-numerator/2") == ("min", "numerator", 2.0) and X.pseudocount_spec("0.5")[2] == 0.5
+    assert X.pseudocount_spec("MIN-denominator") == ("min", "denominator", 1.0) and X.pseudocount_spec("max-numerator/1e-3") == ("max", "numerator", 0.001) and X.pseudocount_spec("-2e1") == ("number", None, -20.0)
+    for wrong in ("min-numerator/0", "mean-numerator", "min-numerator/", "inf", "min-numerator/nan", "max", ""):
+        with pytest.raises(ValueError):
+            X.pseudocount_spec(wrong)
 
 
 def test_clusters(spark):

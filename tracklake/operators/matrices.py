@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -286,14 +286,20 @@ def scale_rows(bins: Column, by: str, first: int = 0, count: int | None = None)
 
 
 def pseudocount_spec(text: str) -> tuple[str, str | None, float]:
-    """A number, or an extreme of a side over a number: 'min-numerator/2' gives ('min', 'numerator', 2)."""
-    m = re.fullmatch(r"(min|max)-(numerator|denominator)(?:/([0-9.]+))?", text.strip())
-    if m:
-        by = float(m[3] or 1)
-        if not by > 0:
-            raise ValueError("the divisor must be positive")
-        return m[1], m[2], by
-    return "number", None, float(text)
+    """A finite number, or an extreme of a side over a number, in any case: 'min-numerator/2' gives ('min', 'numerator', 2)."""
+    try:
+        kind, side, by = "number", None, float(text)
+    except ValueError:
+        name, slash, divisor = text.strip().lower().partition("/")
+        kind, _, side = name.partition("-")
+        if kind not in ("min", "max") or side not in ("numerator", "denominator"):
+            raise ValueError(f"no pseudocount: {text!r}") from None
+        by = float(divisor) if slash else 1.0
+        if by == 0:
+            raise ValueError("a pseudocount can't be divided by zero") from None
+    if not math.isfinite(by):
+        raise ValueError(f"{text!r} isn't finite")
+    return kind, side, by
 
 
 def nonzero_extreme(matrix: DataFrame, which: str) -> DataFrame:
@@ -329,19 +335,30 @@ def compare(num: Column, den: Column, operation: str, pseudocount: float | Colum
     return F.zip_with(num, den, one)
 
 
-def combine(matrices: list[DataFrame], how: str = "mean") -> DataFrame:
-    """Sum or mean of the present bins of several matrices with the same rows and samples; missing where none is present."""
+def combine(matrices: list[DataFrame], how: str = "mean", identity: list[str] | None = None) -> DataFrame:
+    """Sum or mean of the present bins of several matrices with the same samples; missing where none is present.
+
+    The rows are those of the first matrix: what others lack counts as missing, what only they have goes. identity: the
+    columns beside group_id that name a region; None aligns by row_id. A region that another matrix has twice is refused.
+    """
     if how not in ("sum", "mean"):
         raise ValueError("how must be sum or mean")
-    out = None
-    for m in matrices:
-        part = m.select("row_id", "group_id", "ord", "sample", F.posexplode("bins").alias("bin", "v"))
-        out = part if out is None else out.unionByName(part)
-    v = F.col("v").cast("double")
-    value = (F.sum if how == "sum" else F.avg)(v)
-    cells = out.groupBy("row_id", "sample", "bin").agg(F.min("group_id").alias("group_id"), F.min("ord").alias("ord"), narrow(value).alias("v"))
-    rows = cells.groupBy("row_id", "group_id", "ord", "sample").agg(F.sort_array(F.collect_list(F.struct("bin", F.struct("v").alias("v")))).alias("c"))
-    return rows.select("row_id", "group_id", "ord", "sample", F.transform("c", lambda c: c["v"]["v"]).alias("bins"))
+    first, *others = matrices
+    keys = ["row_id"] if identity is None else ["group_id", *identity]
+    out = first
+    for k, other in enumerate(others):
+        # One row for each key, so that the join can't multiply rows.
+        once = other.groupBy(*keys, "sample").agg(F.min("bins").alias(f"_bins{k}"), F.count("*").alias("_n"))
+        bins = F.when(F.col("_n") == 1, F.col(f"_bins{k}")).otherwise(F.raise_error(F.lit("a region occurs more than once in a matrix")))
+        out = out.join(once.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "sample")], bins.alias(f"_bins{k}")), [first[c].eqNullSafe(F.col(f"_{c}")) for c in (*keys, "sample")], "left").drop(*[f"_{c}" for c in (*keys, "sample")])
+    parts = [F.col(f"_bins{k}") for k in range(len(others))]
+
+    def one(v: Column, i: Column) -> Column:
+        held = F.filter(F.array(v.cast("double"), *[F.get(p, i).cast("double") for p in parts]), lambda x: x.isNotNull())
+        total = F.aggregate(held, F.lit(0.0), lambda a, x: a + x)
+        return narrow(F.when(F.size(held) > 0, total if how == "sum" else total / F.size(held)))
+
+    return out.withColumn("bins", F.transform("bins", one)).drop(*[f"_bins{k}" for k in range(len(others))])
 
 
 def data_range(matrix: DataFrame) -> DataFrame:
