@@ -2,10 +2,11 @@
 
 Features of a text: densities of a fixed insult lexicon and of a lexicon learned from the training rows (whole words and
 word beginnings), nearness of its words to second-person words, shares of capitals, punctuation and obfuscation.
-The learned lexicon and the trees are fitted across FOLDS folds, so that no row's features see its own label; the
-calibration uses predictions for rows that their trees have not seen. Learning takes at most SAMPLE labelled rows, those
-of least hash: the bound is the parameter `sample`. Counting is done by Spark; the driver gets at most SAMPLE rows of
-dense features and LEXICON keys. Scoring is a map over whole texts without shuffle.
+A row's features come from a lexicon that is counted without the row's fold. The calibration is fitted on margins of rows
+whose labels had no part in them: for fold g, lexicons and trees are made without g, lexicons of another fold's rows
+without that fold as well. A score is the centred isotonic fit of the margin: linear between the middles of its steps.
+Learning takes at most SAMPLE labelled rows, those of least hash: the bound is the parameter `sample`, and it bounds what
+the driver gets, dense features and counted keys. Scoring is a map over whole texts without shuffle, SLICE at a time.
 
 Edge cases: null and empty texts have all features 0 and get the score that the model gives them; without both labels
 among the training rows, the score is the training rate, or 0.5 without rows; a null doc_id is not held out; repeated
@@ -17,17 +18,22 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, ship_code
+from .common import mapped, materialize, ship_code
 
 SAMPLE = 20_000
-LEXICON = 4_000
 FOLDS = 4
+#: Toxic documents that hold a learned key, at least.
+LEAST_TOXIC = 3
+#: Keys that a task counts before it hands them on, and texts that are held at once.
+KEYS_HELD, SLICE = 100_000, 200
 THRESHOLD = 0.3
 STEM = (4, 6)
 
@@ -45,7 +51,6 @@ DISGUISE = str.maketrans("013457@$!", "oieastasi")
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"\S+")
-N_FEATURES = 28
 
 
 def words_of(text: str) -> list[str]:
@@ -60,9 +65,28 @@ def keys_of(words) -> set[str]:
     return found
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    text = text or ""
-    words = words_of(text)
+def plain_features(text: str, words: list[str]) -> tuple[list[float], list[str]]:
+    """What no lexicon decides (capitals, punctuation, spelled-out and mixed words, lengths), and the undisguised mixed words."""
+    n, chars = max(len(words), 1), max(len(text), 1)
+    letters = sum(map(len, words))
+    capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text))
+    mixed, uncovered = 0, []
+    for token in text.split():
+        if not token.isalpha():
+            core = token.strip(".,;:!?\"'()[]|")
+            if core and not core.isalpha():
+                mixed += any(ch.isalpha() for ch in core)
+                uncovered.append(re.sub(r"[^\w]|_", "", core.translate(DISGUISE).lower()))
+    spelled = len(re.findall(r"\b(?:\w[ .\-_*]){3,}\w\b", text))
+    return [
+        capitals / max(letters, 1), 100.0 * shouted / n, 100.0 * text.count("!") / chars, 100.0 * text.count("?") / chars,
+        100.0 * mixed / n, 100.0 * spelled / n, math.log1p(n), math.log1p(chars),
+    ], uncovered
+
+
+def lexicon_features(words: list[str], uncovered: list[str], second: np.ndarray, lexicon: dict[str, float]) -> list[float]:
+    """Counts and densities of insults and learned keys, and how many of their places are near a second-person word."""
     n = max(len(words), 1)
     whole, stems, best, insults, places = [], [], 0.0, 0, []
     known: dict[str, tuple[float, float, bool]] = {}
@@ -80,71 +104,75 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
         if c or a > 1.5 or b > 1.5:
             places.append(i)
         best = max(best, a, b)
-    second = [i for i, w in enumerate(words) if w in SECOND]
     near = 0
-    if second and places:
-        at = np.array(second)
-        j = np.searchsorted(at, places)
-        near = int(((np.abs(at[np.minimum(j, len(at) - 1)] - places) <= 5) | (np.abs(at[np.maximum(j - 1, 0)] - places) <= 5)).sum())
-    letters = sum(map(len, words))
-    capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-    shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b", text))
-    tokens = text.split()
-    odd = [t for t in tokens if not t.isalpha()]
-    mixed, uncovered = 0, 0
-    for t in odd:
-        core = t.strip(".,;:!?\"'()[]|")
-        if core and not core.isalpha():
-            plain = core.translate(DISGUISE).lower()
-            squeezed = re.sub(r"[^\w]|_", "", plain)
-            if any(ch.isalpha() for ch in core):
-                mixed += 1
-            if squeezed in INSULTS or lexicon.get(squeezed, 0.0) > 1.5:
-                uncovered += 1
-    spelled = len(re.findall(r"\b(?:\w[ .\-_*]){3,}\w\b", text))
-    chars = max(len(text), 1)
+    if len(second) and places:
+        j = np.searchsorted(second, places)
+        near = int(((np.abs(second[np.minimum(j, len(second) - 1)] - places) <= 5) | (np.abs(second[np.maximum(j - 1, 0)] - places) <= 5)).sum())
     density = lambda x: 100.0 * x / n
+    hidden = sum(u in INSULTS or lexicon.get(u, 0.0) > 1.5 for u in uncovered)
     span = (places[-1] - places[0]) / n if len(places) > 1 else 0.0
-    distinct = len({words[i] for i in places})
     return [
         insults, density(insults), len(whole), density(len(whole)), sum(whole), density(sum(whole)), len(stems), density(len(stems)), sum(stems), density(sum(stems)), best,
-        len(places), density(len(places)), distinct, span, near, density(near), len(second), density(len(second)),
-        capitals / max(letters, 1), density(shouted), 100.0 * text.count("!") / chars, 100.0 * text.count("?") / chars, density(mixed), density(uncovered), density(spelled), math.log1p(n), math.log1p(chars),
+        len(places), density(len(places)), len({words[i] for i in places}), span, near, density(near), len(second), density(len(second)), density(hidden),
     ]
 
 
+def features(text: str | None, lexicons: list[dict[str, float]]) -> list[list[float]]:
+    """Dense features of a text by each lexicon."""
+    text = text or ""
+    words = words_of(text)
+    plain, uncovered = plain_features(text, words)
+    second = np.array([i for i, w in enumerate(words) if w in SECOND], int)
+    return [plain + lexicon_features(words, uncovered, second, lexicon) for lexicon in lexicons]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def learned_lexicon(rows: DataFrame, limit: int = LEXICON) -> list[tuple[str, list[int], list[int]]]:
-    """Keys that tell the labels apart, with the documents of each label and fold that hold them; at most `limit` keys."""
+def learned_lexicon(rows: DataFrame) -> list[tuple[str, list[int], list[int]]]:
+    """Keys that tell the labels apart, with the documents of each label and fold that hold them.
+
+    Keys are counted in slices of KEYS_HELD and summed by Spark. What weigh() would never weigh isn't collected: the rest is
+    bounded by the sample, whose toxic documents hold each such key three times or more.
+    """
 
     def keys(batches):
+        schema = pa.schema([("key", pa.string()), ("side", pa.int32()), ("n", pa.int64())])
+        counts: Counter = Counter()
+
+        def counted():
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(counts.values(), pa.int64())], schema=schema)
+            counts.clear()
+            return out
+
         for batch in batches:
-            out: list[tuple[str, int, int]] = []
-            for text, fold, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(k, fold, toxic) for k in keys_of(words_of(text or ""))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32()))], ["key", "fold", "toxic"])
-
-    # Sums over (label, fold) in one pass; a key needs three toxic documents.
-    counts = [F.count_if((F.col("toxic") == t) & (F.col("fold") == f)).alias(f"c{t}{f}") for t in (0, 1) for f in range(FOLDS)]
-    found = mapped(rows.select("text", "fold", "toxic"), keys, "key string, fold int, toxic int").groupBy("key").agg(*counts)
-    clean, toxic = (sum((F.col(f"c{t}{f}") for f in range(FOLDS)), F.lit(0)) for t in (0, 1))
-    best = found.filter(toxic >= 3).withColumn("gain", toxic - 0.5 * clean).orderBy(F.desc(toxic / (clean + 1)), F.desc(toxic), "key").limit(limit).collect()
+            for i in range(batch.num_rows):
+                text, fold, toxic = (c[i].as_py() for c in batch.columns)
+                side = toxic * FOLDS + fold
+                counts.update((k, side) for k in keys_of(words_of(text or "")))
+                if len(counts) > KEYS_HELD:
+                    yield counted()
+        if counts:
+            yield counted()
+
+    # Sums over (label, fold) in one pass.
+    sums = [F.coalesce(F.sum(F.when(F.col("side") == t * FOLDS + f, F.col("n"))), F.lit(0)).alias(f"c{t}{f}") for t in (0, 1) for f in range(FOLDS)]
+    found = mapped(rows.select("text", "fold", "toxic"), keys, "key string, side int, n long").groupBy("key").agg(*sums)
+    toxic = sum((F.col(f"c1{f}") for f in range(FOLDS)), F.lit(0))
+    best = found.filter(toxic >= LEAST_TOXIC).orderBy("key").collect()
     return [(r["key"], [r[f"c0{f}"] for f in range(FOLDS)], [r[f"c1{f}"] for f in range(FOLDS)]) for r in best]
 
 
-def weigh(found, sizes, without: int | None) -> dict[str, float]:
-    """Log odds of each key, counted over all folds but one."""
-    folds = [f for f in range(FOLDS) if f != without]
+def weigh(found, sizes, without: tuple[int, ...] = ()) -> dict[str, float]:
+    """Log odds of each key, counted over all folds but those."""
+    folds = [f for f in range(FOLDS) if f not in without]
     n0, n1 = (max(sum(sizes[t][f] for f in folds), 1) for t in (0, 1))
     out = {}
     for key, clean, toxic in found:
         a, b = sum(toxic[f] for f in folds), sum(clean[f] for f in folds)
         weight = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-        if a >= 3 and weight > 0.7:
+        if a >= LEAST_TOXIC and weight > 0.7:
             out[key] = weight
     return out
 
@@ -199,20 +227,17 @@ class Trees:
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing fit by pooling adjacent violators, with one clean and one toxic case as prior at the ends."""
+    """Centred isotonic fit: pools adjacent violators, and puts each pool's rate at its mean score. Far outside, 0 and 1."""
     order = np.argsort(scores, kind="stable")
-    blocks: list[list[float]] = []  # sum, count, lowest, highest score
-    for s, t in zip(scores[order], y[order]):
-        blocks.append([t, 1.0, s, s])
-        while len(blocks) > 1 and (blocks[-2][2] == blocks[-1][2] or blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]):
-            a, b = blocks.pop(-2), blocks[-1]
-            blocks[-1] = [a[0] + b[0], a[1] + b[1], a[2], b[3]]
-    xs, ys = [], []
-    for total, n, low, high in blocks:
-        value = (total + 0.02) / (n + 0.2)
-        xs += [low, high] if high > low else [low]
-        ys += [value, value] if high > low else [value]
-    return np.array(xs), np.maximum.accumulate(np.array(ys))
+    pools: list[list[float]] = []  # toxic rows, rows, sum of scores, highest score
+    for s, t in zip(scores[order].tolist(), y[order].tolist()):
+        pools.append([t, 1.0, s, s])
+        while len(pools) > 1 and (pools[-2][3] == s or pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]):
+            a, b = pools.pop(-2), pools[-1]
+            pools[-1] = [a[0] + b[0], a[1] + b[1], a[2] + b[2], b[3]]
+    xs = [total / n for _, n, total, _ in pools]
+    ys = [toxic / n for toxic, n, _, _ in pools]
+    return np.array([xs[0] - 10, *xs, xs[-1] + 10]), np.array([0.0, *ys, 1.0])
 
 
 class Model:
@@ -224,10 +249,12 @@ class Model:
     def score(self, rows: list[list[float]]) -> np.ndarray:
         if self.trees is None or not rows:
             return np.full(len(rows), self.constant)
-        margin = self.trees.margin(np.array(rows))
-        # The margin still orders texts within a step of the calibration.
-        step = np.interp(margin, *self.curve)
-        return np.clip(0.98 * step + 0.02 / (1 + np.exp(-margin)), 0, 1)
+        return np.clip(np.interp(self.trees.margin(np.array(rows)), *self.curve), 0, 1)
+
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        """Scores of the texts of a batch, a slice at a time."""
+        parts = [self.score([features(t.as_py(), [self.lexicon])[0] for t in texts.slice(at, SLICE)]) for at in range(0, len(texts), SLICE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -239,43 +266,49 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ship_code(docs.sparkSession)
-    rows = training_rows(docs, labels, sample).persist()
+    rows = materialize(training_rows(docs, labels, sample), "toxicity-rows")
     counted = rows.groupBy("fold", "toxic").count().collect()
     sizes = {t: [sum(r["count"] for r in counted if r["toxic"] == t and r["fold"] == f) for f in range(FOLDS)] for t in (0, 1)}
     n0, n1 = sum(sizes[0]), sum(sizes[1])
     model = Model(n1 / (n0 + n1) if n0 + n1 else 0.5)
     if n0 < 10 or n1 < 10:
-        rows.unpersist()
         return model
     found = learned_lexicon(rows)
-    others = [weigh(found, sizes, f) for f in range(FOLDS)]
+    lexicons = {w: weigh(found, sizes, w) for k in (1, 2) for w in combinations(range(FOLDS), k)}
+    handed = docs.sparkSession.sparkContext.broadcast(lexicons)  # keys of the sample
 
     def dense(batches):
+        lexicons = handed.value
         for batch in batches:
-            text, fold, toxic = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array([features(t, others[f]) for t, f in zip(text, fold)], pa.list_(pa.float64())), pa.array(fold, pa.int32()), pa.array(toxic, pa.int32())], ["x", "fold", "toxic"])
-
-    got = mapped(rows.select("text", "fold", "toxic"), dense, "x array<double>, fold int, toxic int").toPandas()
-    rows.unpersist()
-    x, y, fold = np.array(got["x"].tolist()), got["toxic"].to_numpy(float), got["fold"].to_numpy()
-    order = np.lexsort((*x.T, y, fold))
-    x, y, fold = x[order], y[order], fold[order]
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                fold = part.column(1).to_pylist()
+                # For each fold g: by the lexicon without the row's fold and g.
+                made = [features(t, [lexicons[tuple(sorted({f, g}))] for g in range(FOLDS)]) for t, f in zip(part.column(0).to_pylist(), fold)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.list_(pa.float64()))), part.column(1), part.column(2)], ["x", "fold", "toxic"])
+
+    got = mapped(rows.select("text", "fold", "toxic"), dense, "x array<array<double>>, fold int, toxic int").toPandas()
+    y, fold = got["toxic"].to_numpy(float), got["fold"].to_numpy()
+    x = np.array([[list(v) for v in r] for r in got["x"]])
+    own = x[np.arange(len(y)), fold]
+    order = np.lexsort((*own.T, y, fold))
+    x, own, y, fold = x[order], own[order], y[order], fold[order]
     unseen = np.zeros(len(y))
-    for f in range(FOLDS):
-        if (fold == f).any():
-            unseen[fold == f] = Trees().fit(x[fold != f], y[fold != f]).margin(x[fold == f])
-    model.lexicon, model.trees, model.curve = weigh(found, sizes, None), Trees().fit(x, y), isotonic(unseen, y)
+    for g in range(FOLDS):
+        if (fold == g).any():
+            unseen[fold == g] = Trees().fit(x[fold != g, g], y[fold != g]).margin(own[fold == g])
+    model.lexicon, model.trees, model.curve = weigh(found, sizes), Trees().fit(own, y), isotonic(unseen, y)
     return model
 
 
 def apply(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Every row with its score and decision."""
-    handed = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON keys and a fixed number of trees
+    handed = docs.sparkSession.sparkContext.broadcast(model)  # keys of the sample and a fixed number of trees
 
     def run(batches):
         model = handed.value
         for batch in batches:
-            score = model.score([features(t or "", model.lexicon) for t in batch.column(2).to_pylist()])
+            score = model.of_texts(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return mapped(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
@@ -295,7 +328,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresho
     def run(batches):
         model = handed.value
         for batch in batches:
-            keep = model.score([features(t or "", model.lexicon) for t in batch.column(at).to_pylist()]) < threshold
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(model.of_texts(batch.column(at)) < threshold))
 
     return mapped(docs, run, docs.schema)
