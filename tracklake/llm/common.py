@@ -21,9 +21,11 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a private one where that is unset."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir. Only a local session may do without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tracklake-")
         atexit.register(shutil.rmtree, folder, True)
         spark.conf.set("spark.checkpoint.dir", folder)

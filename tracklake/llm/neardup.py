@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, size: int = 5, blo
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The rows, all columns, of one document of each group. Of rows that share a doc_id one stays; of null ids all."""
+    """The rows, all columns, of one document of each group. Of rows that share a doc_id that of least text hash stays; of null ids all."""
     found = near_duplicates(docs, threshold)
     kept = found.groupBy("doc_id").agg(F.first("kept").alias("_one"), F.count("*").alias("_rows")).filter(F.col("_one") | F.col("doc_id").isNull())
     kept = materialize(kept.select(F.col("doc_id").alias("_kept"), "_rows"), "neardup-kept")
@@ -224,6 +224,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     ids = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
     out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
     if kept.filter("_rows > 1 and _kept is not null").limit(1).count():
-        named = out.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+        # One row for each id, chosen before the shuffle as well: an id of very many rows is never gathered.
+        whole, text = F.struct(*[out[c] for c in docs.columns]), out["text"]
+        named = out.filter(out["doc_id"].isNotNull()).groupBy("doc_id").agg(F.min_by(whole, F.struct(F.xxhash64(text), F.xxhash64(whole))).alias("row")).select("row.*")
         out = named.unionByName(out.filter(F.col("doc_id").isNull()))
     return out

@@ -494,8 +494,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return mapped(joined.select("ids", "ends", "body", "marks", "found"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """All rows and columns, with the repeated bytes taken out of the text; characters cut by that go as well."""
+def without_repeats(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """All rows and columns, with the repeated bytes taken out of the text; characters cut by that go as well.
+
+    With drop_emptied, rows whose text had bytes and has none left go; those that came in empty stay.
+    """
     schema, names = docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema, docs.columns
     joined, buckets, splitters = _prepare(docs, True)
 
@@ -509,6 +512,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             table = table.set_column(at, "text", pa.array(texts, pa.string()))
             if "n_chars" in names:
                 table = table.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts], table.schema.field("n_chars").type))
+            if drop_emptied:
+                table = table.filter(pa.array([bool(t) or a == b for t, a, b in zip(texts, block.starts[:-1].tolist(), block.starts[1:].tolist())], pa.bool_()))
             yield from table.to_batches()
 
     return mapped(joined.select("ids", "ends", "body", "rest", "marks", "found"), run, schema)
