@@ -1,15 +1,16 @@
 """Corpus pipeline: toxicity filter, near-dedup, removal of repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared folder
-and rereads it as the next stage's docs. All stages but the last return the columns of documents. A document of which
-nothing is left after the removal of repeated passages goes; an empty one that came in empty stays.
+and rereads it as the next stage's docs. All stages but the last return the columns of documents, whatever they are called
+beside doc_id and text. A document of which nothing is left after the removal of repeated passages goes; one that came in
+empty or null stays, with an empty text. Of rows that share a doc_id the near-dedup keeps one; rows without an id stay.
+An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tracklake.llm import neardup, packing, suffixes, toxicity
 from tracklake.llm.common import materialize, read_table
@@ -27,8 +28,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 50-byte strings that start in an earlier document as well."""
-    marked = docs.withColumn("_empty", F.coalesce(F.length("text"), F.lit(0)) == 0)
-    return suffixes.without_repeats(marked).filter((F.length("text") > 0) | F.col("_empty")).drop("_empty")
+    return suffixes.without_repeats(docs, drop_emptied=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
