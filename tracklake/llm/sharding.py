@@ -1,13 +1,17 @@
 """Balanced label propagation: linked documents move to a common shard while all shards keep equal counts.
 
 Documents of equal text are linked; a link whose ends lie in different shards is cut. Each document starts in a shard by
-the hash of its id. In each round every group of linked documents (or a part of a very large group) counts its members'
-shards and asks for the shard that holds most; quotas of the shards admit as many of those requests as have room, chosen
-by hash; the rest ask for the shard with most room in the next round. At the end unlinked documents, whose moves cut
-nothing, even out the counts: the law is `rows`, no two shards differ by more than one document.
+a hash. A group of linked documents is one part, or, if it is larger than a shard's quota, parts that fill a shard each
+and one that takes the rest. In every round the parts that still have to move are joined to the shards in which their
+neighbours, all documents of their group, lie by then; a part asks for the shard that holds most of them among those
+with room for it. Quotas admit requests: large ones by size, of which there is a bounded number, the others by buckets of
+a hash, whole buckets as long as they fit, so that no quota is ever exceeded. What is refused asks again in the next
+round. A part that no shard has room for is halved. At the end unlinked documents, whose moves cut nothing, even out the
+counts: the law is `rows`, no two shards differ by more than one document.
 
-Groups larger than a shard's share are split by hash into parts that fit, so that no quota depends on one hot text.
-Ranks within a shard come from counts of hash buckets and ranks within buckets: no task orders a whole shard.
+Votes are counts by (group, part, shard): a hot text is pre-aggregated and never gathered. Ranks within a shard come from
+counts of hash buckets and ranks within buckets: no task orders a whole shard. Rows equal in id and text are numbered, so
+that results do not depend on how the files are laid out.
 
 Edge cases: null texts have the size 16 and the checksum 0 and are linked with each other as equal texts, as empty ones
 are; null and repeated ids are separate rows; an empty table gives an empty result; other columns are not read.
@@ -21,9 +25,18 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARDS = 40
-ROUNDS = 3
+#: Rounds before parts without room are halved.
+ROUNDS = 8
 #: Documents in a bucket for ranking, about.
 BUCKET = 8192
+#: A part above this share of a shard is large: there are at most SMALL parts of that size for each shard.
+SMALL = 64
+#: Buckets in which a shard's other requests are admitted.
+DOORS = 1024
+#: Copies of one row that a task numbers.
+COPIES = 4096
+
+GROUP = ["g1", "g2", "size"]
 
 
 def ranked(rows: DataFrame, group: str, buckets: int, order: list[Column]) -> DataFrame:
@@ -38,81 +51,140 @@ def ranked(rows: DataFrame, group: str, buckets: int, order: list[Column]) -> Da
     return out.withColumn("rank", (F.col("_before") + F.col("_inside")).cast("long")).drop("_b", "_n", "_before", "_inside", "_g", "_c")
 
 
-def propagate(linked: DataFrame, shares: list[int], rounds: int) -> DataFrame:
-    """(part, shard, admitted) for each linked part: what it asked for and whether there was room."""
-    shards = len(shares)
-    votes = linked.groupBy("part", "start").agg(F.count("*").alias("c"))
-    best = votes.groupBy("part").agg(F.max_by("start", F.struct("c", -F.col("start"))).alias("wish"), F.sum("c").alias("size"))
-    parts = materialize(best.withColumn("shard", F.lit(None).cast("int")), "shards-parts")
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, g1, g2 (hashes of the text) and h (a hash of 63 bits) for every row; equal rows are counted and told apart by number."""
+    body = F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("g1"), F.hash(body).alias("g2"))
+    counted = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), "shards-counted")
+    chunks = counted.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPIES})")))
+    if counted.filter(F.col("_n") > COPIES).limit(1).count():
+        chunks = chunks.repartition("doc_id", "g1", "_chunk")
+    copies = chunks.withColumn("_copy", F.explode(F.expr(f"sequence(_chunk * {COPIES}, least(_n, (_chunk + 1) * {COPIES}) - 1)")))
+    return copies.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "g1", "g2", "_copy"), 1)).drop("_n", "_chunk", "_copy")
+
+
+def dealt(rows: DataFrame, n: int, quota: int) -> tuple[DataFrame, DataFrame]:
+    """Linked rows with linked (members of the group), big (whether the group is large) and part; and the others.
+
+    Large groups are a bounded list: SMALL of them for each shard at most, whatever the corpus. They are broadcast, so that
+    only rows of small groups are shuffled for this.
+    """
+    least = quota // SMALL
+    groups = materialize(rows.groupBy(*GROUP).agg(F.count("*").alias("linked")).filter("linked > 1"), "shards-groups")
+    large = groups.filter(F.col("linked") > least).withColumn("big", F.lit(True))
+    marked = rows.join(F.broadcast(large), GROUP, "left")
+    hot = marked.filter("big")
+    # Parts of a quota each: places in the group, from 0.
+    wide = ranked(hot.filter(F.col("linked") > quota).withColumn("_group", F.xxhash64(*GROUP)), "_group", max(1, -(-n // BUCKET)), [F.col("h"), F.col("doc_id")])
+    wide = wide.withColumn("number", F.expr(f"rank div {quota}")).drop("_group", "rank")
+    hot = wide.unionByName(hot.filter(F.col("linked") <= quota).withColumn("number", F.lit(0).cast("long")))
+    cold = marked.filter("big is null").drop("linked", "big").join(groups.filter(F.col("linked") <= least).hint("shuffle_hash"), GROUP, "left")
+    cold = materialize(cold, "shards-cold")
+    linked = hot.unionByName(cold.filter("linked is not null").withColumn("big", F.lit(False)).withColumn("number", F.lit(0).cast("long")))
+    return linked.withColumn("part", F.xxhash64(*GROUP, "number")).drop("number"), cold.filter("linked is null").withColumn("linked", F.lit(1).cast("long"))
+
+
+def admitted(asked: DataFrame, room: list[int], large: int, salt: int) -> DataFrame:
+    """Requests (part, wish, size) that the shards' room admits, with shard. Takes the admitted sizes off room."""
+    spark = asked.sparkSession
+    # A bounded number of large requests, largest first.
+    won = []
+    for r in asked.filter((F.col("size") > large) & F.col("wish").isNotNull()).orderBy(F.desc("size"), "part").collect():
+        if r["size"] <= room[r["wish"]]:
+            room[r["wish"]] -= r["size"]
+            won.append((r["part"], r["wish"]))
+    # Doors open in turn as long as all behind them fit.
+    small = asked.filter((F.col("size") <= large) & F.col("wish").isNotNull()).withColumn("door", F.pmod(F.xxhash64("part", F.lit(salt)), F.lit(DOORS)))
+    opened, closed = [0] * len(room), set()
+    for r in small.groupBy("wish", "door").agg(F.sum("size").alias("s")).orderBy("wish", "door").collect():  # at most DOORS for each shard
+        w = r["wish"]
+        if w not in closed and r["s"] <= room[w]:
+            room[w] -= r["s"]
+            opened[w] = r["door"] + 1
+        else:
+            closed.add(w)
+    bounds = F.array(*[F.lit(x) for x in opened])
+    few = small.filter(F.col("door") < F.element_at(bounds, F.col("wish") + 1)).select("part", F.col("wish").alias("shard"))
+    return few.unionByName(spark.createDataFrame(won, "part long, shard int"))
+
+
+def propagate(held: DataFrame, room: list[int], large: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
+    """Shards of parts, and the parts that no shard has room for. held: documents c by (group, part, shard) at the start."""
+    shards = len(room)
+    draw = F.pmod(F.xxhash64("part", "shard"), F.lit(1 << 20))
+    settled, waiting = None, held
     for k in range(rounds):
-        load = {r["shard"]: r["s"] for r in parts.filter("shard is not null").groupBy("shard").agg(F.sum("size").alias("s")).collect()}
-        asked = {r["wish"]: r["s"] for r in parts.filter("shard is null").groupBy("wish").agg(F.sum("size").alias("s")).collect()}
-        if not asked:
-            break
-        room = [max(0, shares[s] - load.get(s, 0)) for s in range(shards)]
-        # The admitted share of each shard's requests; a small reserve keeps chance from overfilling a quota.
-        rate = [min(1.0, 0.85 * room[s] / asked[s]) if asked.get(s, 0) > 0.85 * room[s] else 1.0 for s in range(shards)]
-        left = [max(0.0, room[s] - rate[s] * asked.get(s, 0)) for s in range(shards)]
-        total = sum(left) or 1.0
-        edges, at = [], 0.0
-        for s in range(shards):
-            at += left[s] / total
-            edges.append(at)
-        draw = lambda salt: F.pmod(F.xxhash64("part", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))  # noqa: B023, E731
-        rates = F.array(*[F.lit(x) for x in rate])
-        other = F.lit(shards - 1)
-        for s in range(shards - 2, -1, -1):
-            other = F.when(draw(1000 + k) < edges[s], s).otherwise(other)
-        admitted = draw(k) < F.element_at(rates, F.col("wish") + 1)
-        step = parts.withColumn("shard", F.when(F.col("shard").isNotNull(), F.col("shard")).when(admitted, F.col("wish")).cast("int"))
-        parts = materialize(step.withColumn("wish", F.when(F.col("shard").isNull(), other).otherwise(F.col("wish")).cast("int")), f"shards-round{k}")
-    return parts.select("part", F.coalesce("shard", "wish").alias("moved"))
+        # Where the neighbours are now: those of settled parts where they went, the others where they began.
+        at = held.select("group", "part", "shard", "c") if settled is None else held.join(settled.withColumnRenamed("shard", "moved"), "part", "left").select("group", "part", F.coalesce("moved", "shard").alias("shard"), "c")
+        votes = at.groupBy("group", "shard").agg(F.sum("c").alias("votes"))
+        parts = waiting.groupBy("group", "part").agg(F.sum("c").alias("size"))
+        rooms = F.array(*[F.lit(x) for x in room])
+        fits = lambda shard: F.element_at(rooms, shard + 1) >= F.col("size")  # noqa: B023, E731
+        best = parts.join(votes, "group").groupBy("group", "part", "size").agg(F.max_by(F.when(fits(F.col("shard")), F.col("shard")), F.when(fits(F.col("shard")), F.struct("votes", draw))).alias("wish"))
+        # Without such a shard, any one with room: the more of it, the likelier.
+        edges, total = [], 0
+        for x in room:
+            total += x
+            edges.append(total)
+        lot = F.pmod(F.xxhash64("part", F.lit(k)), F.lit(max(total, 1)))
+        other = F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda x: x <= lot))  # noqa: B023
+        other = F.when(fits(F.least(other, F.lit(shards - 1))), other).otherwise(F.lit(max(range(shards), key=room.__getitem__)))
+        asked = best.withColumn("wish", F.coalesce("wish", F.when(fits(other), other)).cast("int"))
+        asked = materialize(asked, f"shards-asked{k}")
+        won = materialize(admitted(asked, room, large, k), f"shards-won{k}")
+        settled = won if settled is None else settled.unionByName(won)
+        waiting = materialize(waiting.join(won, "part", "left_anti"), f"shards-waiting{k}")
+        if not waiting.limit(1).count():
+            return settled, None
+    return settled, waiting
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and linked (members of the document's group)."""
-    body = F.encode(F.coalesce(docs["text"], F.lit("")), "UTF-8")
-    rows = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), (F.length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
-        F.xxhash64(body).alias("g1"), F.hash(body).alias("g2"),
-    )
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "g1", F.monotonically_increasing_id()), 1))
+    rows = numbered(docs)
     rows = materialize(rows.withColumn("start", F.pmod(F.shiftright("h", 20), F.lit(shards)).cast("int")), "shards-rows")
     n = rows.count()
     if not n:
         return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "start", F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(0).cast("long").alias("linked")).withColumnRenamed("start", "shard")
     shares = [n // shards + (s < n % shards) for s in range(shards)]
-    fits = max(1, n // shards // 3)
-    groups = rows.groupBy("g1", "g2", "size").agg(F.count("*").alias("linked")).filter("linked > 1")
-    # A group's parts hold at most a third of a shard, about.
-    linked = rows.join(groups, ["g1", "g2", "size"]).withColumn("part", F.xxhash64("g1", "g2", "size", F.pmod(F.shiftright("h", 33), F.ceil(F.col("linked") / fits))))
+    quota = max(1, n // shards)
+    linked, free = dealt(rows, n, quota)
     linked = materialize(linked, "shards-linked")
-    moved = propagate(linked.select("part", "start"), shares, rounds)
-    placed = linked.join(moved, "part").select("doc_id", "size", "text_crc32", "h", "linked", F.col("moved").alias("at"))
-    free = rows.join(groups, ["g1", "g2", "size"], "left_anti").select("doc_id", "size", "text_crc32", "h", F.lit(1).cast("long").alias("linked"), F.col("start").alias("at"))
-    placed = materialize(placed.unionByName(free), "shards-placed")
-    # Beyond its share a shard gives away documents, unlinked ones first; they fill the places that other shards have left.
+    room, placed = list(shares), None
+    parted = linked
+    while True:
+        held = materialize(parted.groupBy(F.xxhash64(*GROUP).alias("group"), "part", F.col("start").alias("shard")).agg(F.count("*").alias("c")), "shards-held")
+        settled, waiting = propagate(held, room, quota // SMALL, rounds)
+        # Parts of large groups are a bounded list; rows of the others are shuffled by part.
+        one = lambda of, big: of.filter(F.col("big") == F.lit(big))
+        few = settled.join(one(parted, True).select("part").distinct(), "part", "left_semi")
+        moved = one(parted, True).join(F.broadcast(few), "part").unionByName(one(parted, False).join(settled.hint("shuffle_hash"), "part"))
+        placed = moved if placed is None else placed.unionByName(moved)
+        if waiting is None:
+            break
+        # Halves by a bit of each row's hash: parts of one document always fit.
+        left = waiting.select("part").distinct()
+        again = one(parted, True).join(F.broadcast(left.join(one(parted, True).select("part").distinct(), "part", "left_semi")), "part", "left_semi").unionByName(one(parted, False).join(left, "part", "left_semi"))
+        parted = materialize(again.withColumn("part", F.xxhash64("part", F.shiftright("h", 40) % 2)).withColumn("h", F.shiftrightunsigned(F.xxhash64("h"), 1)), "shards-halved")
+    placed = placed.select("doc_id", "size", "text_crc32", "h", "linked", F.col("shard").alias("at"))
+    placed = materialize(placed.unionByName(free.select("doc_id", "size", "text_crc32", "h", "linked", F.col("start").alias("at"))), "shards-placed")
+    # Beyond its share a shard gives away unlinked documents, which fill the places that other shards have left.
     buckets = max(1, -(-n // (shards * BUCKET)))
-    found = {(r["at"], r["l"]): r["c"] for r in placed.groupBy("at", (F.col("linked") > 1).alias("l")).agg(F.count("*").alias("c")).collect()}
-    has = [found.get((s, False), 0) + found.get((s, True), 0) for s in range(shards)]
-    over = [max(0, has[s] - shares[s]) for s in range(shards)]
-    first = [min(over[s], found.get((s, False), 0)) for s in range(shards)]
-    second = [over[s] - first[s] for s in range(shards)]
-    placed = placed.withColumn("kind", F.col("at") * 2 + (F.col("linked") > 1).cast("int"))
+    has = {r["at"]: r["c"] for r in placed.groupBy("at").agg(F.count("*").alias("c")).collect()}
+    over = [max(0, has.get(s, 0) - shares[s]) for s in range(shards)]
     order = [F.col("h"), F.col("doc_id")]
-    quota = F.array(*[F.lit(x) for s in range(shards) for x in (first[s], second[s])])
-    taken = ranked(placed, "kind", buckets, order).withColumn("gives", F.col("rank") < F.element_at(quota, F.col("kind") + 1))
-    taken = materialize(taken.drop("rank", "kind"), "shards-taken")
-    leavers = ranked(taken.filter("gives").withColumn("all", F.lit(0)), "all", max(1, -(-sum(over) // BUCKET)), order)
-    at, target = 0, F.lit(shards - 1)
-    bounds = []
+    quotas = F.array(*[F.lit(x) for x in over])
+    loose = ranked(placed.filter("linked = 1"), "at", buckets, order).withColumn("gives", F.col("rank") < F.element_at(quotas, F.col("at") + 1))
+    loose = materialize(loose.drop("rank"), "shards-loose")
+    leavers = ranked(loose.filter("gives").withColumn("all", F.lit(0)), "all", max(1, -(-sum(over) // BUCKET)), order)
+    bounds, total = [], 0
     for s in range(shards):
-        at += max(0, shares[s] - has[s])
-        bounds.append(at)
-    for s in range(shards - 2, -1, -1):
-        target = F.when(F.col("rank") < bounds[s], s).otherwise(target)
-    final = taken.filter("not gives").select("doc_id", "size", "text_crc32", "h", "linked", F.col("at").alias("shard"))
-    final = materialize(final.unionByName(leavers.select("doc_id", "size", "text_crc32", "h", "linked", target.cast("int").alias("shard"))), "shards-final")
+        total += max(0, shares[s] - has.get(s, 0))
+        bounds.append(total)
+    target = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("rank")))
+    kept = ["doc_id", "size", "text_crc32", "h", "linked"]
+    final = placed.filter("linked > 1").unionByName(loose.filter("not gives").drop("gives")).select(*kept, F.col("at").alias("shard"))
+    final = materialize(final.unionByName(leavers.select(*kept, target.cast("int").alias("shard"))), "shards-final")
     out = ranked(final, "shard", buckets, order)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "linked")
 
