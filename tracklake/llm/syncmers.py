@@ -4,11 +4,14 @@ A string of K bytes is a closed syncmer if the least hash of its inner strings o
 Whether it is one depends on its own bytes alone: equal passages have equal anchors wherever they stand. A fingerprint is
 all hashes of a text's distinct syncmers, each with its first place in the text; likeness of two fingerprints is the Dice
 coefficient of these sets, and `matched` gives the places of their common anchors in both texts. Because anchors are free
-of context, those of an edited text are taken from its parts: what the first half has on its own, and the anchors of the
-new half together with the K - 1 bytes before it. Only places are shuffled; hashes are taken from the texts again.
+of context, a text is read in pieces of CHUNK bytes, however long it is, and those of an edited text are put together from
+what is known: the anchors of the kept half, those of the next document's beginning, and the K - 1 bytes on both sides of
+the seam. Only texts are shuffled, once.
 
-The next document by id lies in the same block of ids or is the head of the next block. Blocks hold at most `width`
-integer ids; the list of heads is bounded by MAX_BLOCKS, so it may be broadcast, and texts are shuffled once.
+The next document by id lies in the same block of documents or is the first of the next block. Blocks are ranges of ids
+with about `block` documents each: quantiles of quantiles, of which there are MAX_BLOCKS at most, so that outlying ids cost
+nothing. An id that more rows share than a block holds is cut by a hash of the text. The list of blocks and their first
+documents is bounded by MAX_BLOCKS and may be broadcast.
 
 Edge cases: null and empty texts have an empty fingerprint, and likeness 1 to each other, 0 to others; texts under K
 bytes have the hash of the whole text as their only anchor; null ids come after all others; among rows of equal ids the
@@ -17,12 +20,17 @@ order is by a hash of the text; a single row is its own next document; other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S = 16, 8
+from .common import materialize
+
+K, S = 23, 8
+#: Places that are judged at once.
+CHUNK = 4096
 #: Anchors that a fingerprint keeps: None is all of them.
 KEPT = None
 BLOCK, MAX_BLOCKS = 1024, 65_536
@@ -33,39 +41,42 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def syncmer_places(data: Column, k: int = K, s: int = S) -> Column:
-    """Places (from 1, in bytes) of the closed syncmers of a binary value: whole arrays of hashes are compared shift by shift."""
+def syncmer_places(data: Column, k: int = K, s: int = S, chunk: int = CHUNK) -> Column:
+    """Places (from 1, in bytes) of the closed syncmers of a binary value of k bytes or more.
+
+    Whole arrays of hashes are compared shift by shift: after the shifts 1, 2, 4, ... an element is the least of as many.
+    """
     w = k - s  # the inner strings of a place are w + 1
 
-    def least(a: Column, b: Column) -> Column:
-        return F.zip_with(a, b, lambda x, y: F.least(x, y))
+    def doubled(m: Column, width: int) -> Column:
+        if width == w + 1:
+            return m
+        by = min(width, w + 1 - width)
+        return let(F.transform(m, lambda x, i: F.least(x, F.get(m, i + by))), lambda x: doubled(x, width + by))
+
+    def marked(h: Column) -> Column:
+        hit = lambda x, i: (x == F.get(h, i)) | (x == F.get(h, i + w))
+        # Behind the last whole place, elements are the least of too few.
+        return let(doubled(h, 1), lambda m: F.array_remove(F.transform(m, lambda x, i: F.when(hit(x, i) & (i < F.size(h) - w), i + 1).otherwise(F.lit(0))), 0))
 
-    def later(a: Column, by: int) -> Column:
-        return F.slice(a, F.lit(by + 1), F.greatest(F.size(a) - by, F.lit(0)))
+    def piece(c: Column) -> Column:
+        part = F.substring(data, c * chunk + 1, F.lit(chunk + k - 1))
+        hashes = let(part, lambda d: F.transform(F.sequence(F.lit(1), F.length(d) - (s - 1)), lambda i: F.xxhash64(F.substring(d, i, F.lit(s)))))
+        return F.transform(let(hashes, marked), lambda i: (i + c * chunk).cast("int"))
 
-    def doubled(h: Column, m: Column, width: int) -> Column:
-        """Least of w + 1 neighbours, from the least of `width` of them."""
-        if 2 * width <= w + 1:
-            return let(least(m, later(m, width)), lambda x: doubled(h, x, 2 * width))
-        return m if width == w + 1 else least(m, later(m, w + 1 - width))
+    last = F.floor((F.length(data) - k) / chunk).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), piece))
 
-    def places(h: Column) -> Column:
-        edges = least(h, later(h, w))
-        hits = F.zip_with(edges, doubled(h, h, 1), lambda x, y: x == y)
-        marked = F.transform(F.slice(hits, F.lit(1), F.size(h) - w), lambda hit, i: F.when(hit, i + 1))
-        return F.filter(marked, lambda i: i.isNotNull())
 
-    hashes = F.transform(F.sequence(F.lit(1), F.length(data) - (s - 1)), lambda i: F.xxhash64(F.substring(data, i, F.lit(s))))
-    return let(hashes, places)
+def value(data: Column) -> Column:
+    """32-bit hash of an anchor."""
+    return F.xxhash64(data).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def anchors(data: Column, k: int = K, s: int = S) -> Column:
-    """(places, values): 32-bit hashes of the syncmers of a binary value, in order of place; the value itself if it is short."""
-    value = lambda x: F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF))
-    none, whole = F.array().cast("array<int>"), F.array(F.lit(1))
-    pair = lambda places, values: F.struct(places.alias("places"), values.alias("values"))
-    found = let(syncmer_places(data, k, s), lambda p: pair(p, F.transform(p, lambda i: value(F.substring(data, i, F.lit(k))))))
-    return F.when(F.length(data) >= k, found).when(F.length(data) > 0, pair(whole, F.array(value(data)))).otherwise(pair(none, F.array().cast("array<bigint>")))
+    """Hashes of the syncmers of a binary value, in order of place; of the value itself if it is short."""
+    found = let(syncmer_places(data, k, s), lambda p: hashes_at(data, p, k))
+    return F.when(F.length(data) >= k, found).when(F.length(data) > 0, F.array(value(data))).otherwise(F.array().cast("array<bigint>"))
 
 
 def sketch(values: Column) -> Column:
@@ -73,8 +84,8 @@ def sketch(values: Column) -> Column:
 
 
 def hashes_at(data: Column, places: Column, k: int = K) -> Column:
-    """The 32-bit hashes of a binary value's anchors at known places; the value itself where it is short."""
-    return F.transform(places, lambda i: F.xxhash64(F.substring(data, i, F.lit(k))).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """Hashes of a binary value's anchors at known places."""
+    return F.transform(places, lambda i: value(F.substring(data, i, F.lit(k))))
 
 
 def placed(values: Column, places: Column) -> Column:
@@ -98,7 +109,9 @@ def matched(a: Column, b: Column) -> Column:
 
 
 def printed(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """Eight hexadecimal digits for each value: a ninth, 1, keeps leading zeros until it is taken out with the commas."""
+    digits = F.array_join(F.transform(values, lambda x: F.hex(x + F.lit(1 << 32))), ",")
+    return F.when(F.size(values) == 0, "").otherwise(F.lower(F.replace(F.concat(F.lit(","), digits), F.lit(",1"), F.lit(""))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -107,54 +120,77 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(2.0 * both / (F.size(a) + F.size(b)))
 
 
+def ordered(docs: DataFrame) -> DataFrame:
+    """Adds at and h: rows in ascending order of both are those of descending ids, nulls last, then of a hash of the text."""
+    return docs.withColumn("at", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+
+
+def blocks_of(keys: DataFrame, n: int, block: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds block, a number in the order of at and h, to rows. keys: at and h of all n rows."""
+    wanted = max(1, min(-(-n // block), MAX_BLOCKS))
+    coarse = math.isqrt(wanted - 1) + 1
+    fine = -(-wanted // coarse)
+    none = F.array().cast("array<bigint>")
+
+    def cut(k: int) -> Column:
+        return F.coalesce(F.percentile_approx("at", F.array(*[F.lit(i / k) for i in range(1, k)]), F.lit(40 * max(k, 250))), none) if k > 1 else F.first(none)
+
+    def inside(bounds: Column) -> Column:
+        """How many bounds a row has passed; one that equals several of them is dealt among these by its hash."""
+        below, reached = F.size(F.filter(bounds, lambda x: x < F.col("at"))), F.size(F.filter(bounds, lambda x: x <= F.col("at")))
+        return (below + F.floor(F.shiftrightunsigned("h", 43) * (reached - below) / (1 << 20))).cast("int")  # 20 bits of the hash
+
+    # At most 256 numbers here, and MAX_BLOCKS in the broadcast lists.
+    first = keys.agg(cut(coarse).alias("bounds")).first()["bounds"] or []
+    outer = inside(F.array(*[F.lit(x) for x in first]).cast("array<bigint>"))
+    second = materialize(keys.withColumn("outer", outer).groupBy("outer").agg(cut(fine).alias("inner")), "syncmers-bounds")
+    return lambda rows: rows.withColumn("outer", outer).join(F.broadcast(second), "outer").withColumn("block", F.col("outer") * fine + inside(F.col("inner"))).drop("outer", "inner")
+
+
 def _own(docs: DataFrame) -> DataFrame:
-    """Each document with the places of its anchors, and the number of those that its first half has on its own."""
-    docs = docs.withColumn("n", F.length("text")).withColumn("front", F.expr("left(text, n - n div 2)"))
-    given = F.struct(F.encode("text", "UTF-8").alias("data"), (F.octet_length("front") - (K - 1)).alias("end"))
+    """Each document with the places of its anchors."""
 
-    def found(g: Column) -> Column:
-        places = F.when(F.length(g["data"]) >= K, syncmer_places(g["data"])).when(F.length(g["data"]) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-        return let(places, lambda p: F.struct(p.alias("places"), F.size(F.filter(p, lambda i: i <= g["end"])).alias("inside")))
+    def found(d: Column) -> Column:
+        return F.when(F.length(d) >= K, syncmer_places(d)).when(F.length(d) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
 
-    return docs.withColumn("s", let(given, found)).select("id", "doc_id", "block", "ghost", "h", "text", "n", F.col("s.places").alias("places"), F.col("s.inside").alias("inside"))
+    return docs.withColumn("places", let(F.encode("text", "UTF-8"), found))
 
 
 def fingerprints(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, fingerprint_places for every row."""
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(block, -(-(high - low + 2) // MAX_BLOCKS))
-    # Null ids take the place below the least.
-    docs = docs.withColumn("id", F.coalesce(F.col("doc_id"), F.lit(low - 1)) - (low - 1)).withColumn("block", F.expr(f"id div {width}"))
-    docs = docs.withColumn("ghost", F.lit(0)).withColumn("h", F.xxhash64("text"))
-    tops = docs.groupBy("block").agg(F.max("id").alias("top"))
-    order = Window.orderBy("block")
-    above = F.coalesce(F.lead("block").over(order), F.first("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tops = tops.select(F.col("top"), above.alias("above"))
-    # Heads of blocks, at most MAX_BLOCKS of them and never more than one in `block` ids, close the block above.
-    heads = docs.join(F.broadcast(tops), docs["id"] == tops["top"]).select("doc_id", "text", "id", F.col("above").alias("block"), F.lit(1).alias("ghost"), "h")
-    rows = _own(docs).unionByName(_own(heads))
-    following = Window.partitionBy("block").orderBy("ghost", F.desc("id"), "h")
+    docs = ordered(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")))
+    keys = materialize(docs.select("at", "h"), "syncmers-keys")
+    place = blocks_of(keys, keys.count(), block)
+    docs = place(docs).withColumn("ghost", F.lit(0))
+    tops = place(keys).groupBy("block").agg(F.min(F.struct("at", "h")).alias("top"))
+    order = Window.orderBy("block")  # at most MAX_BLOCKS rows
+    above = F.coalesce(F.lag("block").over(order), F.last("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    tops = materialize(tops.select("block", "top.at", "top.h", above.alias("above")), "syncmers-tops")
+    # First documents of blocks, one for each, close the block before. Rows that agree in id and hash are one text.
+    heads = docs.drop("ghost").join(F.broadcast(tops), ["block", "at", "h"]).groupBy("above").agg(F.max("text").alias("text"), F.first("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("h").alias("h"))
+    heads = heads.select("doc_id", "text", "at", "h", F.col("above").alias("block"), F.lit(1).alias("ghost"))
+    # Dealt by block before the work begins: the window below needs no other exchange, and only texts are sent.
+    rows = _own(docs.select(*heads.columns).unionByName(heads).repartition("block"))
+    following = Window.partitionBy("block").orderBy("ghost", "at", F.col("doc_id").isNull(), "h")
     rows = rows.withColumn("next_text", F.lead("text").over(following)).withColumn("next_places", F.lead("places").over(following)).filter("ghost = 0")
-    rows = rows.withColumn("front", F.expr("left(text, n - n div 2)")).withColumn("back", F.expr("left(next_text, n div 2)"))
-
-    def edited(front: Column, back: Column) -> Column:
-        kept = F.length(front)
-        seam = F.concat(F.substring(front, F.greatest(kept - (K - 2), F.lit(1)), F.lit(K - 1)), back)
-        whole = F.concat(front, back)
-        # Where a part is too short to have anchors, the whole is asked.
-        values = F.when(F.length(whole) < K, let(whole, lambda d: anchors(d)["values"])).otherwise(F.concat("half_values", let(seam, lambda d: F.when(F.length(d) >= K, anchors(d)["values"]).otherwise(F.array().cast("array<bigint>")))))
-        return F.struct(F.sha2(whole, 256).alias("sha"), sketch(values).alias("sketch"))
-
-    own = let(F.encode("text", "UTF-8"), lambda d: hashes_at(d, F.col("places")))
-    following_own = let(F.encode(F.coalesce("next_text", F.lit("")), "UTF-8"), lambda d: hashes_at(d, F.coalesce("next_places", F.array().cast("array<int>"))))
-    rows = rows.withColumn("values", own).withColumn("next_own", following_own)
-    # A first half under K bytes has no anchors of its own.
-    rows = rows.withColumn("half_values", F.slice("values", F.lit(1), F.col("inside")))
-    rows = rows.withColumn("e", let(F.struct(F.encode("front", "UTF-8").alias("f"), F.encode("back", "UTF-8").alias("b")), lambda p: edited(p["f"], p["b"])))
-    rows = rows.withColumn("own", placed(F.col("values"), F.col("places")))
+    n = F.length("text")
+    rows = rows.withColumn("n", n).withColumn("front", F.expr("encode(left(text, length(text) - length(text) div 2), 'UTF-8')")).withColumn("back", F.expr("encode(left(next_text, length(text) div 2), 'UTF-8')"))
+    rows = rows.withColumn("values", let(F.encode("text", "UTF-8"), lambda d: hashes_at(d, F.col("places"))))
+    rows = rows.withColumn("next_values", let(F.encode("next_text", "UTF-8"), lambda d: hashes_at(d, F.col("next_places"))))
+
+    def within(values: str, places: str, data: str) -> Column:
+        """The anchors that end in the kept part: they are the first ones. What is shorter than K bytes has none."""
+        return F.slice(values, F.lit(1), F.size(F.filter(places, lambda p: p + (K - 1) <= F.length(data))))
+
+    def edited(whole: Column) -> Column:
+        end = F.length("front")
+        seam = F.concat(F.substring(F.col("front"), F.greatest(end - (K - 2), F.lit(1)), F.lit(K - 1)), F.substring(F.col("back"), F.lit(1), F.lit(K - 1)))
+        crossing = let(seam, lambda d: F.when(F.length(d) >= K, anchors(d)).otherwise(F.array().cast("array<bigint>")))
+        parts = F.concat(within("values", "places", "front"), within("next_values", "next_places", "back"), crossing)
+        return F.struct(F.sha2(whole, 256).alias("sha"), sketch(F.when(F.length(whole) < K, anchors(whole)).otherwise(parts)).alias("values"))
+
+    rows = rows.withColumn("e", let(F.concat("front", "back"), edited)).withColumn("own", placed(F.col("values"), F.col("places")))
     return rows.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), F.col("e.sha").alias("edited_sha256"), printed(F.col("own.values")).alias("fingerprint"), printed(F.col("e.sketch")).alias("edited_fingerprint"),
-        likeness(F.col("own.values"), F.col("e.sketch")).alias("near_edited"), likeness(F.col("own.values"), F.array_distinct("next_own")).alias("near_next"), F.col("own.places").alias("fingerprint_places"),
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.col("e.sha").alias("edited_sha256"), printed(F.col("own.values")).alias("fingerprint"), printed(F.col("e.values")).alias("edited_fingerprint"),
+        likeness(F.col("own.values"), F.col("e.values")).alias("near_edited"), likeness(F.col("own.values"), F.array_distinct("next_values")).alias("near_next"), F.col("own.places").alias("fingerprint_places"),
     )
