@@ -151,6 +151,39 @@ def test_embeddings(spark, block, monkeypatch):
     assert embeddings.near_duplicates(df.filter("vec_id > 999"), block=block).count() == 0
 
 
+def clustered(n, dim=16, centres=12, seed=9):
+    """Vectors about centres far apart, each with some near ones, as rows of one label."""
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim))
+    points = middle[rng.integers(0, centres, n)] + 0.25 * rng.normal(size=(n, dim))
+    points[n // 2 :] = points[: n - n // 2] + 0.05 * rng.normal(size=(n - n // 2, dim))
+    return [(i, v.tolist(), "one") for i, v in enumerate(points)]
+
+
+def test_pivots_save_pairs_and_lose_no_link(spark, monkeypatch):
+    """With pivots much fewer pairs are compared, over several levels too; without any, all of them. Links are the same."""
+    rows = clustered(900)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").cache()
+    want = brute_vectors(rows)
+    links = lambda: {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert links() == want and embeddings.compared(df) < 0.35
+    monkeypatch.setattr(embeddings, "MANY", 60)
+    one_level = embeddings.compared(df)
+    assert links() == want
+    monkeypatch.setattr(embeddings, "PIVOTS", 30)  # some cells have to wait for the next pass
+    assert links() == want
+    monkeypatch.setattr(embeddings, "MANY", 1 << 30)
+    assert one_level <= embeddings.compared(df)
+    monkeypatch.setattr(embeddings, "choose_pivots", lambda *a: {})
+    assert links() == want and embeddings.compared(df) == 1.0
+
+
+def test_tables_use_pivots(spark):
+    """On the tables too each label has several cells, and pairs are saved."""
+    assert embeddings.compared(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")) < 0.9
+    assert embeddings.compared(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")) < 0.8
+
+
 def test_pipeline(spark):
     """Each stage against the operator's own decisions on what its predecessor kept."""
     import corpus_pipeline as P

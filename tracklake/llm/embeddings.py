@@ -1,14 +1,17 @@
 """Embedding near-duplicates: exact metric range join of unit vectors.
 
 cos(x, y) >= c means a distance of at most eps = sqrt(2 - 2 c) between the unit vectors. Pivots partition the vectors of
-a label into cells of the nearest pivot. A vector is also sent to each cell that the triangle inequality does not rule
-out: if y lies in cell j and d(x, y) <= eps, then d(x, p_j) <= d(x, p_i) + 2 eps for x's own pivot p_i, and x lies
-within eps of the plane between both pivots. So a cell holds all neighbours of its own vectors and is joined alone.
-Equal vectors of a label are one class that counts as often as it occurs. Cells above BLOCK classes are dealt into pairs
-of blocks. A task emits counts and a spanning forest, never all pairs; links are decided by the cosine itself.
+each label into cells of the nearest pivot; a label has as many as the cube root of its classes. Where two vectors of a
+pair have different cells, the pair is found in one of the two: a rule on the cells' numbers says which, so each pair of
+cells is joined once. A vector is sent to those of the other cells that the triangle inequality does not rule out: if y lies in
+cell j and d(x, y) <= eps, then d(x, p_j) <= d(x, p_i) + 2 eps for x's own pivot p_i, and x lies within eps of the plane
+between both pivots. So a cell has all neighbours that its own vectors need there and is joined alone. Cells that are
+still large are partitioned again by pivots of their own, as long as that lowers the number of pairs to compare. Equal
+vectors of a label are one class that counts as often as it occurs. Cells above BLOCK classes are dealt into pairs of
+blocks. A task emits counts and a spanning forest, never all pairs; links are decided by the cosine itself.
 
-Pivots are at most PIVOTS classes of least hash, without those near another one: a bounded list, sent to all tasks. Where
-vectors fill many dimensions evenly, no pivot rules out much, and the work nears that of all blocks against all.
+One pass sends at most PIVOTS pivots to all tasks; cells that had to wait have their turn in the next one. Where vectors
+fill many dimensions evenly, pivots rule out less: `compared` gives the share of a label's pairs that is left.
 
 Edge cases: vectors that are null, of no length, zero, or with null or non-finite components, and rows with a null label
 or a null vec_id, are linked with nothing (a null id's component is null and it isn't kept); vectors of different
@@ -30,9 +33,12 @@ from .common import mapped, materialize, ship_code
 from .graphs import block_pairs, components
 
 BLOCK = 2048
-PIVOTS = 1024
-#: Classes for each pivot.
-PER_PIVOT = 1500
+#: Pivots of one pass; classes for each pivot, at least; classes above which a cell is partitioned again.
+PIVOTS, PER_PIVOT, MANY = 16_384, 16, 4 * BLOCK
+#: A further partition stays if it leaves at most this share of a cell's pairs.
+GAIN = 0.8
+KEY = ["label", "dim", "cell"]
+PLACED = "class_id long, label string, dim int, unit binary, copies long, cell string, home boolean"
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
@@ -56,65 +62,145 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     return mapped(rows, run, "vec_id long, label string, dim int, unit binary, vec_key binary")
 
 
-def choose_pivots(classes: DataFrame, n: int, eps: float) -> dict[tuple[str, int], np.ndarray]:
-    """Pivots by label and dimension, at least 4 eps apart."""
-    few = classes.orderBy(F.xxhash64("class_id", "label"), "class_id").limit(min(PIVOTS, max(1, -(-n // PER_PIVOT)))).select("label", "dim", "unit").collect()
-    out: dict[tuple[str, int], list[np.ndarray]] = {}
-    for r in few:
-        u, known = np.frombuffer(r["unit"]), out.setdefault((r["label"], r["dim"]), [])
-        if all(np.linalg.norm(u - k) >= 4 * eps for k in known):
+def pivots_of(n: int) -> int:
+    """The cube root of the classes, rounded up, but not more than one for PER_PIVOT classes."""
+    k = max(1, round(n ** (1 / 3)))
+    return min(k + (k**3 < n), -(-n // PER_PIVOT))
+
+
+def choose_pivots(placed: DataFrame, sizes: list[tuple], eps: float) -> dict[tuple, np.ndarray]:
+    """Pivots by cell, at least 4 eps apart, from a sample of least hash. sizes: (label, dim, cell, classes), a bounded list."""
+    wanted = {tuple(k): pivots_of(n) for *k, n in sizes}
+    rows = [(*k, min(1.0, 6 * pivots_of(n) / n)) for *k, n in sizes]
+    shares = placed.sparkSession.createDataFrame(rows, "label string, dim int, cell string, _share double")
+    hashed = F.pmod(F.xxhash64("class_id", "cell"), F.lit(1 << 30))
+    few = placed.join(F.broadcast(shares), KEY).filter(hashed < F.col("_share") * (1 << 30)).select(*KEY, "class_id", "unit", hashed.alias("h"))
+    out: dict[tuple, list[np.ndarray]] = {}
+    for r in sorted(few.collect(), key=lambda r: (r["h"], r["class_id"])):  # six times PIVOTS, about
+        key = tuple(r[c] for c in KEY)
+        u, known = np.frombuffer(r["unit"]), out.setdefault(key, [])
+        if len(known) < wanted[key] and all(np.linalg.norm(u - k) >= 4 * eps for k in known):
             known.append(u)
-    return {k: np.array(v) for k, v in out.items()}
+    return {k: np.array(v) for k, v in out.items() if len(v) > 1}
+
 
+def joined_in(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs of the cells i and j are found in j: for different cells, in exactly one of both, evenly."""
+    return (i < j) == ((i + j) % 2 == 0)
 
-def cells(classes: DataFrame, pivots: dict[tuple[str, int], np.ndarray], eps: float) -> DataFrame:
-    """A row for each class and cell that may hold its neighbours; home marks its own cell."""
-    handed = classes.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
+
+def cells(placed: DataFrame, pivots: dict[tuple, np.ndarray], eps: float) -> DataFrame:
+    """A row for each class and cell that needs it; home marks its own cell. Cells without pivots stay as they are."""
+    handed = placed.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
 
     def run(batches):
         pivots = handed.value
         slack = 1e-9
         for batch in batches:
             at, cell, home = [], [], []
-            labels, dims, units = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            groups: dict[tuple[str, int], list[int]] = {}
-            for i, k in enumerate(zip(labels, dims)):
+            labels, dims, units, own_cell, own_home = (batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6))
+            groups: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(labels, dims, own_cell)):
                 groups.setdefault(k, []).append(i)
             for k, rows in groups.items():
                 p = pivots.get(k)
-                if p is None or len(p) < 2:
+                if p is None:
                     at += rows
-                    cell += [0] * len(rows)
-                    home += [True] * len(rows)
+                    cell += [k[2]] * len(rows)
+                    home += [own_home[i] for i in rows]
                     continue
+                is_home = np.array([own_home[i] for i in rows])
                 x = np.frombuffer(b"".join(units[i] for i in rows)).reshape(len(rows), -1)
                 square = np.maximum(2 - 2 * (x @ p.T), 0)
                 own = square.argmin(1)
-                nearest = square[np.arange(len(rows)), own]
+                every, numbers = np.arange(len(rows)), np.arange(len(p))
+                nearest = square[every, own]
                 apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[own]
-                apart[np.arange(len(rows)), own] = 1
                 may = (np.sqrt(square) <= np.sqrt(nearest)[:, None] + 2 * eps + slack) & (square - nearest[:, None] <= 2 * apart * eps + slack)
-                may[np.arange(len(rows)), own] = True
+                # Own rows of the cell meet each other in one of two cells; rows that were sent to it have to meet all.
+                may &= joined_in(own[:, None], numbers[None, :]) | ~is_home[:, None]
+                may[every, own] = True
                 r, c = np.nonzero(may)
                 at += [rows[i] for i in r.tolist()]
-                cell += c.tolist()
-                home += (own[r] == c).tolist()
+                cell += [f"{k[2]}.{j}" for j in c.tolist()]
+                home += (is_home[r] & (own[r] == c)).tolist()
             got = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), got.column(2), got.column(3), got.column(4), pa.array(cell, pa.int32()), pa.array(home, pa.bool_())], ["class_id", "label", "dim", "unit", "copies", "cell", "home"])
+            yield pa.RecordBatch.from_arrays([*(got.column(i) for i in range(5)), pa.array(cell, pa.string()), pa.array(home, pa.bool_())], ["class_id", "label", "dim", "unit", "copies", "cell", "home"])
+
+    return mapped(placed.select("class_id", "label", "dim", "unit", "copies", "cell", "home"), run, PLACED)
+
+
+def sized(placed: DataFrame, name: str) -> DataFrame:
+    """(label, dim, cell, n, pairs) of each cell: classes, and pairs of a home class with another one that a join compares."""
+    homes = F.count_if("home")
+    return materialize(placed.groupBy(*KEY).agg(F.count("*").alias("n"), (homes * (homes - 1) / 2 + homes * F.count_if(~F.col("home"))).cast("double").alias("pairs")), name)
+
+
+def partitioned(classes: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+    """Classes dealt to cells, and the cells' sizes."""
+    placed = classes.select("class_id", "label", "dim", "unit", "copies", F.lit("").alias("cell"), F.lit(True).alias("home"))
+    whole = sized(placed, "vectors-labels")  # a row for each label
+    done, least, step = None, PER_PIVOT + 1, 0
+    while True:
+        # The largest cells first, as far as one pass's pivots go.
+        budget, turn = PIVOTS, []
+        for r in whole.filter(F.col("n") >= least).orderBy(F.desc("n"), *KEY).limit(PIVOTS // 2).collect():
+            if pivots_of(r["n"]) <= budget:
+                budget -= pivots_of(r["n"])
+                turn.append((*(r[c] for c in KEY), r["n"]))
+        pivots = choose_pivots(placed, turn, eps) if turn else {}
+        if not pivots:
+            break
+        split = cells(placed, pivots, eps)
+        sizes = sized(split, f"vectors-sizes{step}")
+        if step:
+            # A cell that gains too little keeps its rows and is done with.
+            split = materialize(split, f"vectors-split{step}")
+            asked = placed.sparkSession.createDataFrame([k[:3] for k in turn], "label string, dim int, cell string")
+            parent = F.regexp_replace("cell", r"\.[^.]*$", "")
+            after = sizes.withColumn("cell", parent).groupBy(*KEY).agg(F.sum("pairs").alias("after"))
+            poor = materialize(asked.join(whole, KEY).join(after, KEY, "left").filter(f"after is null or after > pairs * {GAIN}").select(*KEY), f"vectors-poor{step}")
+            stays = placed.join(F.broadcast(poor), KEY, "left_semi")
+            done = stays if done is None else done.unionByName(stays)
+            under = poor.withColumnRenamed("cell", "_cell")
+            # The cell itself, if no pivots were found for it, or its parts.
+            split = split.join(F.broadcast(poor), KEY, "left_anti").withColumn("_cell", parent).join(F.broadcast(under), ["label", "dim", "_cell"], "left_anti").drop("_cell")
+            split = materialize(split, f"vectors-kept{step}")
+            sizes = sized(split, f"vectors-sizes{step}b")
+        placed, whole, least, step = split, sizes, MANY, step + 1
+        if not whole.filter(F.col("n") >= least).limit(1).count():
+            break
+        if step == 1:
+            placed = materialize(placed, "vectors-cells")
+    if done is not None:
+        placed = placed.unionByName(done)
+        whole = sized(placed, "vectors-sizes")
+    return placed, whole
 
-    return mapped(classes.select("class_id", "label", "dim", "unit", "copies"), run, "class_id long, label string, dim int, unit binary, copies long, cell int, home boolean")
+
+def compared(vectors: DataFrame, least: float = 0.98) -> float:
+    """Share of all pairs of different vectors of a label that the join compares."""
+    _, classes = classes_of(vectors)
+    _, sizes = partitioned(classes, math.sqrt(2 - 2 * least))
+    n = classes.groupBy("label", "dim").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+    return (sizes.agg(F.sum("pairs")).first()[0] or 0) / n if n else 0.0
 
 
 def join_block(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, chunk: int = 512):
-    """Links of the home rows of left with all rows of right: (positions, number of linked vectors), and forest edges."""
+    """Links of the home rows of left with all rows of right: number of linked vectors by position, and forest edges.
+
+    Links count for the home row, and for the other one too if it isn't home here: then no other task finds them.
+    """
     at = left[home[left]]
-    counts = np.zeros(len(at), np.int64)
+    counts = np.zeros(len(ids), np.int64)
     root = np.arange(len(ids))
+    sent = ~home[right]
     links = []
     for s in range(0, len(at), chunk):
         rows = at[s : s + chunk]
         linked = (x[rows] @ x[right].T >= least) & (ids[rows][:, None] != ids[right][None, :])
-        counts[s : s + chunk] = linked @ copies[right]
+        counts[rows] += linked @ copies[right]
+        counts[right[sent]] += copies[rows] @ linked[:, sent]
         if linked.any():
             links.append((rows, np.packbits(linked, axis=1)))
     changed = bool(links)
@@ -128,7 +214,7 @@ def join_block(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, home: np.ndar
             root[right] = np.minimum(root[right], back)
         root = root[root]
         changed = not np.array_equal(before, root)
-    return at, counts, root
+    return counts, root
 
 
 def linked_cells(dealt: DataFrame, least: float) -> DataFrame:
@@ -143,9 +229,9 @@ def linked_cells(dealt: DataFrame, least: float) -> DataFrame:
         first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out = []
         for left, right in [(first, second)] if i == j else [(first, second), (second, first)]:
-            at, counts, root = join_block(ids, x, copies, home, left, right, least)
-            some = counts > 0
-            out.append(pd.DataFrame({"class_id": ids[at][some], "links": counts[some], "other": ids[at][some]}))
+            counts, root = join_block(ids, x, copies, home, left, right, least)
+            some = np.flatnonzero(counts)
+            out.append(pd.DataFrame({"class_id": ids[some], "links": counts[some], "other": ids[some]}))
             moved = np.flatnonzero(root != np.arange(len(ids)))
             out.append(pd.DataFrame({"class_id": ids[moved], "links": 0, "other": ids[root[moved]]}))
         return pd.concat(out).astype("int64")
@@ -153,17 +239,20 @@ def linked_cells(dealt: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("label", "dim", "cell", "i", "j").applyInPandas(run, "class_id long, links long, other long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row."""
+def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vec_id, label, dim, vec_key of every row, and one class for each distinct vector of a label."""
     ship_code(vectors.sparkSession)
-    eps = math.sqrt(2 - 2 * least)
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["label"].cast("string").alias("label"), vectors["embedding"].cast("array<double>").alias("embedding"))
-    units = materialize(unit_vectors(rows), "vectors-unit")
+    units = unit_vectors(rows)
     classes = units.filter(F.col("vec_key").isNotNull()).groupBy("label", "dim", "vec_key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.min("unit").alias("unit"))
-    classes = materialize(classes, "vectors-classes")
-    placed = materialize(cells(classes, choose_pivots(classes, classes.count(), eps), eps), "vectors-cells")
-    sizes = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
-    found = materialize(linked_cells(block_pairs(placed.join(sizes, ["label", "dim", "cell"]), ["label", "dim", "cell"], F.col("class_id"), "n", block), least), "vectors-links")
+    return materialize(units.select("vec_id", "label", "dim", "vec_key"), "vectors-keys"), materialize(classes, "vectors-classes")
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row."""
+    units, classes = classes_of(vectors)
+    placed, sizes = partitioned(classes, math.sqrt(2 - 2 * least))
+    found = materialize(linked_cells(block_pairs(placed.join(sizes.drop("pairs"), KEY), KEY, F.col("class_id"), "n", block), least), "vectors-links")
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("class_id").alias("a"), F.col("other").alias("b")), "vectors")
     of_class = classes.join(links, "class_id", "left").join(roots.select(F.col("id").alias("class_id"), "root"), "class_id", "left")
