@@ -1,6 +1,7 @@
 """Licences, pages, toxicity, shards, embeddings and the pipeline against brute force or held-out accuracy."""
 
 import random
+import time
 import zlib
 
 import duckdb
@@ -81,6 +82,68 @@ def test_style_tree_keeps_articles_and_does_not_depend_on_pages(spark):
     assert all("Club" not in t and f"turn {i % 4}\nAll\none {i}\n" in t for i, t in got.items())
 
 
+def brute_tree(htmls):
+    """Importance of each path of one host's pages, by definition."""
+    pages_of, texts, shapes, prior = {}, {}, {}, {}
+    for k, html in enumerate(dict.fromkeys(htmls)):
+        blocks, elements = pages.blocks_of(html)
+        for path, text, _, gone in blocks:
+            texts.setdefault(path, {}).setdefault(text, set()).add(k)
+        for path, shape, gone in elements:
+            if shape:
+                shapes.setdefault(path, {}).setdefault(shape, set()).add(k)
+        for path, gone in [(b[0], b[3]) for b in blocks] + [(e[0], e[2]) for e in elements if e[1]]:
+            pages_of.setdefault(path, set()).add(k)
+            prior[path] = pages.FAINT if gone else 1.0
+    own = {}
+    for path, found in pages_of.items():
+        m = len(found)
+        weighs = lambda there: (m - len(there) + 1) / m  # noqa: B023, E731
+        own[path] = np.mean([weighs(t) for t in texts[path].values()]) if path in texts else sum(len(t) / m * weighs(t) for t in shapes[path].values())
+    out = {}
+    for path in pages_of:
+        below = [(pages.GAMMA ** (q.count("/") - path.count("/")) * len(pages_of[q]), own[q]) for q in own if q == path or q.startswith(path + "/")]
+        out[path] = prior[path] * sum(w * v for w, v in below) / sum(w for w, _ in below)
+    return out
+
+
+def test_style_tree_against_its_definition(spark):
+    rng = random.Random(3)
+    word = lambda n: " ".join(rng.choice("one two three four five six".split()) for _ in range(n))
+    page = lambda i: f"<body><nav><a>Home</a></nav><div class='x'>Club {i % 3}</div>{'<div><h2>Part</h2><p>' + word(3) + '</div>' if i % 2 else ''}<div class='w'><p>{word(2)}</p><ul><li>{word(1)}<li>all</ul></div><footer>{word(4)}</footer></body>"
+    htmls = [page(i) for i in range(12)] + [page(1)] * 2 + [""]
+    df = spark.createDataFrame([("http://h.org/x", h) for h in htmls], "url string, html string")
+    got = {r.path: r.importance for r in pages.importance(pages.style_nodes(df).distinct()).collect()}
+    want = brute_tree(htmls)
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+    removed = {r.host: set(r.branches) for r in pages.removed_branches(df).collect()}
+    assert removed == {"h.org": {p for p in {b[0] for h in htmls for b in pages.blocks_of(h)[0]} if want[p] < pages.LEAST and (p.split("/")[-1] not in ("html", "body", "p", "h1") or "!" in p)}}
+
+
+def test_style_tree_decides_on_the_tables(spark):
+    """All blocks that go from the pages of sf0.1 go by the tree: without its branches no page is right."""
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    branches = {r.host: set(r.branches) for r in pages.removed_branches(df).collect()}
+    assert len(branches) >= 50
+    for r in df.limit(300).collect():
+        kept = [text for path, text, _, _ in pages.blocks_of(r.html)[0] if path not in branches[pages.host_of(r.url)]]
+        assert got[r.page_id] == "\n".join(kept) and (got[r.page_id] != pages.main_text(r.html, set()) or not r.html)
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, '<a "' * 250_000, "<div>" * 100_000, "<span>" * 100_000 + "x</p>" * 100_000, "<" * 1_000_000, '<a href="x>y' * 80_000, "<script>" * 120_000, "<i><body>" + "<div>" * 100_000 + "</i>x" * 100_000, "<!--" * 250_000, "<a '>" * 200_000])
+def test_reading_takes_time_in_proportion(html):
+    began = time.perf_counter()
+    pages.main_text(html)
+    assert time.perf_counter() - began < 4
+
+
+def test_broken_and_deep_markup():
+    assert pages.main_text("a < b <c") == "a < b <c" and pages.main_text("<p>x<p title='y>z") == "x\nz"
+    assert pages.main_text("<div>" * 300 + "deep<nav>no</nav>" + "</div>" * 300 + "<p>end") == "deep\nend"
+    assert pages.main_text("<SCRIPT>x</p></Script >y<style>z") == "y" and pages.main_text("a<!-- b -- c <p>") == "a"
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic"), "doc_id").filter("held_out").toPandas()
     hit, said, there = ((r.predicted == 1) & (r.toxic == 1)).sum(), (r.predicted == 1).sum(), (r.toxic == 1).sum()

@@ -2,21 +2,23 @@
 
 A page is read into blocks, each with the path of its elements (tags with their classes). The style tree of a host merges
 the pages' paths: at each path, pages differ in presentation (the sequence of child elements) and in content (the text).
-A text that d of a path's m pages have weighs (m - d) / (m - 1): common to all, 0; found once, 1; for the same share of the
-pages never less than 1 - d / m, however many they are. A node's importance averages that over its texts, or above the
-leaves takes the chance that two pages differ in presentation, and reaches its ancestors with weight GAMMA for each step
-up. Blocks of paths below LEAST are removed from the host's pages, but never below an article or main element, and so are
-those whose elements say what they are: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments.
+A text that d of a path's m pages have weighs (m - d + 1) / m: found once, 1; common to all, 1 / m, which is little only
+if there are many pages; for the same share of the pages about the same, however many they are. A node's content averages
+that over its texts; its presentation, which counts where it has no text, is the chance that two pages differ in it. Both
+reach a node's ancestors with weight GAMMA for each step up. What elements say of themselves is a prior: menus, headers,
+footers, sidebars, notices, adverts, forms, hidden parts, reader comments and, on pages with an article or main element,
+what is outside these, have FAINT of the importance that the pages give them. Blocks of nodes below LEAST are removed from
+the host's pages; below an article or main element only those that the prior makes faint.
 
 The tree is built by aggregation on (host, path, text): a hot host is pre-aggregated in each task and never gathered.
-Pages that are equal count once, and a host's tree decides nothing below PAGES different pages. The list of removed
-branches is broadcast up to BROADCAST_ROWS rows and joined by host beyond that; pages are not shuffled for it otherwise.
+Pages that are equal count once. The list of removed branches is broadcast up to BROADCAST_ROWS rows and joined by host
+beyond that; pages are not shuffled for it otherwise. Reading takes time in proportion to the page, whatever is in it.
 
 Edge cases: null or empty html gives an empty text; a null url is the host of no name; a page with article or main elements
 gives all that remains inside them, in page order, one without them all blocks that remain, short or linked ones too;
 repeated rows stay; other columns are not read. Broken markup is closed as browsers do for paragraphs and list items; a
-document that never ends a tag is text from there on.
+tag that never ends is text from there on; after a quote that never ends, quotes have no meaning; elements more than
+DEPTH deep belong to the branch at that depth.
 """
 
 from __future__ import annotations
@@ -31,14 +33,18 @@ from pyspark.sql import functions as F
 
 from .common import mapped, materialize
 
-GAMMA, LEAST, PAGES = 0.9, 0.2, 8
+GAMMA, LEAST, FAINT = 0.9, 0.2, 0.1
+#: Levels of the tree: a node of that many steps down has a weight of a hundredth in its root.
+DEPTH = 44
 BROADCAST_ROWS = 200_000
-
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|select|title|math|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+#: Pages that a task holds as objects at once.
+SLICE = 100
+
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template textarea svg iframe object select title math canvas audio video".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,14 +75,14 @@ def host_of(url: str | None) -> str:
 
 
 class Element:
-    __slots__ = ("tag", "name", "out", "kids", "place")
+    __slots__ = ("tag", "path", "out", "kids", "place", "depth")
 
-    def __init__(self, tag: str, name: str, out: str, place: str):
-        self.tag, self.name, self.out, self.kids, self.place = tag, name, out, [], place
+    def __init__(self, tag: str, path: str, out: str, place: str, depth: int):
+        self.tag, self.path, self.out, self.kids, self.place, self.depth = tag, path, out, [], place, depth
 
 
-def judged(tag: str, attributes: str, parent: Element | None) -> tuple[str, str]:
-    """(name for paths, why the branch is out). Reasons: 'tag' is final, 'name' may be lifted by an article inside."""
+def judged(tag: str, attributes: str, parent: Element) -> tuple[str, str]:
+    """(name for paths, why the prior is faint). Reasons: 'tag' and 'remark' are final, 'name' may be lifted by an article inside."""
     names: set[str] = set()
     label, hidden = tag, False
     if attributes and not attributes.isspace():
@@ -86,33 +92,81 @@ def judged(tag: str, attributes: str, parent: Element | None) -> tuple[str, str]
             if key in ("class", "id", "role"):
                 names.update(SPLIT.split(CAMEL.sub("-", value).lower()))
                 if key == "class" and value:
-                    label = tag + "." + ".".join(value.split()[:2])
+                    label = tag + "." + ".".join(value.replace("/", "").split()[:2])
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
                 hidden = True
-    above = parent.out if parent else ""
-    if above in ("tag", "remark"):
-        return label, above
+    if parent.out in ("tag", "remark"):
+        return label, parent.out
     if tag in OUT or hidden:
         return label, "tag"
     if names & REMARKS and tag not in ("html", "body"):
         return label, "remark"
-    inside = parent.place if parent else ""
-    if (tag == "header" or names & HEADERS) and not inside and tag not in ("html", "body", "article", "main"):
+    if (tag == "header" or names & HEADERS) and not parent.place and tag not in ("html", "body", "article", "main"):
         return label, "tag"
     if tag in ("article", "main"):
         return label, ""
-    if above:
-        return label, above
+    if parent.out:
+        return label, parent.out
     if names & NAMES and tag not in ("html", "body"):
         return label, "name"
     return label, ""
 
 
+def tokens(html: str):
+    """(text, '', '') of plain runs, (end mark, tag, attributes) of tags; comments, declarations and raw elements are left out."""
+    at, size, quoted = 0, len(html), True
+    while at < size:
+        open_at = html.find("<", at)
+        if open_at < 0:
+            break
+        if html.startswith("<!--", open_at):
+            if open_at > at:
+                yield html[at:open_at], "", ""
+            end = html.find("-->", open_at + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        tag = TAG.match(html, open_at)
+        if tag is None:
+            # A declaration, or a sign in the text.
+            end = html.find(">", open_at) if html.startswith(("<!", "<?", "</"), open_at) else open_at
+            if end < 0:
+                break
+            if end == open_at:
+                yield html[at : open_at + 1], "", ""
+                at = open_at + 1
+            else:
+                if open_at > at:
+                    yield html[at:open_at], "", ""
+                at = end + 1
+            continue
+        rest = REST.match(html, tag.end()) if quoted else None
+        if rest is None:
+            quoted = False
+            end = html.find(">", tag.end())
+            if end < 0:
+                break
+        else:
+            end = rest.end() - 1
+        if open_at > at:
+            yield html[at:open_at], "", ""
+        name = tag[2].lower()
+        at = end + 1
+        if name in RAW:
+            if not tag[1]:
+                close = CLOSE[name].search(html, at)
+                at = close.end() if close else size
+            continue
+        yield tag[1] or "+", name, html[tag.end() : end]
+    if at < size:
+        yield html[at:], "", ""
+
+
 def blocks_of(html: str | None):
-    """(path, text, place, out) of each block, and (path, child names) of each element."""
-    html = html or ""
-    root = Element("", "", "", "")
-    stack, path = [root], [""]
+    """(path, text, place, out) of each block, and (path, child names, out) of each element."""
+    root = Element("", "", "", "", 0)
+    stack = [root]
+    opened: dict[str, list[int]] = {}  # places in the stack by tag, and of blocks and of bounds that inline ends don't cross
+    block_at, bounds = [0], [0]
     blocks, shapes = [], []
     buffer: list[str] = []
 
@@ -121,35 +175,26 @@ def blocks_of(html: str | None):
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCKS or not i))
-                blocks.append((path[top], text, stack[top].place, stack[top].out))
+                blocks.append((stack[block_at[-1]].path, text, stack[-1].place, stack[-1].out))
 
     def pop(to: int):
         while len(stack) > to:
             e = stack.pop()
-            shapes.append((path.pop(), ",".join(e.kids)))
-
-    at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            buffer.append(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+            opened[e.tag].pop()
+            for places in (block_at, bounds):
+                if places[-1] == len(stack):
+                    places.pop()
+            shapes.append((e.path, ",".join(e.kids), e.out))
+
+    for mark, tag, attributes in tokens(html or ""):
+        if not tag:
+            buffer.append(mark)
             continue
-        tag = tag.lower()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag in BLOCKS:
-                        flush()
-                    pop(i)
-                    break
-                if stack[i].tag in ("article", "main", "body") and tag not in BLOCKS:
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+        if mark == "/":
+            if tag in BLOCKS:
+                flush()
+            if opened.get(tag) and (tag in BLOCKS or opened[tag][-1] >= bounds[-1]):
+                pop(opened[tag][-1])
             continue
         if tag in VOID:
             if tag == "hr":
@@ -159,35 +204,34 @@ def blocks_of(html: str | None):
             continue
         if tag in BLOCKS:
             flush()
-            ends = ENDS.get(tag, ())
-            for i in range(len(stack) - 1, 0, -1):
-                t = stack[i].tag
-                if t == "p" or t in ends:
-                    pop(i)
-                    break
-                if t in BLOCKS:
-                    break
+            nearest = stack[block_at[-1]].tag
+            if nearest == "p" or nearest in ENDS.get(tag, ()):
+                pop(block_at[-1])
         parent = stack[-1]
-        name, out = judged(tag, m[4], parent)
+        name, out = judged(tag, attributes, parent)
         place = tag if tag in ("article", "main") and parent.place != "article" else parent.place
-        e = Element(tag, name, out, place)
         if not parent.kids or parent.kids[-1] != name:
             parent.kids.append(name)
+        # Why a path is faint is part of it, so that all elements of a path have one prior.
+        e = Element(tag, f"{parent.path}/{name}{'!' + out if out else ''}" if parent.depth < DEPTH else parent.path, out, place, parent.depth + 1)
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            block_at.append(len(stack))
+        if tag in ("article", "main", "body"):
+            bounds.append(len(stack))
         stack.append(e)
-        path.append(path[-1] + "/" + name)
-    if at < len(html):
-        buffer.append(html[at:])
     flush()
     pop(1)
+    if any(place and not out for _, _, place, out in blocks):
+        blocks = [b if b[2] or b[3] else (b[0] + "!outside", b[1], "", "outside") for b in blocks]
     return blocks, shapes
 
 
 def main_text(html: str | None, removed: set[str] | None = None) -> str:
-    """The page's text without what its elements name as other, and without the removed branches of its host."""
+    """The page's text without the removed branches of its host; alone, a page is the only one of its host."""
     blocks, _ = blocks_of(html)
-    # Below an article or main element the tree removes nothing; a block goes by its own path, not for what else a branch holds.
-    left = [b for b in blocks if not b[3] and (b[2] or not removed or b[0] not in removed)]
-    return "\n".join(b[1] for b in [b for b in left if b[2]] or left)
+    # A block goes by its own path, not for what else a branch holds.
+    return "\n".join(text for path, text, _, out in blocks if (not out if removed is None else path not in removed))
 
 
 def _key(*parts: str) -> int:
@@ -195,53 +239,52 @@ def _key(*parts: str) -> int:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature, page): kind 0 for content, 1 for presentation; page is a hash of the whole page."""
+    """(host, path, kind, feature, prior, page): kind 0 for content, 1 for presentation; page is a hash of the whole page."""
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64()), ("prior", pa.float64()), ("page", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            out = []
-            for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                host, page = host_of(url), _key(html or "")
-                blocks, shapes = blocks_of(html)
-                kept = {b[0] for b in blocks if not b[3]}
-                # Only branches that nothing else removes have to be judged.
-                seen = {(path, 0, _key(text)) for path, text, _, gone in blocks if not gone}
-                seen |= {(path, 1, _key(shape)) for path, shape in shapes if shape and any(k.startswith(path) for k in kept)}
-                out += [(host, path, kind, feature, page) for path, kind, feature in seen]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["host", "path", "kind", "feature", "page"])
+            for at in range(0, batch.num_rows, SLICE):
+                part, out = batch.slice(at, SLICE), []
+                for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    host, page = host_of(url), _key(html or "")
+                    blocks, shapes = blocks_of(html)
+                    seen = {(path, 0, _key(text), FAINT if gone else 1.0) for path, text, _, gone in blocks}
+                    seen |= {(path, 1, _key(shape), FAINT if gone else 1.0) for path, shape, gone in shapes if shape}
+                    out += [(host, *node, page) for node in seen]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return mapped(pages.select("url", "html"), run, "host string, path string, kind int, feature long, page long")
+    return mapped(pages.select("url", "html"), run, "host string, path string, kind int, feature long, prior double, page long")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """(host, path, m, importance) of each node of each host's style tree, from its distinct nodes."""
-    counts = nodes.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("d"))
+    """(host, path, m, text, importance) of each node of each host's style tree, from its distinct nodes; text: it has content."""
+    counts = nodes.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("d"), F.max("prior").alias("prior"))
     # Pages of a path: each has one presentation there; contents may be several, so the pages are counted themselves.
     sizes = nodes.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("m"))
-    joined = counts.join(sizes, ["host", "path"]).filter(F.col("m") > 1)
-    differs = (F.col("m") - F.col("d")) / (F.col("m") - 1)
+    joined = counts.join(sizes, ["host", "path"])
+    differs = (F.col("m") - F.col("d") + 1) / F.col("m")
     share = F.col("d") / F.col("m")
     own = joined.groupBy("host", "path").agg(
-        F.max("m").alias("m"),
+        F.max("m").alias("m"), F.max("prior").alias("prior"),
         F.avg(F.when(F.col("kind") == 0, differs)).alias("content"),
         F.sum(F.when(F.col("kind") == 1, share * differs)).alias("presentation"),
-    )
+    )
     parts = F.split(F.substring("path", 2, 1 << 20), "/")
     up = own.withColumn("parts", parts).withColumn("steps", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)))
     up = up.withColumn("node", F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.size("parts") - F.col("steps")), "/")))
     weight = F.pow(F.lit(GAMMA), F.col("steps")) * F.col("m")
     value = F.coalesce("content", "presentation")
-    merged = up.filter(value.isNotNull()).groupBy("host", F.col("node").alias("path")).agg((F.sum(weight * value) / F.sum(weight)).alias("importance"))
-    return merged.join(own.select("host", "path", "m"), ["host", "path"])
+    merged = up.groupBy("host", F.col("node").alias("path")).agg((F.sum(weight * value) / F.sum(weight)).alias("given"))
+    return merged.join(own, ["host", "path"]).select("host", "path", "m", F.col("content").isNotNull().alias("text"), F.col("prior"), (F.col("given") * F.col("prior")).alias("importance"))
 
 
 def removed_branches(pages: DataFrame) -> DataFrame:
-    """(host, branches): low-importance branches of hosts with enough different pages and something important besides."""
-    tree = importance(materialize(style_nodes(pages).distinct(), "pages-nodes")).filter(F.col("m") >= PAGES)
-    hosts = tree.groupBy("host").agg(F.max("importance").alias("best"))
-    # Nothing is removed below a host's articles.
-    low = tree.join(hosts, "host").filter((F.col("importance") < LEAST) & (F.col("best") > 0.5) & ~F.col("path").rlike(r"/(html|body|p|h1)$|/(article|main)([./]|$)"))
+    """(host, branches): paths of low-importance blocks. What no prior makes faint goes only beside something important, and not below an article."""
+    tree = importance(materialize(style_nodes(pages).distinct(), "pages-nodes"))
+    best = tree.groupBy("host").agg(F.max("importance").alias("best"))
+    plain = (F.col("best") > 0.5) & ~F.col("path").rlike(r"/(html|body|p|h1)$|/(article|main)([./!]|$)")
+    low = tree.join(best, "host").filter(F.col("text") & (F.col("importance") < LEAST) & ((F.col("prior") < 1) | plain))
     return low.groupBy("host").agg(F.collect_set("path").alias("branches"))
 
 
@@ -255,12 +298,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found: dict[tuple, set[str]] = {}
-            texts = []
-            for html, branches in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = tuple(branches or ())
-                texts.append(main_text(html, found.setdefault(key, set(key))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for at in range(0, batch.num_rows, SLICE):
+                part, texts = batch.slice(at, SLICE), []
+                found: dict[tuple, set[str]] = {}
+                for html, branches in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    key = tuple(branches or ())
+                    texts.append(main_text(html, found.setdefault(key, set(key))))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = hosts.join(removed, "host", "left").select("page_id", "url", "html", "branches")
     return mapped(joined, run, "page_id long, url string, text string, n_chars long")
