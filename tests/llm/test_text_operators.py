@@ -246,6 +246,57 @@ def test_genetic_packing():
     assert fill.max() <= 1024 and fill.sum() == sizes.sum() and (best >= 0).all()
 
 
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying all packings."""
+    best = [len(sizes)]
+
+    def go(i, bins):
+        if len(bins) < best[0] and i == len(sizes):
+            best[0] = len(bins)
+        if len(bins) >= best[0]:
+            return
+        for k in {f: k for k, f in enumerate(bins) if f + sizes[i] <= capacity}.values():
+            go(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_of_small_sets_is_optimal():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        sizes = rng.integers(1, 41, rng.integers(1, 10))
+        want = fewest_bins(sorted(sizes.tolist(), reverse=True), 40)
+        assert packing.fewest(sizes, 40) <= want == -packing.fitness(packing.evolve(sizes, 1, [], 40), sizes, 40)[0]
+
+
+@pytest.mark.parametrize("n", [20, 100, 1000])
+def test_genetic_packing_beats_best_fit(n):
+    """Three items fill each bin of the best packing; best fit decreasing pairs the large ones and needs a tenth more."""
+    rng = np.random.default_rng(n)
+    first = rng.integers(342, 500, n)
+    second = rng.integers(260, 342, n)
+    sizes = np.concatenate([first, second, 1024 - first - second])
+    plain = np.full(len(sizes), -1)
+    packing.best_fit(plain, [], packing.descending(sizes, 0.0, rng), sizes.tolist(), 1024)
+    best = packing.evolve(sizes, 1, [])
+    fill = np.bincount(best, weights=sizes)
+    bins, without = -packing.fitness(best, sizes, 1024)[0], -packing.fitness(plain, sizes, 1024)[0]
+    assert fill.max() <= 1024 and fill.sum() == sizes.sum() and n == packing.fewest(sizes, 1024)
+    assert bins < without and bins <= 1.08 * n + 1
+
+
+def test_tightening_keeps_items():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(100, 500, 200)
+    bins = np.full(len(sizes), -1)
+    packing.best_fit(bins, [], rng.permutation(len(sizes)).tolist(), sizes.tolist(), 1024)
+    after = packing.tighten(bins, sizes, 1024)
+    fill = np.bincount(after, weights=sizes)
+    assert fill.max() <= 1024 and fill.sum() == sizes.sum() and packing.fitness(after, sizes, 1024) > packing.fitness(bins, sizes, 1024)
+
+
 @pytest.mark.parametrize("run", [suffixes.repeated_spans, suffixes.without_repeats, neardup.near_duplicates, neardup.keep_one, syncmers.fingerprints, lambda d: bpe.round_trips(d, WORD), lambda d: packing.pack_documents(d, BYTE)])
 def test_empty_table(documents, run):
     assert run(documents([(1, "x")]).filter("doc_id > 1")).count() == 0

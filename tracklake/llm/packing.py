@@ -4,7 +4,7 @@ Documents are tokenized once, in a map. Only documents longer than the capacity
 remainder, all others are full and make a sequence each. The remaining pieces are dealt into cells of about CELL pieces.
 Each cell is evolved by ISLANDS islands: a chromosome is a set of bins; crossover injects whole well-filled bins of one
 parent into the other, drops the bins that then hold a document twice, and puts their displaced documents back by best
-fit. After each epoch every island passes its elite to the next island of its cell; the best chromosome of a cell wins.
+fit; in each generation the best chromosome is tightened, its least filled bins emptied by moves and swaps. After each epoch every island passes its elite to the next island of its cell; the best chromosome of a cell wins.
 All tasks see a bounded number of pieces, whatever the corpus or its hot keys.
 
 Edge cases: null or empty texts are one piece that holds the end mark alone; repeated rows and repeated ids are packed
@@ -34,8 +34,12 @@ END = 2
 CELL = 12_000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 3
-GENERATIONS = 3
+POPULATION = 8
+GENERATIONS = 12
+#: Moves and swaps by which the best chromosome of a generation is tightened.
+STEPS = 400
+#: Bins in which it looks for room.
+ROOMY = 16
 #: Entries of a worker's word caches.
 CACHE_WORDS, ONCE_WORDS = 350_000, 200_000
 
@@ -216,8 +220,75 @@ def cross(mother: np.ndarray, father: np.ndarray, sizes: np.ndarray, as_list: li
     return child
 
 
+def fewest(sizes: np.ndarray, capacity: int) -> int:
+    """A lower bound of the number of bins (Martello and Toth's second one).
+
+    For each least size considered: what is so large that nothing considered fits beside it has a bin of its own, items
+    above half have one each, and the others need bins beyond the room that those leave.
+    """
+    ordered = np.sort(sizes.astype(np.int64))
+    total = np.r_[0, np.cumsum(ordered)]
+    half = np.searchsorted(ordered, capacity // 2, "right")
+    least = np.unique(np.r_[1, ordered[:half]])
+    first = np.searchsorted(ordered, least, "left")
+    alone = np.maximum(np.searchsorted(ordered, capacity - least, "right"), half)
+    room = capacity * (alone - half) - (total[alone] - total[half])
+    over = np.maximum(total[half] - total[np.minimum(first, half)] - room, 0)
+    return int((len(ordered) - half - (-over // capacity)).max(initial=0))
+
+
+def tighten(bin_of: np.ndarray, sizes: np.ndarray, capacity: int, steps: int = STEPS) -> np.ndarray:
+    """Empty the least filled bin by moves and swaps that fill other bins better, then the next one, for so many steps.
+
+    An item moves to the tightest bin that takes it. If none does, the smallest item waits until a swap between two other
+    bins has made room for it; and if there is no such swap, an item changes places with the smaller one whose bin gains
+    most. Each step takes something out of the least filled bin, so steps never undo each other.
+    """
+    bin_of, sizes = bin_of.copy(), sizes.astype(np.int64)
+    fill = np.bincount(bin_of, weights=sizes).astype(np.int64)
+
+    def put(item: int, target: int) -> None:
+        fill[bin_of[item]] -= sizes[item]
+        fill[target] += sizes[item]
+        bin_of[item] = target
+
+    def exchange(giving: np.ndarray, least: int, most: np.ndarray) -> tuple[int, int]:
+        """(item of giving, other item) of the largest difference in size from least to the most that the other's bin takes."""
+        gain = sizes[giving][:, None] - sizes[None, :]
+        gain[(gain < least) | (gain > most[bin_of][None, :])] = 0
+        k, other = divmod(int(gain.argmax()), len(sizes))
+        return (int(giving[k]), other) if gain[k, other] > 0 else (-1, -1)
+
+    for _ in range(steps):
+        loosest = int(np.where(fill > 0, fill, capacity + 1).argmin())
+        free = np.where(fill > 0, capacity - fill, 0)
+        free[loosest] = -1
+        mine = np.flatnonzero(bin_of == loosest)
+        mine = mine[np.argsort(-sizes[mine], kind="stable")]
+        placed = next((i for i in mine.tolist() if sizes[i] <= free.max()), -1)
+        if placed < 0:
+            small = int(mine[-1])
+            for roomy in np.argsort(-free, kind="stable")[:ROOMY].tolist():
+                others = free.copy()
+                others[roomy] = -1
+                a, b = exchange(np.flatnonzero(bin_of == roomy), int(sizes[small]) - int(free[roomy]), others)
+                if a >= 0:
+                    target = int(bin_of[b])
+                    put(b, roomy), put(a, target), put(small, roomy)
+                    break
+            else:
+                a, b = exchange(mine, 1, free)
+                if a < 0:
+                    break
+                target = int(bin_of[b])
+                put(b, loosest), put(a, target)
+            continue
+        put(placed, int(np.where(free >= sizes[placed], free, capacity + 1).argmin()))
+    return bin_of
+
+
 def evolve(sizes: np.ndarray, seed: int, elites: list[np.ndarray], capacity: int = CAPACITY, population: int = POPULATION, generations: int = GENERATIONS) -> np.ndarray:
-    """Best chromosome (a bin for each item) of one island."""
+    """Best chromosome (a bin for each item) of one island. It ends early where no chromosome can have fewer bins."""
     rng = np.random.default_rng(seed)
     as_list = sizes.astype(int).tolist()
     people = list(elites)
@@ -225,13 +296,16 @@ def evolve(sizes: np.ndarray, seed: int, elites: list[np.ndarray], capacity: int
         child = np.full(len(sizes), -1, np.int64)
         best_fit(child, [], descending(sizes, 0.0 if not people else 0.03 * len(people), rng), as_list, capacity)
         people.append(child)
-    people.sort(key=lambda p: fitness(p, sizes, capacity), reverse=True)
-    least = -(-int(sizes.sum()) // capacity)
+    rank = lambda p: fitness(p, sizes, capacity)
+    people.sort(key=rank, reverse=True)
+    least = fewest(sizes, capacity)
     for _ in range(generations):
-        if -fitness(people[0], sizes, capacity)[0] <= least:
+        if -rank(people[0])[0] <= least:
             break
-        young = [cross(people[int(rng.integers(0, len(people)))], people[int(rng.integers(0, len(people)))], sizes, as_list, capacity, rng) for _ in range(population)]
-        people = sorted(people + young, key=lambda p: fitness(p, sizes, capacity), reverse=True)[:population]
+        young = [tighten(people[0], sizes, capacity)]
+        if -rank(young[0])[0] > least:
+            young += [cross(people[int(rng.integers(0, len(people)))], people[int(rng.integers(0, len(people)))], sizes, as_list, capacity, rng) for _ in range(population)]
+        people = sorted(people + young, key=rank, reverse=True)[:population]
     return people[0]
 
 
