@@ -39,6 +39,34 @@ def test_licences_are_inherited(spark):
     assert licences.scan(df.filter("doc_id > 99")).count() == 0
 
 
+def test_licence_files_and_wrapped_headers(spark):
+    """Whole licence files, notices wrapped over comment lines, tags, notices inside long lines; prose is left alone."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice("the tree of red birds and a house under green rain in old towns released water with license".split()) + rng.choice(["", "x", "q"]) for _ in range(n))
+    wrap = lambda text, mark, n=8: "\n".join(mark + " ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    L = licences
+    files = [
+        ("/m/LICENSE", "The MIT License (MIT)\n\nCopyright (c) 2020 Jane Roe. All rights reserved.\n\n" + wrap(L.MIT_GRANT, "") + "\n\n" + wrap(L.AS_IS, ""), "MIT"),
+        ("/b/LICENSE", "Copyright (c) 2019, A Lab\nAll rights reserved.\n\n" + wrap(L.BSD_GRANT, "") + "\n\n" + wrap(L.BSD_NAMES, "") + "\n\n" + wrap(L.BSD_AS_IS, ""), "BSD-3-Clause"),
+        ("/b2/x.c", "/*\n" + wrap(L.BSD_GRANT + " " + L.BSD_AS_IS, " * ") + "\n */\nint main() { return 0; }\n" + prose(900), "BSD-2-Clause"),
+        ("/i/COPYING", wrap(L.ISC_GRANT, "") + "\n\n" + wrap(L.ISC_AS_IS, ""), "ISC"),
+        ("/a/x.py", wrap(L.APACHE_HEADER + " " + L.APACHE_TERMS, "# ", 6) + "\nimport os\n" + prose(900), "Apache-2.0"),
+        ("/a2/x.py", "# Licensed under the\n# Apache License,\n# Version 2.0.\nimport os\n" + prose(900), "Apache-2.0"),
+        ("/g/x.c", wrap(L.GPL_HEADER.format("General", 3), "// ") + "\n//\n" + wrap(L.WARRANTY, "// ") + "\n#include <x>\n" + prose(900), "GPL-3.0"),
+        ("/g2/x.c", wrap(L.GPL_HEADER.format("General", 2), "// ") + "\ncode\n" + prose(900), "GPL-2.0"),
+        ("/p/x.js", "/* " + wrap(dict(L.TEMPLATES[::-1])["MPL-2.0"] + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", " * ") + " */\n" + prose(900), "MPL-2.0"),
+        ("/s/x.rs", "// SPDX-License-Identifier: MIT\n" + prose(900), "MIT"),
+        ("/s2/x.rs", "// SPDX-License-Identifier: GPL-2.0\n" + prose(900), "GPL-2.0"),
+        ("/s3/x.rs", "// SPDX-License-Identifier: Frobnicate-7\n" + prose(900), "Other"),
+        ("/l/x.txt", prose(400) + ". Released under the MIT License. " + prose(400), "MIT"),
+        ("/c/x.txt", "Copyright 2001 Big Firm. All rights reserved.\n" + prose(300), "Proprietary"),
+        ("/z/long.txt", "\n" * 50_000 + "#\n" * 50_000 + prose(60_000), None),
+    ] + [(f"/n/{i}.txt", prose(300) + "\n" + prose(30) + ".\n\n" + prose(50), None) for i in range(60)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r.path: r.licence for r in licences.scan(df).collect()}
+    assert got == {p: want for p, _, want in files}
+
+
 PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><div id=wrap><div class="cookie-notice">We use</div><article class="post"><header><h1>T &amp; x&nbsp;y</h1></header><p>One<p>Two <b>b<i>c</p>
 <ul><li>l1<li>l2 <a href="x>y">k</a></ul><div class="share">Share!</div><form>f<input></form><section id="comments"><article>nice</article></section><pre>a
  b</pre><table><tr><td>1<td>2</table></article><aside>rel</aside></div><footer>c</footer><script>var t="</p>";</script></body></html>"""
