@@ -373,7 +373,7 @@ def compare_log2_fold_change(spark, sf):
     return out.select("row_id", "bin", rounded("value").alias("value"))
 
 
-@query(f"{CELLS}, both AS (SELECT row_id, sample, bin, v FROM cells UNION ALL SELECT row_id, 3 - sample, bin, v FROM cells) SELECT row_id, sample, bin, round(CAST(CAST(sum(v) / nullif(count(v), 0) AS FLOAT) AS DOUBLE), 5) AS value FROM both GROUP BY ALL")
+@query(f"{CELLS}, pooled AS (SELECT row_id, sample, bin, v FROM cells UNION ALL SELECT row_id, 3 - sample, bin, v FROM cells) SELECT row_id, sample, bin, round(CAST(CAST(sum(v) / nullif(count(v), 0) AS FLOAT) AS DOUBLE), 5) AS value FROM pooled GROUP BY ALL")
 def combine_mean_of_matrices(spark, sf):
     m = f.matrix(spark, sf)
     return _cells(X.combine([m, m.withColumn("sample", 3 - F.col("sample"))], "mean"))
