@@ -5,7 +5,7 @@ comment lines, and the whole text, which is the licence file as a whole. A unit'
 idf, where idf counts the documents of the corpus; each of its other words adds 1, the least idf, to the squared norm. The
 template of greatest cosine names the unit's licence if the cosine is LEAST or more; of a text's units the one with most
 weight in its template's direction counts, and one that names no licence only where no other does. Units that can't reach LEAST aren't built: by Cauchy's inequality, a unit that does holds one of
-the words of the template that carry more than LEAST of its norm when the lightest are left out.
+the template's rarer words, if the frequent ones that are left out carry less than LEAST of its norm.
 
 A document of which the best unit makes up FILE_SHARE of the words or more, or whose name says so, is a licence file: it
 speaks for its directory. Documents without a licence of their own inherit from the nearest ancestor directory (their own
@@ -128,15 +128,18 @@ def vocabulary() -> list[str]:
     return sorted({w for _, _, w, _ in template_terms()})
 
 
-def telling(weights: list[tuple[int, str, float]]) -> list[str]:
-    """Words one of which a unit must hold to reach LEAST with any template. weights: (template, word, weight)."""
-    of: dict[int, list[tuple[float, str]]] = defaultdict(list)
-    for t, word, w in weights:
-        of[t].append((w, word))
+def telling(weights: list[tuple[int, str, float, float]]) -> list[str]:
+    """Words one of which a unit must hold to reach LEAST with any template. weights: (template, word, weight, idf).
+
+    What a template may do without is taken from its most frequent words, so that few units hold one of the others.
+    """
+    of: dict[int, list[tuple[float, str, float]]] = defaultdict(list)
+    for t, word, w, idf in weights:
+        of[t].append((idf, word, w))
     out = set()
     for words in of.values():
-        left = (LEAST - 1e-3) ** 2 * sum(w * w for w, _ in words)
-        for w, word in sorted(words):
+        left = (LEAST - 1e-3) ** 2 * sum(w * w for _, _, w in words)
+        for _, word, w in sorted(words):
             left -= w * w
             if left < 0:
                 out.add(word)
@@ -164,7 +167,7 @@ def scan(files: DataFrame) -> DataFrame:
     weights = materialize(terms.join(F.broadcast(idf), "word").select("t", "licence", "word", (F.col("tf") * F.col("idf")).alias("w"), "idf"), "licences-weights")
     norms = weights.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_t"))
     idfs = weights.select("word", "idf").distinct()
-    keys = strings(telling([(r["t"], r["word"], r["w"]) for r in weights.collect()]))
+    keys = strings(telling([(r["t"], r["word"], r["w"], r["idf"]) for r in weights.collect()]))
 
     may = rows.withColumn("words", words(F.col("body"))).filter(F.arrays_overlap("words", keys)).select("doc_id", "h", F.size("words").alias("n_words"), F.posexplode(units_of(F.col("body"))).alias("c", "unit"))
     may = may.withColumn("words", words(F.col("unit"))).filter(F.arrays_overlap("words", keys))
@@ -172,15 +175,14 @@ def scan(files: DataFrame) -> DataFrame:
     unit = ["doc_id", "h", "n_words", "c", "length"]
     # Words outside the templates are one row of a unit. Equal rows multiply all counts of their units alike.
     parts = each.withColumn("word", F.when(F.col("idf").isNotNull(), F.col("word"))).groupBy(*unit, "word", "idf").agg(F.count("*").alias("tf"))
-    parts = materialize(parts.withColumn("w_c", F.col("tf") * F.col("idf")), "licences-parts")
-    known = F.sum(F.col("w_c") * F.col("w_c"))
+    w_c = F.col("tf") * F.col("idf")
     others = F.sum(F.when(F.col("idf").isNull(), F.col("tf")).otherwise(0))
-    sizes = parts.groupBy(*unit).agg(F.sqrt(known + others * F.sum("tf") / F.col("length")).alias("norm_c"))
-    dots = parts.filter(F.col("idf").isNotNull()).drop("idf").join(F.broadcast(weights.drop("idf")), "word").groupBy(*unit, "t", "licence").agg(F.sum(F.col("w_c") * F.col("w")).alias("dot"))
-    same = F.lit(True)
-    for k in unit:
-        same = same & dots[k].eqNullSafe(sizes[k])
-    scored = dots.join(sizes, same).select(*[dots[k] for k in unit], "t", "licence", "dot", "norm_c").join(F.broadcast(norms), "t")
+    norm = F.sqrt(F.sum(w_c * w_c) + others * F.sum("tf") / F.col("length"))
+    # One row for each unit: what follows up to its best template needs no other exchange.
+    vectors = parts.groupBy(*unit).agg(norm.alias("norm_c"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("word", w_c.alias("w_c")))).alias("v"))
+    dots = vectors.select(*unit, "norm_c", F.explode("v").alias("v")).select(*unit, "norm_c", "v.*").join(F.broadcast(weights.drop("idf")), "word")
+    dots = dots.groupBy(*unit, "norm_c", "t", "licence").agg(F.sum(F.col("w_c") * F.col("w")).alias("dot"))
+    scored = dots.join(F.broadcast(norms), "t")
     scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm_c") * F.col("norm_t")), 4)).filter(F.col("score") >= LEAST)
     scored = scored.withColumn("weight", F.round(F.col("dot") / F.col("norm_t"), 4))
     named = scored.groupBy(*unit).agg(F.max_by(F.struct("licence", "score", "weight", "t"), F.struct("score", -F.col("t"))).alias("u")).select(*unit, "u.*")
