@@ -198,7 +198,7 @@ def shaped(df: DataFrame, spec: Coverage) -> DataFrame:
 
 def _touches(df: DataFrame, regions: DataFrame, spec: Coverage) -> DataFrame:
     """row_id of the records of which an aligned block overlaps a region of the strand that the mask asks for."""
-    blocks = df.select("row_id", "chrom", A.transcript_strand(F.col("flag"), spec.library if spec.library != "none" else "forward").alias("sign"), F.explode(A.blocks(F.col("pos"), F.col("cigar"))).alias("b")).select("row_id", "chrom", "sign", F.col("b.s").alias("start"), F.col("b.e").alias("end"))
+    blocks = df.dropDuplicates(["row_id"]).select("row_id", "chrom", A.transcript_strand(F.col("flag"), spec.library if spec.library != "none" else "forward").alias("sign"), F.explode(A.blocks(F.col("pos"), F.col("cigar"))).alias("b")).select("row_id", "chrom", "sign", F.col("b.s").alias("start"), F.col("b.e").alias("end"))
     found = I.overlap_join(blocks, regions.select("chrom", "start", "end", "strand"))
     if spec.mask_strand != "ignore":
         wanted = F.when((F.col("sign") == 1) == F.lit(spec.mask_strand == "sense"), "+").otherwise("-")
@@ -211,7 +211,8 @@ def units(alignments: DataFrame, chrom_sizes: DataFrame, spec: Coverage, blackli
     df = described(alignments, spec).join(F.broadcast(chrom_sizes.select("chrom", "length")), "chrom") if "length" not in alignments.columns else described(alignments, spec)
     touching = spec.mask_mode == "fragments" and (blacklist is not None or whitelist is not None)
     if touching:
-        df = df.withColumn("row_id", F.monotonically_increasing_id())
+        # What a record touches depends on its place, strand and blocks alone.
+        df = df.withColumn("row_id", F.struct("chrom", "pos", A.transcript_strand(F.col("flag"), spec.library if spec.library != "none" else "forward").alias("sign"), F.xxhash64("cigar").alias("cigar")))
         white = _touches(df, whitelist, spec).withColumn("w", F.lit(1)) if whitelist is not None else None
         black = _touches(df, blacklist, spec).withColumn("b", F.lit(2)) if blacklist is not None else None
         touch = F.lit(0)
@@ -317,17 +318,32 @@ def _runs(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_length(bins: DataFrame, chrom_sizes: DataFrame, strands: tuple[str, ...] = (".",), zeros: bool = True) -> DataFrame:
-    """Runs (chrom, strand, start, end, value) over whole chromosomes, zero runs included: tile by tile, then across tiles."""
+    """Runs (chrom, strand, start, end, value) over whole chromosomes, zero runs included.
+
+    Runs and the gaps between them are built within tiles; only the first and the last run of each tile, and a mark behind
+    each chromosome's last base, are put in order across tiles.
+    """
+    tile, lane = ["chrom", "strand", "tile"], ["chrom", "strand"]
     tiled = bins.filter("value <> 0").withColumn("tile", F.floor(F.col("start") / TILE_BASES))
-    runs = _runs(_runs(tiled.select("chrom", "strand", "tile", "start", "end", "value"), ["chrom", "strand", "tile"]).drop("tile"), ["chrom", "strand"])
+    runs = _runs(tiled.select(*tile, "start", "end", "value"), tile)
+    inside = Window.partitionBy(*tile)
+    runs = runs.withColumn("first", F.col("start") == F.min("start").over(inside)).withColumn("last", F.col("start") == F.max("start").over(inside))
+    runs = runs.withColumn("before", F.lag("end").over(inside.orderBy("start")))
+    zero = F.lit(0).cast("float")
+    run = lambda start, end, value: F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), value.alias("value"))
+    own = run(F.col("start"), F.col("end"), F.col("value"))
+    gap = F.when(F.col("before") < F.col("start"), run(F.col("before"), F.col("start"), zero))
+    inner = F.array(F.when(~F.col("first") & ~F.col("last"), own), *([gap] if zeros else []))
+    edges = runs.filter(F.col("first") | F.col("last")).select(*lane, "first", "start", "end", "value")
+    out = runs.select(*lane, F.explode(inner).alias("r")).filter("r is not null").select(*lane, "r.*")
+    out = out.unionByName(_runs(edges.drop("first"), lane))
     if not zeros:
-        return runs
+        return out
     whole = chrom_sizes.select("chrom", "length", F.explode(F.array(*[F.lit(s) for s in strands])).alias("strand"))
-    # A mark behind the last base closes each chromosome; the gap before each run is a zero run.
-    marks = runs.unionByName(whole.select("chrom", "strand", F.col("length").alias("start"), F.col("length").alias("end"), F.lit(0).cast("float").alias("value")))
-    before = F.coalesce(F.lag("end").over(Window.partitionBy("chrom", "strand").orderBy("start", "end")), F.lit(0))
-    gaps = marks.select("chrom", "strand", before.cast("bigint").alias("gap"), "start").filter("start > gap").select("chrom", "strand", F.col("gap").alias("start"), F.col("start").alias("end"), F.lit(0).cast("float").alias("value"))
-    return runs.unionByName(gaps)
+    marks = edges.unionByName(whole.select(*lane, F.lit(True).alias("first"), F.col("length").alias("start"), F.col("length").alias("end"), zero.alias("value")))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy(*lane).orderBy("start", "end")), F.lit(0))
+    gaps = marks.withColumn("gap", before.cast("bigint")).filter(F.col("first") & (F.col("start") > F.col("gap")))
+    return out.unionByName(gaps.select(*lane, F.col("gap").alias("start"), F.col("start").alias("end"), zero.alias("value")))
 
 
 def coverage(alignments: DataFrame, chrom_sizes: DataFrame, spec: Coverage, blacklist: DataFrame | None = None, whitelist: DataFrame | None = None) -> DataFrame:

@@ -9,23 +9,31 @@ from pyspark.sql import functions as F
 BUCKET = 4096
 
 
-def _bucketed(df: DataFrame, width: int) -> DataFrame:
-    first, last = F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)
-    return df.filter("end > start").withColumn("bucket", F.explode(F.sequence(first, last)))
+def _bucketed(df: DataFrame, width: int, keep: bool = False) -> DataFrame:
+    """A row for each bucket that an interval touches. keep: empty and null intervals stay, in no bucket."""
+    buckets = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))
+    if keep:
+        return df.withColumn("bucket", F.explode_outer(F.when(F.col("end") > F.col("start"), buckets)))
+    return df.filter("end > start").withColumn("bucket", F.explode(buckets))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str] | None = None, width: int = BUCKET) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str] | None = None, width: int = BUCKET, keep_left: bool = False) -> DataFrame:
     """Pairs of overlapping intervals, each once: an equi-join on keys and bucket, kept in the bucket of the overlap's start.
 
-    Both sides have start and end; the right side's come back as r_start and r_end, its other columns as r_<name>.
+    Both sides have start and end; the right side's come back as r_start and r_end, its other columns as r_<name>. With
+    keep_left, each bucket of a left interval also leaves rows without a partner (r_start is null), at least one.
     """
     keys = ["chrom"] if keys is None else keys
     named = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
     buckets = named.withColumnRenamed("r_start", "start").withColumnRenamed("r_end", "end")
     buckets = _bucketed(buckets, width).withColumnRenamed("start", "r_start").withColumnRenamed("end", "r_end")
-    joined = _bucketed(left, width).join(buckets, [*keys, "bucket"])
+    buckets = buckets.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "bucket")], *[c for c in buckets.columns if c.startswith("r_")])
     start = F.greatest("start", "r_start")
-    return joined.filter((start < F.least("end", "r_end")) & (F.floor(start / width) == F.col("bucket"))).drop("bucket")
+    hit = (start < F.least("end", "r_end")) & (F.floor(start / width) == F.col("bucket"))
+    for c in (*keys, "bucket"):
+        hit = (F.col(c) == F.col(f"_{c}")) & hit
+    joined = _bucketed(left, width, keep_left).join(buckets, hit, "left" if keep_left else "inner")
+    return joined.drop("bucket", *[f"_{c}" for c in (*keys, "bucket")])
 
 
 def semi_overlap(left: DataFrame, right: DataFrame, keys: list[str] | None = None, anti: bool = False, width: int = BUCKET) -> DataFrame:

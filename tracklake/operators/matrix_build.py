@@ -1,25 +1,33 @@
 """Region by signal matrices: zones of each region, an overlap join with the tracks, and a statistic for each bin.
 
 A region is planned into zones: runs of segments that are cut into a number of equal bins. Segments join the tracks by
-overlap; each overlap then finds its bins by integer arithmetic on its offset in the zone, so that rows are made for what
-is covered only. Bins of n in a zone of L bases cover [i L // n, max(that + 1, (i + 1) L // n)): short zones repeat bases.
+overlap, and all overlaps of a region meet in one row: that is the only grouping of a build. Arrow batches of such rows then
+find each overlap's bins by integer arithmetic on its offset in the zone, and reduce them. Bins of n in a zone of L bases
+cover [i L // n, max(that + 1, (i + 1) L // n)): short zones repeat bases.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
-from tracklake.functions.missing import finite, narrow
+from tracklake.functions.missing import finite
+from tracklake.functions import alignments as A
 from tracklake.operators import intervals as I
 from tracklake.shipping import ship_code
 
 ANCHORS = ("tss", "tes", "center")
 STATISTICS = ("mean", "median", "min", "max", "sum")
+#: Bins that a task reduces at once, about.
+CELLS = 2_000_000
+#: Bases of a join bucket: tracks have many short intervals, most of them shorter than a segment.
+BUCKET = 512
 SEGMENTS = "array<struct<zone:int,bins:int,size:bigint,first:int,at:bigint,s:bigint,e:bigint>>"
 
 
@@ -148,19 +156,90 @@ def planned(regions: DataFrame, layout: Layout) -> DataFrame:
     return given.mapInArrow(run, StructType([*given.schema.fields, kind]))
 
 
-def _div(a: Column, b: Column) -> Column:
-    """Integer division of non-negative integers."""
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
+def spread(first: np.ndarray, bins: np.ndarray, size: np.ndarray, o1: np.ndarray, o2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For zone offsets [o1, o2): (number of the given offset, bin, width of the overlap) for each bin that they touch."""
+    low = np.where(size >= bins, ((o1 + 1) * bins - 1) // size, (o1 * bins + size - 1) // size)
+    count = (o2 * bins - 1) // size - low + 1
+    of = np.repeat(np.arange(len(o1)), count)
+    i = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    n, total = bins[of], size[of]
+    begin = i * total // n
+    end = np.minimum(total, np.maximum(begin + 1, (i + 1) * total // n))
+    width = np.minimum(o2[of], end) - np.maximum(o1[of], begin)
+    some = width > 0
+    return of[some], (first[of] + i)[some], width[some]
+
+
+def medians(cell: np.ndarray, v: np.ndarray, width: np.ndarray, cells: int) -> np.ndarray:
+    """Median of each cell's values, each repeated `width` times; cells without values are 0."""
+    order = np.lexsort((v, cell))
+    cell, v, width = cell[order], v[order], width[order]
+    n = np.bincount(cell, weights=width, minlength=cells).astype(np.int64)
+    ends, before = np.cumsum(width), np.cumsum(n) - n
+    some = np.flatnonzero(n)
+    out = np.zeros(cells)
+    pick = lambda k: v[np.searchsorted(ends, before[some] + k, side="right")]
+    out[some] = (pick((n[some] - 1) // 2) + pick(n[some] // 2)) / 2
+    return out
 
 
-def _to_bins(rows: DataFrame) -> DataFrame:
-    """Rows with zone offsets [o1, o2) to one row for each bin that they touch, with the width of the overlap."""
-    o1, o2, size, n = (F.col(c).cast("bigint") for c in ("o1", "o2", "size", "bins"))
-    first = F.when(size >= n, _div((o1 + 1) * n - 1, size)).otherwise(_div(o1 * n + size - 1, size))
-    rows = rows.withColumn("i", F.explode(F.sequence(first, _div(o2 * n - 1, size))))
-    begin = _div(F.col("i") * size, n)
-    end = F.least(size, F.greatest(begin + 1, _div((F.col("i") + 1) * size, n)))
-    return rows.withColumn("width", F.least(o2, end) - F.greatest(o1, begin)).filter("width > 0").withColumn("bin", (F.col("first") + F.col("i")).cast("int"))
+def reduced(cell: np.ndarray, v: np.ndarray, width: np.ndarray, room: np.ndarray | None, cells: int, statistic: str) -> tuple[np.ndarray, np.ndarray]:
+    """(value, whether there is one) of each cell from the overlaps in it. room: bases of each cell, of which those without a value are 0."""
+    covered = np.bincount(cell, weights=width, minlength=cells)
+    bases_of = covered if room is None else room
+    there = bases_of > 0
+    if statistic in ("mean", "sum"):
+        total = np.bincount(cell, weights=v * width, minlength=cells)
+        return (total if statistic == "sum" else total / np.where(there, bases_of, 1)), there
+    if room is not None:
+        gap = room - covered
+        zero = np.flatnonzero(gap > 0)
+        cell, v, width = np.r_[cell, zero], np.r_[v, np.zeros(len(zero))], np.r_[width, gap[zero].astype(np.int64)]
+    if statistic == "median":
+        return medians(cell, v, width, cells), there
+    best = np.full(cells, np.inf if statistic == "min" else -np.inf)
+    (np.minimum if statistic == "min" else np.maximum).at(best, cell, v)
+    return np.where(there, best, 0.0), there
+
+
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    """Row numbers and fields of an array<struct> column."""
+    flat = pc.list_flatten(column)
+    return [pc.list_parent_indices(column).to_numpy(zero_copy_only=False), *(c.to_numpy(zero_copy_only=False) for c in flat.flatten())]
+
+
+def _matrix_rows(batch: pa.RecordBatch, bins: int, count: int, statistic: str, as_zero: bool) -> pa.RecordBatch:
+    """(row_id, group_id, ord, sample, bins) of gathered regions."""
+    rows = batch.num_rows
+    row, source, first, n, size, o1, o2, v = _unpacked(batch.column("hits"))
+    of, at, width = spread(first.astype(np.int64), n.astype(np.int64), size, o1, o2)
+    cell = (row[of].astype(np.int64) * count + source[of]) * bins + at
+    room = None
+    if as_zero:
+        row, first, n, size, o1, o2 = _unpacked(batch.column("room"))
+        whose, place, bases_there = spread(first.astype(np.int64), n.astype(np.int64), size, o1, o2)
+        own = np.bincount(row[whose].astype(np.int64) * bins + place, weights=bases_there, minlength=rows * bins).reshape(rows, 1, bins)
+        room = np.broadcast_to(own, (rows, count, bins)).ravel()
+    value, there = reduced(cell, v[of], width, room, rows * count * bins, statistic)
+    value, there = value.reshape(rows, count, bins), there.reshape(rows, count, bins)
+    row, sample, source, factor, parts = _unpacked(batch.column("wanted"))
+    pair, made = np.unique(row.astype(np.int64) << 32 | sample, return_inverse=True)
+    out, seen, asked = np.zeros((len(pair), bins)), np.zeros((len(pair), bins), np.int64), np.zeros(len(pair), np.int64)
+    np.add.at(out, made, np.where(there[row, source], value[row, source] * factor[:, None], 0.0))
+    np.add.at(seen, made, there[row, source])
+    np.maximum.at(asked, made, parts)
+    # Both strands of a summed sample have to be present.
+    there = seen == asked[:, None]
+    row, sample = pair >> 32, pair & 0xFFFFFFFF
+    minus = batch.column("minus").to_numpy(zero_copy_only=False)[row].astype(bool)
+    out[minus], there[minus] = out[minus][:, ::-1], there[minus][:, ::-1]
+    with np.errstate(over="ignore"):
+        small = out.astype(np.float32)
+    if (np.isinf(small) & there).any():
+        raise ValueError("a value exceeds the range of single precision")
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(pair) + 1) * bins, pa.int32()), pa.array(small.ravel(), mask=~there.ravel()))
+    taken = [batch.column(c).take(pa.array(row)) for c in ("row_id", "group_id", "ord")]
+    return pa.RecordBatch.from_arrays([*taken, pa.array(sample, pa.int32()), lists], ["row_id", "group_id", "ord", "sample", "bins"])
 
 
 def sources(regions: DataFrame, tracks: int, stranded: bool = False, antisense: bool = False, unstranded: str = "sum_strands", scale_plus: float = 1.0, scale_minus: float = 1.0, scale_antisense: float = 1.0) -> Column:
@@ -211,71 +290,34 @@ def build(regions: DataFrame, tracks: DataFrame, sizes: DataFrame, layout: Layou
         else:
             gaps = touched.groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct(F.col("r_start").cast("bigint").alias("s"), F.col("r_end").cast("bigint").alias("e")))).alias("gaps"))
             rows = rows.join(gaps, "row_id", "left")
-    else:
-        rows = rows.withColumn("gaps", F.lit(None).cast("array<struct<s:bigint,e:bigint>>"))
-    if "gaps" not in rows.columns:
-        rows = rows.withColumn("gaps", F.lit(None).cast("array<struct<s:bigint,e:bigint>>"))
-    segments = rows.select("row_id", "chrom", "wanted", "gaps", F.explode("segments").alias("g"))
-    left = F.when(F.col("gaps").isNull(), F.array(F.struct(F.col("g.s").alias("s"), F.col("g.e").alias("e")))).otherwise(I.subtracted_array(F.array(F.struct(F.col("g.s").alias("s"), F.col("g.e").alias("e"))), F.coalesce("gaps", F.array().cast("array<struct<s:bigint,e:bigint>>"))))
-    pieces = segments.select("row_id", "chrom", "wanted", F.col("g.bins").alias("bins"), F.col("g.size").alias("size"), F.col("g.first").alias("first"), (F.col("g.at") - F.col("g.s")).alias("shift"), F.explode(left).alias("p"))
-    pieces = pieces.select("row_id", "chrom", "wanted", "bins", "size", "first", "shift", F.col("p.s").alias("start"), F.col("p.e").alias("end"))
+    span = lambda g: F.array(F.struct(g["s"].alias("s"), g["e"].alias("e")))
+    seen = lambda g: span(g) if mask is None or hard_mask else F.when(F.col("gaps").isNull(), span(g)).otherwise(I.subtracted_array(span(g), F.coalesce("gaps", F.array().cast(A.BLOCK))))
+    piece = lambda g, p: F.struct(g["first"].alias("first"), g["bins"].alias("bins"), g["size"].alias("size"), (g["at"] - g["s"] + p["s"]).alias("o1"), (g["at"] - g["s"] + p["e"]).alias("o2"), p["s"].alias("s"))
+    rows = rows.withColumn("pieces", F.flatten(F.transform("segments", lambda g: F.transform(seen(g), lambda p: piece(g, p)))))
+    # Only bases without a value need all of a region's pieces.
+    room = F.transform("pieces", lambda p: p.dropFields("s")) if missing_as_zero else F.array().cast("array<struct<first:int,bins:int,size:bigint,o1:bigint,o2:bigint>>")
+    parts = rows.select("row_id", "group_id", "ord", "chrom", "minus", "wanted", room.alias("room"), F.explode_outer("pieces").alias("p"))
+    parts = parts.withColumn("start", F.col("p.s")).withColumn("end", F.col("p.s") + F.col("p.o2") - F.col("p.o1"))
     signal = tracks.select("source", "chrom", "start", "end", finite(F.col("value")).alias("value")).filter("value is not null")
-    inside = I.clip(signal, sizes)
-    hits = I.overlap_join(pieces, inside).withColumn("w", F.explode("wanted")).filter(F.col("w.source") == F.col("r_source"))
-    hits = hits.withColumn("o1", F.greatest("start", "r_start") + F.col("shift")).withColumn("o2", F.least("end", "r_end") + F.col("shift"))
-    cells = _to_bins(hits).select("row_id", F.col("w.sample").alias("sample"), F.col("w.source").alias("source"), "bin", F.col("r_value").alias("v"), "width")
-    # What every bin has: its bases that no mask hides.
-    room = _to_bins(pieces.withColumn("o1", F.col("start") + F.col("shift")).withColumn("o2", F.col("end") + F.col("shift"))).groupBy("row_id", "bin").agg(F.sum("width").alias("room"))
-    keys = ["row_id", "sample", "source", "bin"]
-    v, w = F.col("v"), F.col("width")
-    total, covered = F.sum(v * w).alias("total"), F.sum(w).alias("covered")
-    parts = cells.groupBy(*keys).agg(total, covered, F.min(v).alias("low"), F.max(v).alias("high"), *([F.sort_array(F.collect_list(F.struct("v", "width"))).alias("each")] if statistic == "median" else []))
-    if missing_as_zero:
-        asked = rows.select("row_id", F.explode("wanted").alias("w")).select("row_id", F.col("w.sample").alias("sample"), F.col("w.source").alias("source"))
-        parts = asked.join(room, "row_id").join(parts, keys, "left")
-        gap = F.col("room") - F.coalesce("covered", F.lit(0))
-        n = F.col("room")
-        low = F.when(gap > 0, F.least(F.lit(0.0), "low")).otherwise(F.col("low"))
-        high = F.when(gap > 0, F.greatest(F.lit(0.0), "high")).otherwise(F.col("high"))
-        summed = F.coalesce("total", F.lit(0.0))
-    else:
-        gap, n, low, high, summed = F.lit(0), F.col("covered"), F.col("low"), F.col("high"), F.col("total")
-    if statistic == "median":
-        pair = "array<struct<v:double,width:bigint>>"
-        each = F.coalesce(F.col("each").cast(pair), F.array().cast(pair))
-        each = F.when(gap > 0, F.sort_array(F.concat(each, F.array(F.struct(F.lit(0.0).alias("v"), gap.cast("bigint").alias("width"))).cast(pair)))).otherwise(each)
-        value = _weighted_median(each, n)
-    else:
-        value = {"mean": summed / n, "sum": summed, "min": low, "max": high}[statistic]
-    values = parts.select(*keys, value.alias("value"))
-    asked = rows.select("row_id", F.explode("wanted").alias("w")).select("row_id", F.col("w.sample").alias("sample"), F.col("w.source").alias("source"), F.col("w.factor").alias("factor"), F.col("w.parts").alias("parts"))
-    joined = values.join(asked, ["row_id", "sample", "source"]).withColumn("value", F.col("value") * F.col("factor"))
-    # Both strands of a summed sample have to be present.
-    joined = joined.groupBy("row_id", "sample", "bin").agg(F.when(F.count("value") == F.max("parts"), F.sum("value")).alias("value")).filter("value is not null")
+    joined = I.overlap_join(parts, I.clip(signal, sizes), width=BUCKET, keep_left=True)
+    shift = F.col("p.o1") - F.col("p.s")
+    hit = F.struct(
+        F.col("r_source").cast("int").alias("source"), F.col("p.first").alias("first"), F.col("p.bins").alias("bins"), F.col("p.size").alias("size"),
+        (F.greatest("start", "r_start") + shift).alias("o1"), (F.least("end", "r_end") + shift).alias("o2"), F.col("r_value").alias("v"),
+    )
+    once = ["group_id", "ord", "minus", "wanted", "room"]
+    gathered = joined.groupBy("row_id").agg(*[F.first(c).alias(c) for c in once], F.collect_list(F.when(F.col("r_start").isNotNull(), hit)).alias("hits"))
     width = layout.bins
-    out = joined.groupBy("row_id", "sample").agg(F.collect_list(F.struct("bin", "value")).alias("found"))
-    shapes = rows.select("row_id", "group_id", "ord", "minus", F.explode(F.array_distinct(F.transform("wanted", lambda w: w["sample"]))).alias("sample"))
-    placed = shapes.join(out, ["row_id", "sample"], "left")
-    none = F.array().cast("array<struct<bin:int,value:double>>")
-    filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.lit(None).cast("double"))
-    full = F.concat(F.coalesce("found", none), F.transform(filled, lambda _, i: F.struct(i.alias("bin"), F.lit(None).cast("double").alias("value"))))
-    # Each bin once: a value sorts after the missing one of its place.
-    ordered = F.sort_array(full)
-    kept = F.filter(ordered, lambda c, i: F.coalesce(F.get(ordered, i + 1)["bin"] != c["bin"], F.lit(True)))
-    bins = F.transform(kept, lambda c: narrow(c["value"]))
-    return placed.select("row_id", "group_id", "ord", "sample", F.when(F.col("minus"), F.reverse(bins)).otherwise(bins).alias("bins"))
-
-
-def _weighted_median(each: Column, n: Column) -> Column:
-    """Median of values repeated `width` times, from a sorted array of (v, width)."""
-
-    def nth(k: Column) -> Column:
-        state = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("v"))
-        found = F.aggregate(each, state, lambda a, x: F.struct((a["seen"] + x["width"]).cast("bigint").alias("seen"), F.when(a["v"].isNotNull(), a["v"]).when(a["seen"] + x["width"] > k, x["v"]).alias("v")))
-        return found["v"]
-
-    low, high = _div(F.greatest(n - 1, F.lit(0)), F.lit(2)), _div(n, F.lit(2))
-    return F.when(n > 0, (nth(low) + nth(high)) / 2)
+    step = max(1, CELLS // max(1, width * count))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                yield _matrix_rows(batch.slice(at, step), width, count, statistic, missing_as_zero)
+
+    ship_code(gathered.sparkSession)
+    fields = [f for f in gathered.schema.fields if f.name in ("row_id", "group_id", "ord")]
+    return gathered.mapInArrow(run, StructType([*fields, StructField("sample", IntegerType()), StructField("bins", ArrayType(FloatType()))]))
 
 
 def with_antisense_groups(regions: DataFrame) -> DataFrame:

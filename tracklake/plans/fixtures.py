@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklake.sources.tables import read_table
+
 CHROMS, LENGTH = 5, 99_990
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = read_table
 
 
 def sizes(spark: SparkSession) -> DataFrame:
