@@ -150,6 +150,26 @@ def test_blocks_and_flags(spark):
         A.flag_mask("^DUP")
 
 
+@pytest.mark.parametrize("aggregation", ["count", "sum", "mean"])
+@pytest.mark.parametrize("unit", ["read", "fragment"])
+def test_fine_bins_by_changes(world, unit, aggregation, monkeypatch):
+    """Totals from changes of a running total are those of painting, for bins of any size and over many tiles; so are the runs."""
+    df, sizes, made = world
+    monkeypatch.setattr(C, "TILE_BASES", 64)
+    for size in (1, 7, 24):
+        spec = C.Coverage(bin_size=size, count_unit=unit, min_mapq=LEAST, aggregation=aggregation)
+        want = np.zeros(-(-LENGTH // size))
+        for bases, weight in painted(made, unit, "plain"):
+            for k in {b // size for b in bases} if aggregation == "count" else (b // size for b in bases):
+                want[k] += weight
+        if aggregation == "mean":
+            want /= [min(size, LENGTH - k * size) for k in range(len(want))]
+        runs = C.coverage(df, sizes, spec).orderBy("start").collect()
+        got = np.concatenate([np.full(r.end - r.start, r.value) for r in runs])
+        assert runs[0].start == 0 and all(a.end == b.start and a.value != b.value for a, b in zip(runs, runs[1:]))
+        np.testing.assert_allclose(got, np.repeat(want, size)[:LENGTH], rtol=1e-6)
+
+
 def test_masks(world, spark):
     df, sizes, made = world
     masked = set(range(700, 760)) | set(range(2100, 2110))

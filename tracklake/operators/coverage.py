@@ -17,6 +17,11 @@ from tracklake.functions.missing import narrow
 from tracklake.operators import intervals as I
 
 MODELS = ("plain", "extend", "5prime", "3prime", "center")
+#: Bases of a tile: totals and runs are built within tiles first, so that no task orders a whole chromosome's bins.
+TILE_BASES = 1 << 22
+#: Bins below this size are totalled by changes.
+FINE = 25
+CHANGES = "array<struct<bin:bigint,own:bigint,change:bigint>>"
 
 
 @dataclass(frozen=True)
@@ -192,8 +197,10 @@ def shaped(df: DataFrame, spec: Coverage) -> DataFrame:
     lane = F.when(A.transcript_strand(flag, spec.library) == 1, 0).otherwise(1) if lanes else F.lit(0)
     # The partner of a placed pair is counted through its placer.
     kept = df.filter(F.col("eligible") & ~(F.col("partner") & matched))
-    out = kept.select("chrom", "length", lane.alias("lane"), F.filter(iv, lambda b: b["e"] > b["s"]).alias("iv"), weight.cast("long").alias("weight"))
-    return out.filter(F.size("iv") > 0)
+    unit = F.struct(lane.alias("lane"), F.filter(iv, lambda b: b["e"] > b["s"]).alias("iv"), weight.cast("long").alias("weight"))
+    # A generator, not a filter: the optimizer would copy the walk over the blocks into filters below.
+    one = F.explode(F.filter(F.array(unit), lambda u: F.size(u["iv"]) > 0)).alias("u")
+    return kept.select("chrom", "length", one).select("chrom", "length", "u.*")
 
 
 def _touches(df: DataFrame, regions: DataFrame, spec: Coverage) -> DataFrame:
@@ -235,10 +242,18 @@ def units(alignments: DataFrame, chrom_sizes: DataFrame, spec: Coverage, blackli
 
 
 def bin_totals(counted: DataFrame, spec: Coverage) -> DataFrame:
-    """Sum of covered bases, or of units, of each touched bin (chrom, length, lane, bin, total). Totals are integers: exact in any order."""
-    w = spec.bin_size
+    """Sum of covered bases, or of units, of each touched bin (chrom, length, lane, bin, total). Totals are integers: exact in any order.
+
+    Coarse bins have a row for each bin that a unit touches. For fine ones, a run of whole bins is two changes of a running
+    total, and bins are made only where the total isn't 0; so depth doesn't multiply rows.
+    """
     iv = F.transform("iv", lambda b: F.struct(F.greatest(b["s"], F.lit(0)).cast("bigint").alias("s"), F.least(b["e"], F.col("length")).cast("bigint").alias("e")))
-    df = counted.withColumn("iv", F.filter(iv, lambda b: b["e"] > b["s"])).filter(F.size("iv") > 0)
+    df = counted.withColumn("iv", F.filter(iv, lambda b: b["e"] > b["s"]))
+    return _changes(df, spec) if spec.bin_size < FINE else _touched(df, spec)
+
+
+def _touched(df: DataFrame, spec: Coverage) -> DataFrame:
+    w = spec.bin_size
     spread = lambda b: F.sequence(F.floor(b["s"] / w), F.floor((b["e"] - 1) / w))
     if spec.aggregation == "count":
         bins = df.select("chrom", "length", "lane", "weight", F.explode(F.array_distinct(F.flatten(F.transform("iv", spread)))).alias("bin"))
@@ -249,6 +264,46 @@ def bin_totals(counted: DataFrame, spec: Coverage) -> DataFrame:
     return bins.groupBy("chrom", "length", "lane", "bin").agg(total.cast("long").alias("total"))
 
 
+def _changes(df: DataFrame, spec: Coverage) -> DataFrame:
+    w, per_tile = spec.bin_size, max(1, TILE_BASES // spec.bin_size)
+    floor = lambda x, by: F.floor(x / by).cast("bigint")
+    one = lambda at, own, change: F.struct(at.cast("bigint").alias("bin"), own.cast("bigint").alias("own"), change.cast("bigint").alias("change"))
+    none, weight = F.lit(0), F.col("weight")
+
+    def whole(first: Column, end: Column, each: Column) -> Column:
+        """Changes of a run of bins [first, end) by `each`. The running total begins anew in each tile."""
+
+        def part(t: Column) -> Column:
+            return F.array(one(F.greatest(first, t * per_tile), none, each), one(F.least(end, (t + 1) * per_tile), none, -each))
+
+        cut = F.flatten(F.transform(F.sequence(floor(first, per_tile), floor(end - 1, per_tile)), part))
+        # A run that reaches a tile's end has no change there: the next tile knows nothing of it.
+        return F.when(end > first, F.filter(cut, lambda c: (c["change"] > 0) | (c["bin"] % per_tile != 0))).otherwise(F.array().cast(CHANGES))
+
+    if spec.aggregation == "count":
+        runs = I.merged_array(F.transform("iv", lambda b: F.struct(floor(b["s"], w).alias("s"), (floor(b["e"] - 1, w) + 1).alias("e"))))
+        changes = F.flatten(F.transform(runs, lambda r: whole(r["s"], r["e"], weight)))
+    else:
+
+        def of_block(b: Column) -> Column:
+            first, last = floor(b["s"], w), floor(b["e"] - 1, w)
+            head, tail = F.least(b["e"], (first + 1) * w) - b["s"], b["e"] - last * w
+            edges = F.when(first == last, F.array(one(first, head * weight, none))).otherwise(F.array(one(first, head * weight, none), one(last, tail * weight, none)))
+            return F.concat(edges.cast(CHANGES), whole(first + 1, last, weight * w))
+
+        changes = F.flatten(F.transform("iv", of_block))
+    lane = ["chrom", "length", "lane"]
+    events = df.select(*lane, F.explode(changes).alias("c")).groupBy(*lane, "c.bin").agg(F.sum("c.own").alias("own"), F.sum("c.change").alias("change"))
+    order = Window.partitionBy(*lane, "tile").orderBy("bin")
+    events = events.withColumn("tile", floor(F.col("bin"), per_tile)).withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    after = F.coalesce(F.lead("bin").over(order), (F.col("tile") + 1) * per_tile)
+    events = events.withColumn("after", after)
+    bins = F.when(F.col("run") != 0, F.sequence("bin", F.col("after") - 1)).otherwise(F.array("bin"))
+    out = events.select(*lane, "own", "run", F.col("bin").alias("at"), F.explode(bins).alias("bin"))
+    total = F.col("run") + F.when(F.col("bin") == F.col("at"), F.col("own")).otherwise(0)
+    return out.select(*lane, "bin", total.cast("long").alias("total")).filter("total <> 0")
+
+
 def _mask_bins(regions: DataFrame, spec: Coverage) -> DataFrame:
     """(chrom, lane, bin) that a list touches."""
     w = spec.bin_size
@@ -305,10 +360,6 @@ def binned(alignments: DataFrame, chrom_sizes: DataFrame, spec: Coverage, blackl
     return bins.select("chrom", strand.alias("strand"), "bin", "start", "end", "length", narrow(value).alias("value"))
 
 
-#: Bins of a tile: runs are built within tiles first, so that no task orders a whole chromosome's bins.
-TILE_BASES = 1 << 22
-
-
 def _runs(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adjacent intervals of equal value become one."""
     w = Window.partitionBy(*keys).orderBy("start")
