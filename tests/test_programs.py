@@ -47,6 +47,30 @@ def test_files_to_matrix(spark, tmp_path):
         programs.transform(m, [("sqrt",)])
 
 
+def test_track_formats(spark, tmp_path):
+    """The format comes from the option or the name, and the file is in it, under its staged name too."""
+    named = {"o.bw": ("bigwig", False), "o.bg": ("bedgraph", False), "o.bedGraph": ("bedgraph", False), "o.bg.gz": ("bedgraph", True), "o.part": ("bigwig", False), "o.gz": ("bigwig", False)}
+    assert {n: programs.track_format(n) for n in named} == named and programs.track_format("o.txt", "bedgraph") == ("bedgraph", False)
+    with pytest.raises(ValueError):
+        programs.track_format("o.bw", "wig")
+    (tmp_path / "a.sam").write_text("@SQ\tSN:c\tLN:100\n" + "".join(f"r{i}\t0\tc\t{i * 9 + 1}\t60\t10M\t*\t0\t0\t*\t*\n" for i in range(9)))
+    spec = C.Coverage(bin_size=10, aggregation="count")
+    want = None
+    for name, given in (("o.bw", None), ("o.bg", None), ("o.bedGraph", None), ("o.bg.gz", None), ("plain.txt", "bedgraph")):
+        out = str(tmp_path / name)
+        programs.coverage(spark, str(tmp_path / "a.sam"), out, spec, format=given)
+        bedgraph = (given or programs.track_format(name)[0]) == "bedgraph"
+        rows = text.read_bedgraph(spark, out, 0) if bedgraph else bigwig.read_bigwig(spark, out)
+        found = sorted((r.chrom, r.start, r.end, r.value) for r in rows.filter("value <> 0").collect())
+        want = want or found
+        assert found == want and len(found) > 1
+        if not bedgraph:
+            with open(out, "rb") as f:
+                assert f.read(4) == bytes.fromhex("26fc8f88")
+    programs.coverage(spark, str(tmp_path / "a.sam"), str(tmp_path / "s.bg.gz"), C.Coverage(bin_size=10, library="forward", strand="split"))
+    assert (tmp_path / "s.plus.bg.gz").exists() and (tmp_path / "s.minus.bg.gz").exists()
+
+
 def test_outputs_roll_back(tmp_path):
     (tmp_path / "a").write_text("old")
     with pytest.raises(RuntimeError), programs.published(str(tmp_path / "a"), str(tmp_path / "b")) as (a, _):

@@ -1,5 +1,5 @@
 """Programs over files: coverage, tracks, matrices. Options are checked before any file is opened; outputs are written to
-a staging folder and renamed, all of them or none."""
+a staging folder and renamed, all of them or none. Outputs are paths of a file system that the driver can rename in."""
 
 from __future__ import annotations
 
@@ -82,26 +82,39 @@ def read_regions(spark: SparkSession, path: str, **options) -> DataFrame:
     return text.read_gtf(spark, path, **options) if text.is_gtf(spark, path) else text.read_bed(spark, path)
 
 
-def write_track(track: DataFrame, sizes: DataFrame, path: str) -> None:
-    if path.rstrip(".part").endswith((".bedgraph", ".bg", ".gz")) or ".bedgraph" in path:
-        text.write_bedgraph(track, sizes, path, ".gz" in path)
+FORMATS = ("bigwig", "bedgraph")
+
+
+def track_format(path: str, named: str | None = None) -> tuple[str, bool]:
+    """(format, compressed) of an output: the format asked for, or the one that the file's name says; bigWig is the rule."""
+    if named is not None and named not in FORMATS:
+        raise ValueError(f"a track's format is one of {', '.join(FORMATS)}")
+    plain = path.lower().removesuffix(".gz")
+    known = named or ("bedgraph" if plain.endswith((".bedgraph", ".bdg", ".bg")) else "bigwig")
+    return known, known == "bedgraph" and path.lower().endswith(".gz")
+
+
+def write_track(track: DataFrame, sizes: DataFrame, path: str, format: tuple[str, bool]) -> None:
+    if format[0] == "bedgraph":
+        text.write_bedgraph(track, sizes, path, format[1])
     else:
         bigwig.write_bigwig(track, sizes, path)
 
 
-def coverage(spark: SparkSession, source: str, output: str, spec: C.Coverage | None = None, blacklist: str | None = None, whitelist: str | None = None, probes: str | None = None) -> str:
+def coverage(spark: SparkSession, source: str, output: str, spec: C.Coverage | None = None, blacklist: str | None = None, whitelist: str | None = None, probes: str | None = None, format: str | None = None) -> str:
     """Alignments to a track file; with split strands, to two files with .plus and .minus. Returns the library's strandedness."""
-    spec = spec or C.Coverage()
+    spec, kind = spec or C.Coverage(), track_format(output, format)
     reads, sizes = read_alignments(spark, source)
     if probes:
         spec = replace(spec, library=C.strandedness(reads, text.probes(text.read_mask(spark, probes))).first()["library"])
     lists = {name: text.read_mask(spark, path) for name, path in (("blacklist", blacklist), ("whitelist", whitelist)) if path}
     track = C.coverage(reads, sizes, spec, **lists)
-    stem, ext = os.path.splitext(output)
+    stem, ext = os.path.splitext(output.removesuffix(".gz"))
+    ext += ".gz" if output.endswith(".gz") else ""
     outputs = [f"{stem}.plus{ext}", f"{stem}.minus{ext}"] if spec.strand == "split" else [output]
     with published(*outputs, inputs=(source,)) as staged:
         for part, strand in zip(staged, "+-" if spec.strand == "split" else "."):
-            write_track(track.filter(F.col("strand") == strand), sizes, part)
+            write_track(track.filter(F.col("strand") == strand), sizes, part, kind)
     return spec.library
 
 
@@ -115,7 +128,7 @@ def track_info(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def track_scale(spark: SparkSession, source: str, output: str, factor: float) -> None:
     with published(output, inputs=(source,)) as (part,):
-        write_track(T.scale(read_track(spark, source), factor), bigwig.chrom_sizes(spark, source), part)
+        write_track(T.scale(read_track(spark, source), factor), bigwig.chrom_sizes(spark, source), part, track_format(output))
 
 
 def track_merge(spark: SparkSession, sources: list[str], output: str, bin_size: int, how: str = "sum", factor: float = 1.0) -> None:
@@ -125,7 +138,7 @@ def track_merge(spark: SparkSession, sources: list[str], output: str, bin_size:
         rows, sizes = (part, own) if rows is None else (rows.unionByName(part), sizes.unionByName(own))
     order = T.merged_sizes(sizes).withColumn("ord", F.monotonically_increasing_id())
     with published(output, inputs=tuple(sources)) as (part,):
-        write_track(C._runs(T.merge(rows, order, bin_size, how, len(sources), factor).withColumn("strand", F.lit(".")).select("chrom", "strand", "start", "end", "value"), ["chrom", "strand"]), order, part)
+        write_track(C._runs(T.merge(rows, order, bin_size, how, len(sources), factor).withColumn("strand", F.lit(".")).select("chrom", "strand", "start", "end", "value"), ["chrom", "strand"]), order, part, track_format(output))
 
 
 @dataclass(frozen=True)
