@@ -78,6 +78,17 @@ def test_matrix_round_trip(spark, tmp_path):
         S.check_header(header | {"upstream": [1000]})
 
 
+def test_gtf_groups(spark, tmp_path):
+    """Regions are grouped by an attribute in order of its first occurrence; rows without it have the default group."""
+    kinds = ["lnc", "coding", None, "lnc", "pseudo", "coding"]
+    lines = [f'c\tx\ttranscript\t{10 * i + 1}\t{10 * i + 9}\t.\t+\t.\ttranscript_id "t{i}";' + (f' kind "{k}";' if k else "") for i, k in enumerate(kinds)]
+    path = write(tmp_path, "a.gtf", "#!x\n" + "\n".join(lines) + "\n")
+    got = {r.name: (r.group, r.group_id) for r in S.read_gtf(spark, path, group="rest", group_attribute="kind").collect()}
+    order = ["lnc", "coding", "rest", "pseudo"]
+    assert got == {f"t{i}": (k or "rest", order.index(k or "rest")) for i, k in enumerate(kinds)}
+    assert {(r.group, r.group_id) for r in S.read_gtf(spark, path).collect()} == {("genes", 0)}
+
+
 def judged(row, statistic, nan_mode, action, low, high, gated, inclusive):
     """One row's samples after a filter, or None where it goes: the policy in plain words."""
     outside = lambda v: v <= low or v >= high if inclusive else v < low or v > high

@@ -110,20 +110,29 @@ def _attribute(column: str, key: str) -> Column:
     return F.regexp_extract(column, rf'(?:^|;)\s*{key}\s+"?([^";]*)"?', 1)
 
 
-def read_gtf(spark: SparkSession, path: str, transcript: str = "transcript", exon: str = "exon", designator: str = "transcript_id", keep_exons: bool = False, group: str = "genes") -> DataFrame:
-    """Transcripts of a GTF file as regions; with keep_exons, their exons as blocks. Of repeated ids the first stays. Starts count from 1 there."""
+def read_gtf(spark: SparkSession, path: str, transcript: str = "transcript", exon: str = "exon", designator: str = "transcript_id", keep_exons: bool = False, group: str = "genes", group_attribute: str | None = None) -> DataFrame:
+    """Transcripts of a GTF file as regions; with keep_exons, their exons as blocks. Of repeated ids the first stays. Starts count from 1 there.
+
+    group_attribute groups them by an attribute, in the order in which its values first occur; group names those without it.
+    """
     rows = numbered_lines(spark, path).filter(~F.col("line").startswith("#")).withColumn("f", F.split("line", "\t")).filter(F.size("f") >= 9)
     f = F.col("f")
     rows = rows.select("ord", f[0].alias("chrom"), f[2].alias("feature"), (f[3].cast("long") - 1).alias("start"), f[4].cast("long").alias("end"), f[5].alias("score_text"), f[6].alias("strand"), f[8].alias("attributes")).filter("end > start")
     rows = rows.withColumn("name", _attribute("attributes", designator)).filter("name <> ''")
-    heads = rows.filter(F.col("feature") == transcript).groupBy("name").agg(F.min_by(F.struct("ord", "chrom", "start", "end", "strand", "score_text"), "ord").alias("h")).select("name", "h.*")
+    rows = rows.withColumn("group", F.lit(group) if group_attribute is None else F.coalesce(F.nullif(F.trim(_attribute("attributes", group_attribute)), F.lit("")), F.lit(group)))
+    heads = rows.filter(F.col("feature") == transcript).groupBy("name").agg(F.min_by(F.struct("ord", "chrom", "start", "end", "strand", "score_text", "group"), "ord").alias("h")).select("name", "h.*")
     whole = F.array(F.struct("start", "end")).cast(BLOCKS)
     if keep_exons:
         exons = rows.filter(F.col("feature") == exon).groupBy("name").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).cast(BLOCKS).alias("exons"))
         heads = heads.join(exons, "name", "left")
         whole = F.coalesce("exons", whole)
     strand = F.when(F.col("strand").isin("+", "-"), F.col("strand")).otherwise(".")
-    return heads.select(F.col("ord").alias("row_id"), "ord", "chrom", whole.alias("blocks"), "name", F.lit(group).alias("group"), strand.alias("strand"), _score(F.col("score_text")).alias("score"), F.lit(0).alias("group_id"))
+    if group_attribute is None:
+        heads = heads.withColumn("group_id", F.lit(0))
+    else:  # as many rows as there are groups
+        groups = heads.groupBy("group").agg(F.min("ord").alias("_first"))
+        heads = heads.join(groups.select("group", (F.row_number().over(Window.orderBy("_first")) - 1).alias("group_id")), "group")
+    return heads.select(F.col("ord").alias("row_id"), "ord", "chrom", whole.alias("blocks"), "name", "group", strand.alias("strand"), _score(F.col("score_text")).alias("score"), "group_id")
 
 
 def is_gtf(spark: SparkSession, path: str) -> bool:
