@@ -11,8 +11,8 @@ from .common import materialize
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, root) of every vertex of edges (a, b) that isn't itself the smallest of its component.
 
-    Alternates large and small stars until nothing changes. Minima are pre-aggregated before each shuffle, and the joins
-    that hand them back are plain equi-joins, which adaptive execution splits where a vertex has very many edges.
+    Alternates large and small stars until nothing changes. Minima are pre-aggregated before each shuffle and written, so that
+    the joins that hand them back read two tables: adaptive execution splits them where a vertex has very many edges.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = materialize(pairs, f"{name}-0")
@@ -23,9 +23,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return pairs.select(F.col("u").alias("id"), F.col("v").alias("root"))
         seen, step = state, step + 1
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least{step}")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, f"{name}-large{step}")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-lower{step}")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         pairs = materialize(small, f"{name}-{step}")
 

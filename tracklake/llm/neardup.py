@@ -30,6 +30,8 @@ from .graphs import block_pairs, components
 
 HASHES, BANDS, BITS = 128, 32, 4
 BLOCK = 2048
+#: Shingles of a set that counts as one member when a group is dealt into blocks.
+LONG = 4096
 #: Below the threshold by five standard deviations of the estimate, a pair isn't compared exactly.
 MARGIN = 0.2
 #: Up to so many ids are broadcast (about 50 MB as a hash table); more are joined by a shuffle.
@@ -161,11 +163,12 @@ def verified_links(members: DataFrame, threshold: float, cutoff: float) -> DataF
         ids = rows["class_id"].tolist()
         sets = [np.frombuffer(s, np.uint64) for s in rows["values"]]
         forest, out = Forest(len(ids)), []
-        parts = list(alike(as_words(rows["signature"].tolist()), rows["own"].to_numpy(), i, j, cutoff))
-        if parts:
-            xs, ys, found = (np.concatenate(c) for c in zip(*parts))
-            order = np.argsort(-found, kind="stable")
-            for x, y in zip(xs[order].tolist(), ys[order].tolist()):
+        # A chunk's pairs at a time, most alike first; pairs that are connected already aren't looked at.
+        for xs, ys, found in alike(as_words(rows["signature"].tolist()), rows["own"].to_numpy(), i, j, cutoff):
+            roots = np.array([forest.root(x) for x in range(len(ids))])
+            apart = np.flatnonzero(roots[xs] != roots[ys])
+            for k in apart[np.argsort(-found[apart], kind="stable")].tolist():
+                x, y = int(xs[k]), int(ys[k])
                 if forest.root(x) == forest.root(y):
                     continue
                 a, b = sets[x], sets[y]
@@ -189,8 +192,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, size: int = 5, blo
     signed = materialize(signatures(docs, size), "neardup-signed")
     linked = signed.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(linked.groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "neardup-classes")
-    reps = linked.select(F.col("doc_id").alias("class_id"), "set_key", "bands", "signature").join(classes, ["class_id", "set_key"])
-    reps = materialize(reps.select("class_id", "bands", "signature"), "neardup-reps")
+    reps = linked.select(F.col("doc_id").alias("class_id"), "set_key", "bands", "signature", "n_shingles").join(classes, ["class_id", "set_key"])
+    reps = materialize(reps.select("class_id", "bands", "signature", "n_shingles"), "neardup-reps")
     banded = reps.select("class_id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     banded = materialize(banded.join(shared, "bucket"), "neardup-buckets")
@@ -207,8 +210,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, size: int = 5, blo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles.shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["class_id", "values"])
 
     values = mapped(docs.join(wanted, "doc_id", "left_semi"), sets, "class_id long, values binary", "shingles")
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "grp").join(reps.select("class_id", "signature"), "class_id").join(values, "class_id")
+    # Long sets make a group larger, so that a block's sets are at most about BLOCK * LONG shingles.
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / LONG)).cast("long")
+    sizes = groups.join(reps.select("class_id", "n_shingles"), "class_id").groupBy("grp").agg(weight.alias("n"))
+    members = groups.join(materialize(sizes, "neardup-sizes"), "grp").join(reps.select("class_id", "signature"), "class_id").join(values, "class_id")
     exact = components(verified_links(block_pairs(members, ["grp"], F.col("class_id"), "n", block), threshold, cutoff), "neardup-exact")
     of_class = classes.join(exact.select(F.col("id").alias("class_id"), "root"), "class_id", "left").select("set_key", F.coalesce("root", "class_id").alias("_component"))
     out = signed.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
