@@ -59,6 +59,17 @@ def test_suffixes(documents):
     assert sorted(got, key=key) == sorted(brute_spans(rows), key=key)
 
 
+@pytest.mark.parametrize("hot, block, ranges", [(0, 2000, 2), (3, 5000, 3), (40, 1 << 22, 4096)])
+def test_suffixes_of_hot_anchors_in_many_buckets(documents, monkeypatch, hot, block, ranges):
+    """Phrases with many surroundings go by windows, small ranges are cut by hash, many small blocks: the same spans."""
+    for name, value in (("HOT", hot), ("BLOCK_BYTES", block), ("RANGES", ranges), ("SUFFIX_BUCKET_BYTES", 20_000), ("HASH_BUCKET_BYTES", 20_000), ("CHUNK", 64)):
+        monkeypatch.setattr(suffixes, name, value)
+    phrase = prose(50, 8)
+    rows = [*corpus(), *((100 + i, f"{prose(300 + i % 30, 6)} {phrase} {prose(400 + i % 20, 6)}") for i in range(80)), (500, "z" * 3000), (501, "z" * 700)]
+    got = [tuple(r) for r in suffixes.repeated_spans(documents(rows)).collect()]
+    assert sorted(got, key=key) == sorted(brute_spans(rows), key=key)
+
+
 def test_suffixes_keep_columns_and_whole_characters(documents):
     rows = [(1, "é" * 40 + prose(9, 30)), (2, "ü" + "é" * 40 + "ü"), (3, None)]
     df = documents(rows)

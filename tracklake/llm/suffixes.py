@@ -5,19 +5,25 @@ in each window of SPAN bytes the GRAM bytes of least hash are its anchor. Equal
 places, so it is enough to sort the suffixes that begin at anchors, with the bytes before them that their windows reach.
 
 1. Documents are written as blocks of about BLOCK_BYTES; each block sends the hashes of its anchors, and learns which
-   ones occur in another document (a prefilter: a false answer costs work, not correctness).
+   ones occur in another document (a prefilter: a false answer costs work, not correctness) and which are hot.
 2. For those, each block sends each distinct anchored suffix once, with its least document: copies and hot passages are
-   pre-aggregated here. Splitters sampled from the anchors range-partition the suffixes by their leading bytes.
+   pre-aggregated here. Splitters sampled from the anchors range-partition the suffixes by their leading bytes, into RANGES
+   ranges at most; of a larger corpus, each range is cut further by a hash of the anchor.
 3. A bucket sorts its suffixes by multikey quicksort on 8-byte words. Equal neighbours give the least document of whole
    suffixes; where suffixes of one anchor differ, their windows are sorted in the same way. Splitters are whole anchors,
    so suffixes of one anchor never lie on both sides of a boundary, and each block's own runs are compared with those of
    all other blocks in one place.
 4. Each block gets back the least documents and marks the covered bytes.
 
-Blocks are read three times, from a table bucketed by block, so that texts are never shuffled.
+An anchor that more than HOT places hold, such as a phrase with very many surroundings, would put all of these in one
+bucket. Its windows are sent instead, each distinct one once, to buckets by a hash of all their bytes.
+
+Blocks are read three times, from a table bucketed by block, so that texts are never shuffled. A block writes rows for the
+buckets in which it has something; a task knows RANGES splitters and nothing that grows with the corpus.
 
 Edge cases: null and empty texts have no bytes; texts shorter than SPAN lose nothing and no match crosses documents;
-equal ids are the same document to each other; rows of a null doc_id are no source and lose nothing; repeated rows stay.
+equal ids are the same document to each other; rows of a null doc_id are no source and lose nothing; repeated rows stay;
+a text of one repeated byte has as many runs as bytes, of which each distinct one is kept.
 """
 
 from __future__ import annotations
@@ -41,8 +47,12 @@ BLOCK_BYTES = 4 << 20
 #: Text bytes for each bucket of hashes and of suffixes.
 HASH_BUCKET_BYTES = 8 << 20
 SUFFIX_BUCKET_BYTES = 8 << 20
-#: Blocks sampled for the splitters, and anchors of each, at most.
-SAMPLE_BLOCKS, SAMPLE_ANCHORS = 64, 1024
+#: Blocks sampled for the splitters, and anchors of each, at most; ranges that the splitters make, at most.
+SAMPLE_BLOCKS, SAMPLE_ANCHORS, RANGES = 64, 1024, 4096
+#: Places of an anchor, counted up to 255 for each block, from which on it is hot.
+HOT = 32_768
+#: Rows that are made before equal ones become one.
+CHUNK = 1 << 16
 NOBODY = np.iinfo(np.int64).max
 
 M1, M2, M3, M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -128,53 +138,103 @@ class Block:
         self.hash = gram_hashes(self.text, self.anchor) if len(self.anchor) else np.zeros(0, np.uint64)
 
     def distinct(self, buckets: int):
-        """Distinct hashes in order, whether two documents of the block have each, bounds of the buckets, and each run's hash."""
-        kinds, inverse = np.unique(self.hash, return_inverse=True)
+        """Distinct hashes in order, whether two documents of the block have each, their places up to 255, buckets, and each run's hash."""
+        kinds, inverse, count = np.unique(self.hash, return_inverse=True, return_counts=True)
         who = self.ids[self.doc]
         low, high = np.full(len(kinds), NOBODY), np.full(len(kinds), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, who)
         np.maximum.at(high, inverse, who)
-        bucket = (kinds >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
-        return kinds, low != high, np.searchsorted(bucket, np.arange(buckets + 1)), inverse
+        bucket = ((kinds >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        return kinds, low != high, np.minimum(count, 255).astype(np.uint8), bucket, inverse
 
-    def suffixes(self, shared: np.ndarray, splitters: np.ndarray):
-        """Distinct anchored suffixes of the runs that are marked as shared.
+    def suffixes(self, runs: np.ndarray, ranges: Ranges):
+        """Distinct anchored suffixes of some runs.
 
-        Returns the runs, each run's suffix number, and for each suffix its aligned bytes, least document and bucket.
-        The aligned bytes are: anchor and what follows (50), what comes before (26), bytes before, windows, two zeros.
+        Returns each run's suffix number, and for each suffix its aligned bytes, least document and bucket. The aligned bytes
+        are: anchor and what follows (50), what comes before (26), bytes before, windows, two zeros.
         """
-        runs = np.flatnonzero(shared)
-        n = len(runs)
-        rows = np.zeros((n, 80), np.uint8)
         first, last, anchor = self.first[runs], self.last[runs], self.anchor[runs]
         before, after = anchor - first, last + SPAN - anchor
         text, size = self.text, len(self.text)
-        column = np.arange(SPAN)
-        for s in range(0, n, 1 << 14):
-            e = min(s + (1 << 14), n)
-            rows[s:e, :SPAN] = np.where(column < after[s:e, None], text[np.minimum(anchor[s:e, None] + column, size - 1)], 0)
-            back = np.arange(REACH) - REACH
-            rows[s:e, SPAN : SPAN + REACH] = np.where(-back <= before[s:e, None], text[np.maximum(anchor[s:e, None] + back, 0)], 0)
-        rows[:, 76], rows[:, 77] = before, last - first + 1
-        kinds, inverse = grouped_rows(rows)
-        who = np.full(len(kinds), NOBODY)
+        column, back = np.arange(SPAN), np.arange(REACH) - REACH
+
+        def made(s: int, e: int) -> np.ndarray:
+            rows = np.zeros((e - s, 80), np.uint8)
+            rows[:, :SPAN] = np.where(column < after[s:e, None], text[np.minimum(anchor[s:e, None] + column, size - 1)], 0)
+            rows[:, SPAN : SPAN + REACH] = np.where(-back <= before[s:e, None], text[np.maximum(anchor[s:e, None] + back, 0)], 0)
+            rows[:, 76], rows[:, 77] = before[s:e], (last - first)[s:e] + 1
+            return rows
+
+        inverse, aligned, kinds = distinct_rows(made, len(runs), 80)
+        who = np.full(len(aligned), NOBODY)
         np.minimum.at(who, inverse, self.ids[self.doc[runs]])
-        aligned = rows[kinds]
         grams = np.ascontiguousarray(aligned[:, :GRAM]).view(f"S{GRAM}").ravel() if len(aligned) else np.zeros(0, f"S{GRAM}")
-        bucket = np.searchsorted(splitters, grams, side="right") if len(splitters) else np.zeros(len(grams), np.int64)
-        return runs, inverse, aligned, who, bucket
+        return inverse, aligned, who, ranges.buckets(grams, self.hash[runs[kinds]])
+
+    def windows(self, runs: np.ndarray, ranges: Ranges):
+        """Distinct windows of some runs: start and run of each window, its number, and for each number its bytes, least document and bucket (negative)."""
+        n = (self.last - self.first)[runs] + 1
+        of = np.repeat(np.arange(len(runs)), n)
+        start = self.first[runs][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        column = np.arange(SPAN)
 
+        def made(s: int, e: int) -> np.ndarray:
+            rows = np.zeros((e - s, 56), np.uint8)
+            rows[:, :SPAN] = self.text[start[s:e, None] + column]
+            return rows
 
-def grouped_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of distinct rows, and each row's distinct row: by a hash of the row, with all equal hashes confirmed."""
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        inverse, rows, _ = distinct_rows(made, len(start), 56)
+        who = np.full(len(rows), NOBODY)
+        np.minimum.at(who, inverse, self.ids[self.doc[runs[of]]])
+        return start, runs[of], inverse, rows, who, -1 - (row_hashes(rows) >> np.uint64(8)).astype(np.int64) % ranges.total
+
+
+class Ranges:
+    """Buckets of suffixes: ranges of anchors between splitters, each cut into parts by the anchor's hash."""
+
+    def __init__(self, splitters: np.ndarray, wanted: int):
+        self.splitters, self.parts = splitters, max(1, -(-wanted // (len(splitters) + 1)))
+        self.total = (len(splitters) + 1) * self.parts
+
+    def buckets(self, grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.splitters, grams, side="right") if len(self.splitters) else np.zeros(len(grams), np.int64)
+        return at * self.parts + (hashes % np.uint64(self.parts)).astype(np.int64)
+
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
     words = rows.view(np.uint64)
     h = np.zeros(len(rows), np.uint64)
     for k in range(words.shape[1]):
         h = (h ^ words[:, k]) * M1
         h ^= h >> np.uint64(32)
-    _, kinds, inverse = np.unique(h, return_index=True, return_inverse=True)
+    return h
+
+
+def distinct_rows(made, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each row, distinct rows, a row with each number); made(s, e) gives rows s to e. Chunks lose their repeats first."""
+    inverse, kept, firsts, total = np.zeros(n, np.int64), [], [], 0
+    for s in range(0, n, CHUNK):
+        rows = made(s, min(s + CHUNK, n))
+        kinds, own = grouped_rows(rows)
+        inverse[s : s + len(rows)] = own + total
+        total += len(kinds)
+        kept.append(rows[kinds])
+        firsts.append(kinds + s)
+    if not kept:
+        return inverse, np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
+    rows, first = np.concatenate(kept), np.concatenate(firsts)
+    if len(kept) > 1:
+        kinds, own = grouped_rows(rows)
+        inverse, rows, first = own[inverse], rows[kinds], first[kinds]
+    return inverse, rows, first
+
+
+def grouped_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of distinct rows, and each row's distinct row: by a hash of the row, with all equal hashes confirmed."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = rows.view(np.uint64)
+    _, kinds, inverse = np.unique(row_hashes(rows), return_index=True, return_inverse=True)
     if not (words == words[kinds[inverse]]).all():
         order, group = multikey_sort(words)
         kinds = order[np.r_[True, group[1:] != group[:-1]]]
@@ -256,6 +316,16 @@ def least_documents(rows: np.ndarray, who: np.ndarray):
     return least[kind], several[of[smaller]], number[smaller], found[smaller], kind
 
 
+def least_of_equal(rows: np.ndarray, who: np.ndarray):
+    """For windows: the least document of equal ones, in the form of least_documents."""
+    order, group = multikey_sort(big_endian(rows))
+    least = np.full(int(group[-1]) + 1, NOBODY)
+    np.minimum.at(least, group, who[order])
+    out, none = np.empty(len(rows), np.int64), np.zeros(0, np.int64)
+    out[order] = least[group]
+    return out, none, none, none
+
+
 def write_blocks(docs: DataFrame, rest: bool) -> tuple[DataFrame, int]:
     """Table of blocks in the shared folder, bucketed by block, and its number of text bytes."""
     names = docs.columns
@@ -311,23 +381,27 @@ def rows_of(batches):
             yield [c[i].as_py() for c in batch.columns]
 
 
+def by_bucket(bucket: np.ndarray) -> list[np.ndarray]:
+    """Positions of each bucket that occurs, in order of the buckets."""
+    if not len(bucket):
+        return []
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+
+
 def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, marks): bits for each block's distinct hashes."""
+    """(block, bucket, marks): two bits for each of a block's distinct hashes, whether another document has it and whether it is hot."""
 
     def send(batches):
         for number, *parts in rows_of(batches):
-            kinds, several, bounds, _ = Block(*parts).distinct(buckets)
-            out = []
-            for k in range(buckets):
-                a, b = bounds[k], bounds[k + 1]
-                if a < b:
-                    # Six bytes of each hash: the others would rarely change the answer, and only for the better.
-                    six = kinds[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    out.append((k, number, six.tobytes(), np.packbits(several[a:b]).tobytes()))
+            kinds, several, count, bucket, _ = Block(*parts).distinct(buckets)
+            # Six bytes of each hash: the others would rarely change the answer, and only for the better.
+            six = kinds.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            out = [(int(bucket[p[0]]), number, six[p].tobytes(), np.packbits(several[p]).tobytes(), count[p].tobytes()) for p in by_bucket(bucket)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "hashes", "several"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "block", "hashes", "several", "places"])
 
-    sent = mapped(blocks.select("block", "ids", "ends", "body"), send, "bucket int, block long, hashes binary, several binary")
+    sent = mapped(blocks.select("block", "ids", "ends", "body"), send, "bucket long, block long, hashes binary, several binary, places binary")
 
     def mark(rows: pa.Table) -> pa.Table:
         claim("")
@@ -338,20 +412,23 @@ def shared_anchors(blocks: DataFrame, buckets: int) -> DataFrame:
         del hashes
         value = value.view(">u8").ravel()
         several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=n).astype(bool) for s, n in zip(rows.column("several").to_pylist(), sizes)])
+        places = np.frombuffer(b"".join(rows.column("places").to_pylist()), np.uint8)
         order = np.argsort(value, kind="stable")
-        value = value[order]
-        same = value[1:] == value[:-1]
-        again = np.r_[False, same] | np.r_[same, False]
-        marks = several.copy()
-        marks[order[again]] = True
-        parts = np.split(marks, np.cumsum(sizes)[:-1])
-        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "marks": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
+        head = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1]])
+        there = np.diff(np.r_[head, len(order)])
+        total = np.add.reduceat(places[order].astype(np.int64), head)
+        marks, hot = several.copy(), np.zeros(len(order), bool)
+        marks[order[np.repeat(there > 1, there)]] = True
+        hot[order[np.repeat(total > HOT, there)]] = True
+        cuts = np.cumsum(sizes)[:-1]
+        packed = [np.packbits(m).tobytes() + np.packbits(h).tobytes() for m, h in zip(np.split(marks, cuts), np.split(hot, cuts))]
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "marks": pa.array(packed, pa.binary())})
 
-    return materialize(sent.groupBy("bucket").applyInArrow(mark, "block long, bucket int, marks binary"), "suffix-marks")
+    return materialize(sent.groupBy("bucket").applyInArrow(mark, "block long, bucket long, marks binary"), "suffix-marks")
 
 
-def splitters_of(blocks: DataFrame, count: int) -> np.ndarray:
-    """Anchors that cut those of some blocks, a bounded sample, into `count` even ranges."""
+def ranges_of(blocks: DataFrame, wanted: int) -> Ranges:
+    """Buckets between anchors that cut those of some blocks, a bounded sample, into even ranges."""
 
     def sample(batches):
         for ids, ends, body in rows_of(batches):
@@ -361,11 +438,10 @@ def splitters_of(blocks: DataFrame, count: int) -> np.ndarray:
 
     few = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).collect()]
     rows = mapped(blocks.filter(F.col("block").isin(few)).select("ids", "ends", "body"), sample, "sample binary").collect()
-    grams = np.frombuffer(b"".join(r["sample"] for r in rows), f"S{GRAM}")
-    if count < 2 or not len(grams):
-        return np.zeros(0, f"S{GRAM}")
-    grams = np.sort(grams)
-    return np.unique(grams[[len(grams) * i // count for i in range(1, count)]])
+    grams = np.sort(np.frombuffer(b"".join(r["sample"] for r in rows), f"S{GRAM}"))
+    count = min(wanted, RANGES)
+    splitters = np.unique(grams[[len(grams) * i // count for i in range(1, count)]]) if count > 1 and len(grams) else np.zeros(0, f"S{GRAM}")
+    return Ranges(splitters, wanted)
 
 
 def with_lists(blocks: DataFrame, parts: DataFrame, value: str, name: str) -> DataFrame:
@@ -374,35 +450,40 @@ def with_lists(blocks: DataFrame, parts: DataFrame, value: str, name: str) -> Da
     return blocks.join(lists.hint("shuffle_hash"), "block", "left")
 
 
-def marked_runs(block: Block, marks: list | None, buckets: int) -> np.ndarray:
-    kinds, _, bounds, inverse = block.distinct(buckets)
-    shared = np.zeros(len(kinds), bool)
+def marked_runs(block: Block, marks: list | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs that other documents may share: those of plain anchors, and those of hot ones."""
+    kinds, _, _, bucket, inverse = block.distinct(buckets)
+    shared, hot = np.zeros(len(kinds), bool), np.zeros(len(kinds), bool)
     for m in marks or []:
-        a, b = bounds[m["bucket"]], bounds[m["bucket"] + 1]
-        shared[a:b] = np.unpackbits(np.frombuffer(m["marks"], np.uint8), count=b - a).astype(bool)
-    return shared[inverse] if len(kinds) else np.zeros(0, bool)
+        a, b = np.searchsorted(bucket, [m["bucket"], m["bucket"] + 1])
+        bits = np.frombuffer(m["marks"], np.uint8).reshape(2, -1)
+        shared[a:b], hot[a:b] = (np.unpackbits(x, count=b - a).astype(bool) for x in bits)
+    if not len(kinds):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.flatnonzero((shared & ~hot)[inverse]), np.flatnonzero((shared & hot)[inverse])
 
 
-def compared(blocks: DataFrame, marks: DataFrame, buckets: int, splitters: np.ndarray) -> DataFrame:
-    """(block, bucket, found): for each block's suffixes of a bucket, documents smaller than the block's own."""
+def compared(blocks: DataFrame, marks: DataFrame, buckets: int, ranges: Ranges) -> DataFrame:
+    """(block, bucket, found): for each block's suffixes or windows of a bucket, documents smaller than the block's own."""
 
     def send(batches):
         for number, ids, ends, body, mark in rows_of(batches):
             block = Block(ids, ends, body)
-            _, _, rows, who, bucket = block.suffixes(marked_runs(block, mark, buckets), splitters)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else []
-            out = [(int(bucket[part[0]]), number, squeeze(rows[part].tobytes()), squeeze(who[part].tobytes())) for part in np.split(order, cuts[1:])] if len(order) else []
+            plain, hot = marked_runs(block, mark, buckets)
+            out = []
+            for rows, who, bucket in (block.suffixes(plain, ranges)[1:], block.windows(hot, ranges)[3:]):
+                out += [(int(bucket[p[0]]), number, squeeze(rows[p].tobytes()), squeeze(who[p].tobytes())) for p in by_bucket(bucket)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "rows", "who"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "rows", "who"])
 
     def sort_bucket(parts: pa.Table) -> pa.Table:
         claim("")
         parts = parts.sort_by("block")
-        rows = np.frombuffer(b"".join(unsqueeze(r.as_py()) for r in parts.column("rows")), np.uint8).reshape(-1, 80)
+        whole = parts.column("bucket")[0].as_py() < 0  # windows
+        rows = np.frombuffer(b"".join(unsqueeze(r.as_py()) for r in parts.column("rows")), np.uint8).reshape(-1, 56 if whole else 80)
         each = [np.frombuffer(unsqueeze(w.as_py()), np.int64) for w in parts.column("who")]
         who = np.concatenate(each)
-        least, head, window, smaller, *kind = least_documents(rows, who)
+        least, head, window, smaller, *kind = least_of_equal(rows, who) if whole else least_documents(rows, who)
         out, at = [], 0
         if len(head):
             # Exceptions by kind of suffix.
@@ -421,27 +502,38 @@ def compared(blocks: DataFrame, marks: DataFrame, buckets: int, splitters: np.nd
             if len(hit) or found[2]:
                 out.append((number, bucket, squeeze(np.array([len(hit), len(found[2]) // 4], "<i8").tobytes() + b"".join(found))))
             at = end
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "found"])
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["block", "bucket", "found"])
 
-    sent = mapped(with_lists(blocks, marks, "marks", "marks").select("block", "ids", "ends", "body", "marks"), send, "bucket int, block long, rows binary, who binary")
-    return materialize(sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, bucket int, found binary"), "suffix-found")
+    sent = mapped(with_lists(blocks, marks, "marks", "marks").select("block", "ids", "ends", "body", "marks"), send, "bucket long, block long, rows binary, who binary")
+    return materialize(sent.groupBy("bucket").applyInArrow(sort_bucket, "block long, bucket long, found binary"), "suffix-found")
 
 
-def covered(block: Block, marks: list | None, found: list | None, buckets: int, splitters: np.ndarray) -> np.ndarray:
+def covered(block: Block, marks: list | None, found: list | None, buckets: int, ranges: Ranges) -> np.ndarray:
     """Which bytes of the block's text go."""
     change = np.zeros(len(block.text) + 1, np.int32)
-    runs, inverse, rows, who, bucket = block.suffixes(marked_runs(block, marks, buckets), splitters)
-    if len(runs):
+    plain, hot = marked_runs(block, marks, buckets)
+    parts = [(p["bucket"], unsqueeze(p["found"])) for p in found or []]
+
+    def places(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+    def cover(start: np.ndarray, end: np.ndarray) -> None:
+        np.add.at(change, start, 1)
+        np.add.at(change, end, -1)
+
+    if len(plain):
+        inverse, rows, who, bucket = block.suffixes(plain, ranges)
         least = who.copy()
         members = np.argsort(inverse, kind="stable")
         begin = np.searchsorted(inverse[members], np.arange(len(rows) + 1))
-        doc = block.ids[block.doc[runs]]
-        by_bucket = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[by_bucket], np.arange(len(splitters) + 2))
-        for part in found or []:
-            data = unsqueeze(part["found"])
+        doc = block.ids[block.doc[plain]]
+        order, ordered = places(bucket)
+        for number_of, data in parts:
+            if number_of < 0:
+                continue
+            mine = order[slice(*np.searchsorted(ordered, [number_of, number_of + 1]))]
             hits, more = np.frombuffer(data, "<i8", 2)
-            mine = by_bucket[bounds[part["bucket"]] : bounds[part["bucket"] + 1]]
             at = 16
             number = np.frombuffer(data, "<u4", hits, at)
             least[mine[number]] = np.frombuffer(data, np.int64, hits, at + 4 * hits)
@@ -454,12 +546,21 @@ def covered(block: Block, marks: list | None, found: list | None, buckets: int,
                 of = np.repeat(np.arange(more), n)
                 run = members[np.repeat(begin[number], n) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)]
                 keep = doc[run] > smaller[of]
-                start = block.first[runs[run[keep]]] + window[of[keep]]
-                np.add.at(change, start, 1)
-                np.add.at(change, start + SPAN, -1)
-        gone = runs[doc > least[inverse]]
-        np.add.at(change, block.first[gone], 1)
-        np.add.at(change, block.last[gone] + SPAN, -1)
+                start = block.first[plain[run[keep]]] + window[of[keep]]
+                cover(start, start + SPAN)
+        gone = plain[doc > least[inverse]]
+        cover(block.first[gone], block.last[gone] + SPAN)
+    if len(hot):
+        start, run, inverse, _, who, bucket = block.windows(hot, ranges)
+        least = who.copy()
+        order, ordered = places(bucket)
+        for number_of, data in parts:
+            if number_of < 0:
+                mine = order[slice(*np.searchsorted(ordered, [number_of, number_of + 1]))]
+                hits = int(np.frombuffer(data, "<i8", 1)[0])
+                least[mine[np.frombuffer(data, "<u4", hits, 16)]] = np.frombuffer(data, np.int64, hits, 16 + 4 * hits)
+        gone = start[block.ids[block.doc[run]] > least[inverse]]
+        cover(gone, gone + SPAN)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -469,19 +570,19 @@ def _prepare(docs: DataFrame, rest: bool):
     blocks, n_bytes = write_blocks(docs, rest)
     buckets = max(4, -(-n_bytes // HASH_BUCKET_BYTES))
     marks = shared_anchors(blocks, buckets)
-    splitters = splitters_of(blocks, max(4, -(-n_bytes // SUFFIX_BUCKET_BYTES)))
-    found = compared(blocks, marks, buckets, splitters)
-    return with_lists(with_lists(blocks, marks, "marks", "marks"), found, "found", "found"), buckets, splitters
+    ranges = ranges_of(blocks, max(4, -(-n_bytes // SUFFIX_BUCKET_BYTES)))
+    found = compared(blocks, marks, buckets, ranges)
+    return with_lists(with_lists(blocks, marks, "marks", "marks"), found, "found", "found"), buckets, ranges
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    joined, buckets, splitters = _prepare(docs.select("doc_id", "text"), False)
+    joined, buckets, ranges = _prepare(docs.select("doc_id", "text"), False)
 
     def run(batches):
         for ids, ends, body, marks, found in rows_of(batches):
             block = Block(ids, ends, body)
-            gone = covered(block, marks, found, buckets, splitters)
+            gone = covered(block, marks, found, buckets, ranges)
             out = []
             for d, a, b in zip(block.ids.tolist(), block.starts[:-1].tolist(), block.starts[1:].tolist()):
                 g = gone[a:b]
@@ -500,12 +601,12 @@ def without_repeats(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     With drop_emptied, rows whose text had bytes and has none left go; those that came in empty stay.
     """
     schema, names = docs.withColumn("doc_id", F.col("doc_id").cast("long")).schema, docs.columns
-    joined, buckets, splitters = _prepare(docs, True)
+    joined, buckets, ranges = _prepare(docs, True)
 
     def run(batches):
         for ids, ends, body, rest, marks, found in rows_of(batches):
             block = Block(ids, ends, body)
-            gone = covered(block, marks, found, buckets, splitters)
+            gone = covered(block, marks, found, buckets, ranges)
             table = pa.ipc.open_stream(unsqueeze(rest)).read_all().combine_chunks()
             texts = [block.text[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist())]
             at = names.index("text")
