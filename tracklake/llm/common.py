@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.shipping import ship_code
+from tracklake.sources.tables import read_table as read_table
 
 #: What a Python worker keeps between tasks, by operator: functions that empty it.
 _HELD: dict[str, Callable[[], None]] = {}
@@ -59,10 +60,6 @@ def claim(owner: str, empty: Callable[[], None] | None = None) -> None:
         _HELD[owner] = empty
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

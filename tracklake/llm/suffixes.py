@@ -46,7 +46,7 @@ REACH = SPAN - GRAM  # bytes of a window before or after its anchor, at most
 BLOCK_BYTES = 4 << 20
 #: Text bytes for each bucket of hashes and of suffixes.
 HASH_BUCKET_BYTES = 8 << 20
-SUFFIX_BUCKET_BYTES = 8 << 20
+SUFFIX_BUCKET_BYTES = 4 << 20
 #: Blocks sampled for the splitters, and anchors of each, at most; ranges that the splitters make, at most.
 SAMPLE_BLOCKS, SAMPLE_ANCHORS, RANGES = 64, 1024, 4096
 #: Places of an anchor, counted up to 255 for each block, from which on it is hot.
