@@ -9,7 +9,7 @@
    already are skipped. The verified links' components are the result.
 
 With similarity s a pair shares a bucket with probability 1 - (1 - s**4)**32: all but 5 in a million at s = 0.75, fewer
-above. Buckets and groups above BLOCK members are dealt into pairs of blocks.
+above. Buckets above BLOCK members and groups above GROUP are dealt into pairs of blocks.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; rows of a null doc_id are linked with
 nothing, have no component and aren't kept; rows that share a doc_id are one document; other columns are not read.
@@ -30,6 +30,8 @@ from .graphs import block_pairs, components
 
 HASHES, BANDS, BITS = 128, 32, 4
 BLOCK = 2048
+#: Members of a group that is confirmed by one task; larger groups are dealt into pairs of blocks.
+GROUP = 512
 #: Shingles of a set that counts as one member when a group is dealt into blocks.
 LONG = 4096
 #: Below the threshold by five standard deviations of the estimate, a pair isn't compared exactly.
@@ -210,11 +212,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, size: int = 5, blo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles.shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["class_id", "values"])
 
     values = mapped(docs.join(wanted, "doc_id", "left_semi"), sets, "class_id long, values binary", "shingles")
-    # Long sets make a group larger, so that a block's sets are at most about BLOCK * LONG shingles.
+    # Long sets make a group larger, so that a block's sets are at most about GROUP * LONG shingles.
     weight = F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / LONG)).cast("long")
     sizes = groups.join(reps.select("class_id", "n_shingles"), "class_id").groupBy("grp").agg(weight.alias("n"))
     members = groups.join(materialize(sizes, "neardup-sizes"), "grp").join(reps.select("class_id", "signature"), "class_id").join(values, "class_id")
-    exact = components(verified_links(block_pairs(members, ["grp"], F.col("class_id"), "n", block), threshold, cutoff), "neardup-exact")
+    exact = components(verified_links(block_pairs(members, ["grp"], F.col("class_id"), "n", min(block, GROUP)), threshold, cutoff), "neardup-exact")
     of_class = classes.join(exact.select(F.col("id").alias("class_id"), "root"), "class_id", "left").select("set_key", F.coalesce("root", "class_id").alias("_component"))
     out = signed.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
