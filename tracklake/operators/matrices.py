@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions.missing import aggregate_value, finite, let, narrow, present, reduce_array, total
+from tracklake.operators.quantiles import exact_quantiles
 
 FILTER_STATISTICS = ("perBin", "mean", "median", "sum", "min", "max")
 NAN_MODES = ("keep", "any_bin", "any_sample", "all_bins")
@@ -365,7 +366,9 @@ def data_range(matrix: DataFrame) -> DataFrame:
     """min, max, median, p10 and p90 of the present bins of each sample."""
     v = F.col("v").cast("double")
     rows = matrix.select("sample", F.explode("bins").alias("v")).filter(v.isNotNull())
-    return rows.groupBy("sample").agg(F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90"))
+    ends = rows.groupBy("sample").agg(F.min(v).alias("min"), F.max(v).alias("max"))
+    inner = exact_quantiles(rows, ["sample"], [0.5, 0.1, 0.9]).select("sample", F.col("q0").alias("median"), F.col("q1").alias("p10"), F.col("q2").alias("p90"))
+    return ends.join(inner, "sample")
 
 
 def row_sums(bins: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions.missing import aggregate_value
+from tracklake.operators.quantiles import exact_quantiles
 from tracklake.shipping import ship_code
 
 BANDS = ("none", "std", "se", "ci")
@@ -138,11 +139,13 @@ def bootstrap(matrix: DataFrame, statistic: str = "mean", resamples: int = 300,
 
 def colour_limits(matrix: DataFrame, scope: str = "sample", low: float = 0.01, high: float = 0.99 - 0.01) -> DataFrame:
     """Percentiles of the present bins that bound a heat map's colours, for the whole matrix, each sample or each group."""
-    keys = {"all": [], "sample": ["sample"], "group": ["group_id"], "panel": ["group_id", "sample"]}[scope]
-    rows = long_form(matrix).filter("v is not null")
-    found = rows.groupBy(*keys).agg(F.percentile("v", low).alias("zmin"), F.percentile("v", high).alias("zmax"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+    keys = {"all": ["all"], "sample": ["sample"], "group": ["group_id"], "panel": ["group_id", "sample"]}[scope]
+    rows = long_form(matrix).filter("v is not null").withColumn("all", F.lit(0))
+    inner = exact_quantiles(rows, keys, [low, high]).select(*keys, F.col("q0").alias("zmin"), F.col("q1").alias("zmax"))
+    ends = rows.groupBy(*keys).agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+    found = ends.join(F.broadcast(inner), keys)  # a row for each panel
     flat = F.col("zmin") == F.col("zmax")
-    return found.select(*keys, F.when(flat, F.col("vmin")).otherwise(F.col("zmin")).alias("zmin"), F.when(flat, F.col("vmax")).otherwise(F.col("zmax")).alias("zmax"))
+    return found.select(*[k for k in keys if k != "all"], F.when(flat, F.col("vmin")).otherwise(F.col("zmin")).alias("zmin"), F.when(flat, F.col("vmax")).otherwise(F.col("zmax")).alias("zmax"))
 
 
 def y_limits(profiles: DataFrame, by: list[str]) -> DataFrame:
@@ -160,4 +163,6 @@ def bin_down(matrix: DataFrame, factor: int) -> DataFrame:
 def cell_quantile(matrix: DataFrame, q: float, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Quantile of all present bins of each sample: exact, or from a mergeable sketch."""
     rows = long_form(matrix).filter("v is not null")
-    return rows.groupBy("sample").agg((F.percentile("v", q) if exact else F.percentile_approx("v", q, accuracy)).alias("value"))
+    if exact:
+        return exact_quantiles(rows, ["sample"], [q]).withColumnRenamed("q0", "value")
+    return rows.groupBy("sample").agg(F.percentile_approx("v", q, accuracy).alias("value"))
