@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Width of a join bucket in bases: an interval is sent to each bucket that it touches.
 BUCKET = 4096
+#: Bases of a tile: intervals are put in order within tiles, so that no task orders a whole chromosome's.
+TILE = 1 << 20
 
 
 def _bucketed(df: DataFrame, width: int, keep: bool = False) -> DataFrame:
@@ -43,28 +45,47 @@ def semi_overlap(left: DataFrame, right: DataFrame, keys: list[str] | None = Non
     return left.join(hit, "row_id", "left_anti" if anti else "left_semi")
 
 
-def merge(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Union of overlapping or adjacent intervals within keys."""
-    keys = ["chrom"] if keys is None else keys
+def _tiled(df: DataFrame) -> DataFrame:
+    """Intervals cut at the ends of tiles, with their tile."""
+    first, last = F.floor(F.col("start") / TILE), F.floor((F.col("end") - 1) / TILE)
+    cut = df.filter("end > start").withColumn("tile", F.explode(F.sequence(first, last)))
+    return cut.withColumn("start", F.greatest("start", F.col("tile") * TILE)).withColumn("end", F.least("end", (F.col("tile") + 1) * TILE))
+
+
+def _merged(df: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = df.filter("end > start").withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = df.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
+def _stitched(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of tiles as whole ones: only those that reach an end of their tile are put in order across tiles."""
+    edge = (F.pmod("start", F.lit(TILE)) == 0) | (F.pmod("end", F.lit(TILE)) == 0)
+    whole = runs.select(*keys, "start", "end")
+    return whole.filter(~edge).unionByName(_merged(whole.filter(edge), keys))
+
+
+def merge(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Union of overlapping or adjacent intervals within keys, tile by tile."""
+    keys = ["chrom"] if keys is None else keys
+    return _stitched(_merged(_tiled(df.select(*keys, "start", "end")), [*keys, "tile"]), keys)
+
+
 def _sweep(sets: list[DataFrame], keys: list[str], keep: Column) -> DataFrame:
     """Segments between the boundaries of several sets, where `keep` holds of the depths d0, d1, ..."""
-    events = None
+    events, lane = None, [*keys, "tile"]
     for i, df in enumerate(sets):
-        one = df.filter("end > start").select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("by")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("by")))).alias("e"))
-        one = one.select(*keys, "e.at", *[(F.col("e.by") if i == j else F.lit(0)).alias(f"b{j}") for j in range(len(sets))])
+        # Cut at the ends of tiles, intervals begin and end in each tile: depths start from 0 there.
+        one = _tiled(df.select(*keys, "start", "end")).select(*lane, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("by")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("by")))).alias("e"))
+        one = one.select(*lane, "e.at", *[(F.col("e.by") if i == j else F.lit(0)).alias(f"b{j}") for j in range(len(sets))])
         events = one if events is None else events.unionByName(one)
     depths = [f"b{j}" for j in range(len(sets))]
-    changes = events.groupBy(*keys, "at").agg(*[F.sum(b).alias(b) for b in depths])
-    w = Window.partitionBy(*keys).orderBy("at")
+    changes = events.groupBy(*lane, "at").agg(*[F.sum(b).alias(b) for b in depths])
+    w = Window.partitionBy(*lane).orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    swept = changes.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), *[F.sum(b).over(run).alias(f"d{j}") for j, b in enumerate(depths)])
-    return merge(swept.filter(F.col("end").isNotNull() & keep).select(*keys, "start", "end"), keys)
+    swept = changes.select(*lane, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), *[F.sum(b).over(run).alias(f"d{j}") for j, b in enumerate(depths)])
+    return _stitched(_merged(swept.filter(F.col("end").isNotNull() & keep).select(*lane, "start", "end"), lane), keys)
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
