@@ -235,16 +235,17 @@ def chromosome_aliases(spark, sf):
 # --- matrix build -------------------------------------------------------------------------------------------------------
 
 
-def built_sql(zones: str, statistic: str, total: int, as_zero: bool = False, masked: bool = False) -> str:
-    """Base by base: zones gives (row_id, chrom, minus, first, n, o, size, p) for each base of each zone."""
+def built_sql(zones: str, statistic: str, total: int, as_zero: bool = False, masked: bool = False, raw: bool = False) -> str:
+    """Base by base: zones gives (row_id, chrom, minus, first, n, o, size, p) for each base of each zone. raw: values as they are."""
     value = "CASE WHEN hidden THEN NULL ELSE coalesce(t.value, 0) END" if as_zero else "CASE WHEN hidden THEN NULL ELSE t.value END"
     hidden = "EXISTS (SELECT 1 FROM mask m WHERE m.chrom = b.chrom AND b.p >= m.s AND b.p < m.e)" if masked else "false"
     reduce = {"mean": "avg(v)", "sum": "sum(v)", "max": "max(v)", "min": "min(v)", "median": "quantile_cont(v, 0.5)"}[statistic]
+    shown = reduce if raw else f"round(CAST(CAST({reduce} AS FLOAT) AS DOUBLE), 4)"
     return f"""WITH {f.REGIONS_SQL}, {f.TRACKS_SQL}, {f.MASK_SQL}, {zones},
 samples AS (SELECT unnest([0, 1]) AS sample), flagged AS (SELECT b.*, {hidden} AS hidden FROM bases b),
 valued AS (SELECT b.row_id, b.minus, s.sample, b.first, b.n, b.o, b.size, {value} AS v FROM flagged b CROSS JOIN samples s LEFT JOIN tracks t ON t.sample = s.sample AND t.chrom = b.chrom AND t.s = b.p // 10 * 10 AND b.p >= 0),
 cells AS (SELECT row_id, minus, sample, first + i AS bin, v FROM valued, LATERAL (SELECT unnest(range(o * n // size, o * n // size + n // size + 2)) AS i) WHERE i < n AND o >= i * size // n AND o < greatest(i * size // n + 1, (i + 1) * size // n))
-SELECT row_id, sample, CAST(CASE WHEN minus THEN {total - 1} - bin ELSE bin END AS INT) AS bin, round(CAST(CAST({reduce} AS FLOAT) AS DOUBLE), 4) AS value FROM cells GROUP BY row_id, minus, sample, bin HAVING count(v) > 0"""
+SELECT row_id, sample, CAST(CASE WHEN minus THEN {total - 1} - bin ELSE bin END AS INT) AS bin, {shown} AS value FROM cells GROUP BY row_id, minus, sample, bin HAVING count(v) > 0"""
 
 
 def _built(spark, sf, layout, **options):
@@ -272,6 +273,17 @@ def matrix_tss_mean(spark, sf):
     return _built(spark, sf, B.Layout(upstream=100, downstream=200, bin_size=10), statistic="mean")
 
 
+@query(f"""WITH base AS ({built_sql(TSS, "mean", 30, raw=True)}), {f.REGIONS_SQL},
+valued AS (SELECT row_id, group_id, copy, bin, CASE WHEN strand = '.' THEN CASE WHEN count(*) = 2 THEN sum(value) END ELSE max(CASE WHEN sample = (CAST(strand = '-' AS INT) + copy) % 2 THEN value END) END AS v
+  FROM base JOIN regions USING (row_id) CROSS JOIN (SELECT unnest([0, 1]) AS copy) GROUP BY row_id, group_id, strand, copy, bin)
+SELECT row_id * 2 + copy AS row_id, CAST(group_id * 2 + copy AS INT) AS group_id, bin, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) AS value FROM valued WHERE v IS NOT NULL""")
+def matrix_antisense_groups(spark, sf):
+    """Two tracks as the strands of one sample; each region followed by its copy that reads the other strand."""
+    regions = B.with_antisense_groups(f.regions(spark, sf))
+    out = B.build(regions, f.tracks(spark, sf).select("source", "chrom", "start", "end", "value"), f.sizes(spark), B.Layout(upstream=100, downstream=200, bin_size=10), wanted=B.sources(regions, 1, stranded=True), tracks_count=2)
+    return out.select("row_id", "group_id", F.posexplode("bins").alias("bin", "value")).filter("value is not null").select("row_id", "group_id", "bin", rounded("value").alias("value"))
+
+
 @query(built_sql(SCALED, "median", 16, as_zero=True))
 def matrix_scaled_median_zero_filled(spark, sf):
     return _built(spark, sf, B.Layout(upstream=40, downstream=20, body=100, bin_size=10), statistic="median", missing_as_zero=True)
