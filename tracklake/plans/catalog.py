@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.operators import coverage as C
@@ -14,6 +16,8 @@ from tracklake.operators import matrix_build as B
 from tracklake.operators import profiles as P
 from tracklake.operators import tracks as T
 from tracklake.plans import fixtures as f
+from tracklake.sources import bigwig, text
+from tracklake.sources.tables import shared_dir
 
 FLAGSHIP = "coverage_read_count_rle"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -571,8 +575,6 @@ def compare_difference(spark, sf):
 
 @query(f"{CELLS}, t AS (SELECT row_id, sample, string_agg(CASE WHEN v IS NULL THEN 'nan' ELSE printf('%.6f', v) END, chr(9) ORDER BY bin) AS t FROM cells GROUP BY ALL) SELECT row_id, string_agg(t, chr(9) ORDER BY sample) AS line FROM t GROUP BY row_id")
 def matrix_text(spark, sf):
-    from tracklake.sources import text
-
     meta = {"chrom": F.lit("c"), "blocks": F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))), "name": F.col("row_id").cast("string"), "score": F.lit(None).cast("double"), "strand": F.lit(".")}
     lines = text.matrix_lines(f.matrix(spark, sf).withColumns(meta))
     return lines.select(F.col("ord").alias("row_id"), F.array_join(F.slice(F.split("line", "\t"), 7, 1 << 20), "\t").alias("line"))
@@ -642,3 +644,117 @@ def clusters_by_ward(spark, sf):
     from tracklake.operators import clusters
 
     return clusters.ward(clusters.row_vectors(f.matrix(spark, sf)), 4).select("row_id", "cluster", "name")
+
+
+# --- files: written to the shared folder and read again -------------------------------------------------------------------
+
+
+def _place(spark, name):
+    return f"{shared_dir(spark)}/tracklake/{name}-{uuid.uuid4().hex}"
+
+
+def _lines(df, path):
+    """A text file of one part, in order: the formats that are read line by line are lists."""
+    df.coalesce(1).sortWithinPartitions("ord").select("line").write.text(path)
+    return path
+
+
+ONE_TRACK = f"WITH {f.TRACKS_SQL} SELECT chrom, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", round(CAST(CAST(value AS FLOAT) AS DOUBLE), 4) AS value FROM tracks WHERE sample = 1"
+
+
+def _one_track(spark, sf):
+    return f.tracks(spark, sf).filter("sample = 1").select("chrom", "start", "end", F.col("value").cast("float").alias("value"))
+
+
+def _shown(track):
+    return track.select("chrom", "start", "end", rounded("value").alias("value"))
+
+
+@query(ONE_TRACK)
+def file_bedgraph(spark, sf):
+    path = _place(spark, "track")
+    text.write_bedgraph(_one_track(spark, sf), f.sizes(spark), path)
+    return _shown(text.read_bedgraph(spark, path))
+
+
+@query(ONE_TRACK)
+def file_bigwig(spark, sf):
+    """A bigWig file is assembled by the driver, so it is a path of the driver's file system that executors see too."""
+    path = _place(spark, "track").removeprefix("file://") + ".bw"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    bigwig.write_bigwig(_one_track(spark, sf), f.sizes(spark), path)
+    return _shown(bigwig.read_bigwig(spark, path))
+
+
+@query(f"WITH {f.TRACKS_SQL} SELECT 'chr' || i AS chrom, CAST({f.LENGTH} AS BIGINT) AS length, count(t.s) AS intervals FROM range(1, {f.CHROMS + 1}) r(i) LEFT JOIN tracks t ON t.chrom = 'chr' || i AND t.sample = 1 GROUP BY i")
+def file_bigwig_chromosomes(spark, sf):
+    path = _place(spark, "track").removeprefix("file://") + ".bw"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    bigwig.write_bigwig(_one_track(spark, sf), f.sizes(spark), path)
+    held = bigwig.read_bigwig(spark, path).groupBy("chrom").agg(F.count("*").alias("n"))
+    return bigwig.chrom_sizes(spark, path).join(held, "chrom", "left").select("chrom", F.col("length").cast("long").alias("length"), F.coalesce("n", F.lit(0)).alias("intervals"))
+
+
+LISTED = f"WITH {f.REGIONS_SQL}, blocks AS (SELECT row_id, count(*) AS blocks, CAST(sum(e - s) AS BIGINT) AS bases, CAST(min(s) AS BIGINT) AS start, CAST(max(e) AS BIGINT) AS \"end\" FROM exons GROUP BY row_id)"
+
+
+def _listed(regions):
+    size = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["end"] - b["start"])
+    return regions.select(F.regexp_extract("name", r"\d+", 0).cast("long").alias("row_id"), "chrom", "strand", F.size("blocks").cast("long").alias("blocks"), size.alias("bases"), F.col("blocks")[0]["start"].alias("start"), F.element_at("blocks", -1)["end"].alias("end"))
+
+
+def _written_regions(spark, sf):
+    rows = f.regions(spark, sf)
+    return rows.withColumn("start", F.col("blocks")[0]["start"]).withColumn("end", F.element_at("blocks", -1)["end"]).withColumn("name", F.concat(F.lit("r"), F.col("row_id").cast("string")))
+
+
+@query(f"{LISTED} SELECT row_id, chrom, strand, blocks, bases, start, \"end\" FROM regions JOIN blocks USING (row_id)")
+def file_bed12(spark, sf):
+    rows = _written_regions(spark, sf)
+    listed = lambda of: F.array_join(F.transform("blocks", lambda b: of(b).cast("string")), ",")
+    line = F.concat_ws("\t", "chrom", "start", "end", "name", F.lit("0"), "strand", "start", "end", F.lit("0"), F.size("blocks"), listed(lambda b: b["end"] - b["start"]), listed(lambda b: b["start"] - F.col("start")))
+    return _listed(text.read_bed(spark, _lines(rows.select("ord", line.alias("line")), _place(spark, "bed"))))
+
+
+@query(f"{LISTED} SELECT row_id, chrom, strand, blocks, bases, start, \"end\", 'g' || group_id AS \"group\" FROM regions JOIN blocks USING (row_id)")
+def file_gtf_exons(spark, sf):
+    rows = _written_regions(spark, sf)
+    whole = F.struct(F.lit("transcript").alias("kind"), F.col("start").alias("s"), F.col("end").alias("e"))
+    parts = F.transform("blocks", lambda b: F.struct(F.lit("exon").alias("kind"), b["start"].alias("s"), b["end"].alias("e")))
+    rows = rows.select("ord", "chrom", "strand", "name", "group_id", F.explode(F.concat(F.array(whole), parts)).alias("x"))
+    mark = F.format_string('gene_id "x"; transcript_id "%s"; kind "g%d";', "name", "group_id")
+    line = F.concat_ws("\t", "chrom", F.lit("t"), "x.kind", (F.col("x.s") + 1).cast("string"), F.col("x.e").cast("string"), F.lit("."), "strand", F.lit("."), mark)
+    found = text.read_gtf(spark, _lines(rows.select("ord", line.alias("line")), _place(spark, "gtf")), keep_exons=True, group_attribute="kind")
+    groups = found.select(F.regexp_extract("name", r"\d+", 0).cast("long").alias("row_id"), "group")
+    return _listed(found).join(groups, "row_id")
+
+
+@query(f"WITH {f.ALIGNMENTS_SQL}, {TOUCHED}, {COUNTED} SELECT chrom, '.' AS strand, CAST(b AS BIGINT) AS bin, CAST(c AS DOUBLE) AS value FROM counted")
+def file_sam_coverage(spark, sf):
+    rows = f.alignments(spark, sf)
+    cigar = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), c["op"])), "")
+    line = F.concat_ws("\t", "qname", "flag", "chrom", (F.col("pos") + 1).cast("string"), "mapq", cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"))
+    head = f.sizes(spark).select(F.format_string("@SQ\tSN:%s\tLN:%d", "chrom", "length").alias("line"))
+    path = _place(spark, "sam")
+    head.unionByName(rows.select(line.alias("line"))).write.text(path)
+    reads, sizes = text.read_sam(spark, path)
+    spec = C.Coverage(bin_size=W, aggregation="count", **BASE)
+    return C.binned(reads, sizes, spec).select("chrom", "strand", F.col("bin").cast("long").alias("bin"), rounded("value").alias("value"))
+
+
+@query(f"{CELLS} SELECT row_id, sample, bin, CASE WHEN v IS NOT NULL THEN round(CAST(CAST(round(v, 6) AS FLOAT) AS DOUBLE), 5) END AS value FROM cells")
+def file_matrix(spark, sf):
+    meta = {"chrom": F.lit("c"), "blocks": F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))), "name": F.concat(F.lit("r"), F.col("row_id").cast("string")), "score": F.lit(None).cast("double"), "strand": F.lit(".")}
+    matrix = f.matrix(spark, sf).withColumns(meta)
+    names = [f"g{g}" for g in range((matrix.agg(F.max("group_id")).first()[0] or 0) + 1)]
+    path = _place(spark, "matrix")
+    text.write_matrix(text.matrix_header({}, matrix, names, ["a", "b", "c", "d"]), matrix, path)
+    _, again = text.read_matrix(spark, _joined(spark, path))
+    return _cells(again.withColumn("row_id", F.regexp_extract("name", r"\d+", 0).cast("long")))
+
+
+def _joined(spark, path):
+    """The parts of a text folder, which are in order, as a folder of one part."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.input_file_name().alias("part"), F.col("value").alias("line"))
+    order = rows.withColumn("ord", F.row_number().over(Window.orderBy("part", "ord")))
+    return _lines(order, f"{path}-whole")

@@ -1,7 +1,11 @@
-"""Parquet tables of a folder."""
+"""Parquet tables of a folder, and the folder that all machines share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,3 +17,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     table = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return table if len(table.inputFiles()) >= cores else table.repartition(cores)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: spark.checkpoint.dir. Only a local session may do without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tracklake-")
+        atexit.register(shutil.rmtree, folder, True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
