@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.shipping import ship_code
 from tracklake.sources.tables import read_table as read_table
+from tracklake.sources.tables import shared_dir as shared_dir
 
 #: What a Python worker keeps between tasks, by operator: functions that empty it.
 _HELD: dict[str, Callable[[], None]] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir. Only a local session may do without that setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tracklake-")
-        atexit.register(shutil.rmtree, folder, True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def _give_back() -> None:
     """Freed memory to the system, where the C library can do that."""
     pa.default_memory_pool().release_unused()
