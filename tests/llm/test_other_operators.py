@@ -296,3 +296,47 @@ def test_pipeline(spark):
     assert all(len(left[d].encode()) <= spans[d][0] - spans[d][1] for d in left)
     packed = P.STAGES[3][1](spark, cut, SF).toPandas()
     assert set(packed.doc_id) == set(left) and packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_pipeline_stages_on_odd_rows(spark, documents):
+    """Nulls, empty and repeated texts and ids, columns that operators use themselves, and no rows at all."""
+    import corpus_pipeline as P
+
+    passage = " ".join(f"word{i}" for i in range(40))
+    other = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, passage + " " + other("a")), (2, other("b") + " " + passage), (3, None), (4, ""), (None, "no id"), (None, None), (5, "twice the same"), (5, "twice but other"), (6, passage), (6, passage), (7, "x" * 200_000)]
+    df = documents(rows).selectExpr("*", "'a' AS _empty", "1 AS _kept", "2 AS _rows", "3 AS block", "4 AS rest", "array(5) AS bands")
+    for name, stage in P.STAGES[:3]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        ids = sorted((r.doc_id for r in out.collect()), key=lambda d: (d is not None, d))
+        if name == "minhash_near_dedup":
+            assert ids == [None, None, 1, 2, 3, 4, 5, 6, 7]
+        elif name == "suffix_array_dedup":  # 6 is all passage, 7 holds nothing of another document
+            assert ids == [None, None, 1, 2, 3, 4, 5, 5, 7]
+        else:
+            assert len(ids) == len(rows)
+        empty = stage(spark, df.filter("doc_id > 99"), SF)
+        assert empty.columns == df.columns and empty.count() == 0
+    packed = P.STAGES[3][1](spark, df, SF).toPandas()
+    assert set(packed.doc_id.dropna()) == {1, 2, 3, 4, 5, 6, 7} and packed.groupby("sequence_id").length.sum().max() <= 1024
+    assert P.STAGES[3][1](spark, df.filter("doc_id > 99"), SF).count() == 0
+
+
+def test_small_groups_move_by_doors(spark, documents, monkeypatch):
+    """Many small groups, tight room: quotas hold exactly, hardly a group is cut, and the layout of the rows doesn't matter."""
+    monkeypatch.setattr(sharding, "SMALL", 4)
+    monkeypatch.setattr(sharding, "BUCKET", 64)
+    rows = [(i, f"copy {i % 700}") for i in range(2800)] + [(5000 + i, "hot") for i in range(900)] + [(9000 + i, f"one {i}") for i in range(300)]
+    df = documents(rows).select("doc_id", "text")
+    got = sharding.assign(df, 10).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(got) == len(rows) and sizes.max() - sizes.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    small = got[got.doc_id < 5000]
+    assert (small.groupby(small.doc_id % 700).shard.nunique() == 1).mean() > 0.9
+    # A group of 2.25 shards fills two of them and lies in few others.
+    hot = got[(got.doc_id >= 5000) & (got.doc_id < 9000)].groupby("shard").size().sort_values(ascending=False)
+    assert hot.iloc[0] == hot.iloc[1] == 400 and len(hot) <= 4
+    again = sharding.assign(df.repartition(7).orderBy("text"), 10).toPandas()
+    key = ["doc_id", "shard", "slot"]
+    assert got[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()

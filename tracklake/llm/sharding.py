@@ -4,9 +4,9 @@ Documents of equal text are linked; a link whose ends lie in different shards is
 a hash. A group of linked documents is one part, or, if it is larger than a shard's quota, parts that fill a shard each
 and one that takes the rest. In every round the parts that still have to move are joined to the shards in which their
 neighbours, all documents of their group, lie by then; a part asks for the shard that holds most of them among those
-with room for it. Quotas admit requests: large ones by size, of which there is a bounded number, the others by buckets of
-a hash, whole buckets as long as they fit, so that no quota is ever exceeded. What is refused asks again in the next
-round. A part that no shard has room for is halved. At the end unlinked documents, whose moves cut nothing, even out the
+with room for it. Large parts, of which there is a bounded number, are placed first, by size. Quotas admit the others by
+buckets of a hash, whole buckets as long as they fit, so that no quota is ever exceeded. What is refused asks again in the
+next round. A part that no shard has room for is halved. At the end unlinked documents, whose moves cut nothing, even out the
 counts: the law is `rows`, no two shards differ by more than one document.
 
 Votes are counts by (group, part, shard): a hot text is pre-aggregated and never gathered. Ranks within a shard come from
@@ -84,19 +84,34 @@ def dealt(rows: DataFrame, n: int, quota: int) -> tuple[DataFrame, DataFrame]:
     return linked.withColumn("part", F.xxhash64(*GROUP, "number")).drop("number"), cold.filter("linked is null").withColumn("linked", F.lit(1).cast("long"))
 
 
-def admitted(asked: DataFrame, room: list[int], large: int, salt: int) -> DataFrame:
-    """Requests (part, wish, size) that the shards' room admits, with shard. Takes the admitted sizes off room."""
-    spark = asked.sparkSession
-    # A bounded number of large requests, largest first.
+def place_large(held: DataFrame, room: list[int], large: int) -> tuple[DataFrame, DataFrame]:
+    """Shards of the large parts, a bounded list, and all other parts' rows. Largest first, each part goes to the shard with room
+    where most of its neighbours are by then; takes the sizes off room. A part without such a shard stays among the others."""
+    spark = held.sparkSession
+    parts = held.groupBy("group", "part").agg(F.sum("c").alias("size")).filter(F.col("size") > large).collect()
+    groups = spark.createDataFrame([(g,) for g in {r["group"] for r in parts}], "group long")
+    votes: dict[int, dict[int, int]] = {}
+    for r in held.join(F.broadcast(groups), "group").groupBy("group", "shard").agg(F.sum("c").alias("votes")).collect():
+        votes.setdefault(r["group"], {})[r["shard"]] = r["votes"]
     won = []
-    for r in asked.filter((F.col("size") > large) & F.col("wish").isNotNull()).orderBy(F.desc("size"), "part").collect():
-        if r["size"] <= room[r["wish"]]:
-            room[r["wish"]] -= r["size"]
-            won.append((r["part"], r["wish"]))
+    for r in sorted(parts, key=lambda r: (-r["size"], r["part"])):
+        mine = votes[r["group"]]
+        fits = [s for s in range(len(room)) if room[s] >= r["size"]]
+        if fits:
+            best = max(fits, key=lambda s: (mine.get(s, 0), room[s], -s))
+            room[best] -= r["size"]
+            mine[best] = mine.get(best, 0) + r["size"]
+            won.append((r["part"], best))
+    placed = spark.createDataFrame(won, "part long, shard int")
+    return placed, held.join(F.broadcast(placed.select("part")), "part", "left_anti")
+
+
+def admitted(asked: DataFrame, room: list[int], salt: int) -> DataFrame:
+    """Requests (part, wish, size) that the shards' room admits, with shard. Takes the admitted sizes off room."""
     # Doors open in turn as long as all behind them fit.
-    small = asked.filter((F.col("size") <= large) & F.col("wish").isNotNull()).withColumn("door", F.pmod(F.xxhash64("part", F.lit(salt)), F.lit(DOORS)))
+    asked = asked.filter("wish is not null").withColumn("door", F.pmod(F.xxhash64("part", F.lit(salt)), F.lit(DOORS)))
     opened, closed = [0] * len(room), set()
-    for r in small.groupBy("wish", "door").agg(F.sum("size").alias("s")).orderBy("wish", "door").collect():  # at most DOORS for each shard
+    for r in asked.groupBy("wish", "door").agg(F.sum("size").alias("s")).orderBy("wish", "door").collect():  # at most DOORS for each shard
         w = r["wish"]
         if w not in closed and r["s"] <= room[w]:
             room[w] -= r["s"]
@@ -104,18 +119,20 @@ def admitted(asked: DataFrame, room: list[int], large: int, salt: int) -> DataFr
         else:
             closed.add(w)
     bounds = F.array(*[F.lit(x) for x in opened])
-    few = small.filter(F.col("door") < F.element_at(bounds, F.col("wish") + 1)).select("part", F.col("wish").alias("shard"))
-    return few.unionByName(spark.createDataFrame(won, "part long, shard int"))
+    return asked.filter(F.col("door") < F.element_at(bounds, F.col("wish") + 1)).select("part", F.col("wish").alias("shard"))
 
 
 def propagate(held: DataFrame, room: list[int], large: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
     """Shards of parts, and the parts that no shard has room for. held: documents c by (group, part, shard) at the start."""
     shards = len(room)
     draw = F.pmod(F.xxhash64("part", "shard"), F.lit(1 << 20))
-    settled, waiting = None, held
+    settled, waiting = place_large(held, room, large)
+    waiting = materialize(waiting, "shards-waiting")
     for k in range(rounds):
+        if not waiting.limit(1).count():
+            return settled, None
         # Where the neighbours are now: those of settled parts where they went, the others where they began.
-        at = held.select("group", "part", "shard", "c") if settled is None else held.join(settled.withColumnRenamed("shard", "moved"), "part", "left").select("group", "part", F.coalesce("moved", "shard").alias("shard"), "c")
+        at = held.join(settled.withColumnRenamed("shard", "moved"), "part", "left").select("group", F.coalesce("moved", "shard").alias("shard"), "c")
         votes = at.groupBy("group", "shard").agg(F.sum("c").alias("votes"))
         parts = waiting.groupBy("group", "part").agg(F.sum("c").alias("size"))
         rooms = F.array(*[F.lit(x) for x in room])
@@ -129,14 +146,11 @@ def propagate(held: DataFrame, room: list[int], large: int, rounds: int = ROUNDS
         lot = F.pmod(F.xxhash64("part", F.lit(k)), F.lit(max(total, 1)))
         other = F.size(F.filter(F.array(*[F.lit(x) for x in edges]), lambda x: x <= lot))  # noqa: B023
         other = F.when(fits(F.least(other, F.lit(shards - 1))), other).otherwise(F.lit(max(range(shards), key=room.__getitem__)))
-        asked = best.withColumn("wish", F.coalesce("wish", F.when(fits(other), other)).cast("int"))
-        asked = materialize(asked, f"shards-asked{k}")
-        won = materialize(admitted(asked, room, large, k), f"shards-won{k}")
-        settled = won if settled is None else settled.unionByName(won)
+        asked = materialize(best.withColumn("wish", F.coalesce("wish", F.when(fits(other), other)).cast("int")), f"shards-asked{k}")
+        won = materialize(admitted(asked, room, k), f"shards-won{k}")
+        settled = settled.unionByName(won)
         waiting = materialize(waiting.join(won, "part", "left_anti"), f"shards-waiting{k}")
-        if not waiting.limit(1).count():
-            return settled, None
-    return settled, waiting
+    return settled, waiting if waiting.limit(1).count() else None
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
