@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import mapped, materialize, ship_code
+from .common import claim, mapped, materialize, ship_code
 from .graphs import block_pairs, components
 
 HASHES, BANDS, BITS = 128, 32, 4
@@ -161,6 +161,7 @@ def verified_links(members: DataFrame, threshold: float, cutoff: float) -> DataF
     percent = round(100 * threshold)
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        claim("")
         i, j = int(key[1]), int(key[2])
         ids = rows["class_id"].tolist()
         sets = [np.frombuffer(s, np.uint64) for s in rows["values"]]

@@ -325,6 +325,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands:
     for epoch in range(epochs):
 
         def island(key, items, elite=None, epoch=epoch):
+            claim("")
             items = _ordered(items)
             if not len(items):
                 return pd.DataFrame({"cell": [], "island": [], "bins": [], "n_bins": [], "quality": []})

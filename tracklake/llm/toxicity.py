@@ -33,7 +33,7 @@ FOLDS = 4
 #: Toxic documents that hold a learned key, at least.
 LEAST_TOXIC = 3
 #: Keys that a task counts before it hands them on, and texts that are held at once.
-KEYS_HELD, SLICE = 100_000, 200
+KEYS_HELD, SLICE = 40_000, 100
 THRESHOLD = 0.3
 STEM = (4, 6)
 
