@@ -210,3 +210,10 @@ def test_cluster_and_bootstrap_queries_use_defaults(spark, monkeypatch):
         monkeypatch.setattr(module, name, spy)
     catalog.QUERIES["clusters_by_kmeans"](spark, sf), catalog.QUERIES["profile_bootstrap"](spark, sf)
     assert seen == {"kmeans": 20, "bootstrap": 300}
+
+
+def test_matrix_text_rounds_ties_to_even(spark):
+    values = [-0.0703125, 0.0078125, 0.0234375, 1.5, -1e-7, 0.0, -0.0, 123456.7890625, 0.1, None, float("nan"), float("inf"), float("-inf")]
+    m = spark.createDataFrame([(1, 0, 1, 0, values, "c", [(0, 1)], "n", None, ".")], f"row_id long, group_id int, ord long, sample int, bins array<float>, chrom string, blocks {S.BLOCKS}, name string, score double, strand string")
+    want = ["nan" if v is None else f"{float(np.float32(v)):.6f}" for v in values]
+    assert S.matrix_lines(m).first().line.split("\t")[6:] == want and want[:2] == ["-0.070312", "0.007812"]

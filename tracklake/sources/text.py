@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklake.functions import alignments as A
-from tracklake.functions.missing import finite, narrow
+from tracklake.functions.missing import finite, let, narrow
 from tracklake.operators import intervals as I
 from tracklake.shipping import ship_code
 
@@ -267,9 +267,19 @@ def score_text(score: Column) -> Column:
     return F.when(score.isNull(), ".").when((score == F.floor(score)) & (F.abs(score) < 1e15), F.format_string("%.1f", score)).otherwise(score.cast("string"))
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """A single-precision value with fixed decimals as C's printf writes it: ties to even, where Java's formatter rounds them up."""
+
+    def of(v: Column) -> Column:
+        even = let(F.bround(v, digits), lambda r: F.format_string(f"%.{digits}f", F.when(r == 0, v * 0.0).otherwise(r)))  # zeros keep their sign
+        return F.when(v.isNull() | F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.when(v > 0, "inf").otherwise("-inf")).otherwise(even)
+
+    return let(value.cast("double"), of)
+
+
 def matrix_lines(matrix: DataFrame, digits: int = 6) -> DataFrame:
     """(group_id, ord, line): a stored row's text, values with fixed decimals."""
-    value = lambda v: F.when(v.isNull(), "nan").otherwise(F.format_string(f"%.{digits}f", v.cast("double")))
+    value = lambda v: fixed_text(v, digits)
     meta = ["chrom", "blocks", "name", "score", "strand"]
     rows = matrix.groupBy("row_id", "group_id", "ord").agg(*[F.first(c).alias(c) for c in meta], F.sort_array(F.collect_list(F.struct("sample", "bins"))).alias("p"))
     joined = lambda name: F.array_join(F.transform("blocks", lambda b: b[name].cast("string")), ",")
