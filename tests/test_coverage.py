@@ -184,3 +184,24 @@ def test_masks(world, spark):
     whole = spec_of("fragment", mask_mode="fragments")
     assert found(whole, blacklist=black) == count(painted([t for t in made if not hit(t)], "fragment", "plain"))
     assert found(whole, whitelist=black) == count(painted([t for t in made if hit(t)], "fragment", "plain"))
+
+
+def test_typical_fragment_orders_few_rows(spark, monkeypatch):
+    """Any sample has the median of a sort by hash and name; a sample larger than all rows puts nothing in order."""
+    rng = random.Random(8)
+    lengths = [rng.choice([rng.randint(60, 90), rng.randint(60, 2000)]) for _ in range(300)]
+    rows = [(f"q{i // 2}", None, 99, "c", 7 * (i // 2), 60, [("M", 50)], "c", 7 * (i // 2) + n - 50, n) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "qname string, rg string, flag int, chrom string, pos long, mapq int, cigar array<struct<op:string,len:int>>, mchrom string, mpos long, tlen long")
+    hashed = sorted((r.h, r.qname, r.tlen) for r in df.select(F.xxhash64("qname", "flag", "pos").alias("h"), "qname", "tlen").collect())
+    median = lambda k: float(np.median([t for _, _, t in hashed[:k]]))
+    typical = lambda k: C.typical_fragment(df, k).first().fragment_length
+    assert [typical(k) for k in (20, 1000)] == [median(k) for k in (20, 1000)]
+    monkeypatch.setattr(C, "ORDERED", 0)
+    for values in (1 << 16, 16):  # few values at once, or blocks of them
+        monkeypatch.setattr(C, "VALUES", values)
+        assert [typical(k) for k in (1, 20, 151, 300, 1 << 30)] == [median(k) for k in (1, 20, 151, 300, 1 << 30)]
+    single = df.withColumn("mchrom", F.lit(None).cast("string"))
+    assert C.typical_fragment(single, 1 << 30).first().fragment_length == 50.0 and C.typical_fragment(single.limit(0)).first().fragment_length is None
+    monkeypatch.undo()
+    monkeypatch.setattr(type(df), "orderBy", None)  # not for a sample that has all rows
+    assert typical(1 << 30) == median(300)

@@ -21,6 +21,8 @@ MODELS = ("plain", "extend", "5prime", "3prime", "center")
 TILE_BASES = 1 << 22
 #: Bins below this size are totalled by changes.
 FINE = 25
+#: Rows that are put in order at once to draw a sample; values whose counts the driver holds.
+ORDERED, VALUES = 100_000, 1 << 16
 CHANGES = "array<struct<bin:bigint,own:bigint,change:bigint>>"
 
 
@@ -425,10 +427,56 @@ def strandedness(alignments: DataFrame, probes: DataFrame) -> DataFrame:
     return counted.select("forward", "reverse", share.alias("share"), verdict.alias("library"))
 
 
+def _at_rank(ordered: list[tuple[int, int]], rank: int) -> tuple[int, int]:
+    """Of (value, times) in order: the value at a rank, and how many lie before it."""
+    before = 0
+    for v, n in ordered:
+        if rank < before + n:
+            return v, before
+        before += n
+    raise IndexError(rank)
+
+
+def _median(counts: DataFrame) -> float | None:
+    """Median of the present whole numbers v, each there n times; the driver holds the counts of VALUES numbers, or of blocks of as many."""
+    some = counts.filter("v is not null")
+    ordered = sorted((r["v"], r["n"]) for r in some.limit(VALUES + 1).collect())
+    blocks = None
+    if len(ordered) > VALUES:
+        ordered = blocks = sorted((r["b"], r["n"]) for r in some.groupBy(F.floor(F.col("v") / VALUES).alias("b")).agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in ordered)
+    if not total:
+        return None
+    found = []
+    for rank in ((total - 1) // 2, total // 2):
+        if blocks is not None:
+            block, before = _at_rank(blocks, rank)
+            ordered, rank = sorted((r["v"], r["n"]) for r in some.filter(F.floor(F.col("v") / VALUES) == block).collect()), rank - before
+        found.append(_at_rank(ordered, rank)[0])
+    return sum(found) / 2
+
+
+def _median_of_least(rows: DataFrame, value: Column, sample: int) -> float | None:
+    """Median of a value over the `sample` rows of least hash h, then name. Only lists of up to ORDERED rows are put in order at once."""
+    rows = rows.select("h", "qname", value.cast("long").alias("v"))
+    if sample <= ORDERED:
+        return _median(rows.orderBy("h", "qname").limit(sample).groupBy("v").agg(F.count("*").alias("n")))
+    if rows.count() <= sample:
+        return _median(rows.groupBy("v").agg(F.count("*").alias("n")))
+    # Whole parts of the hashes' range as far as they fit, then a share of the next part, in which equal rows are one.
+    part = F.shiftright("h", 48)
+    last, before = _at_rank(sorted((r["part"], r["count"]) for r in rows.groupBy(part.alias("part")).count().collect()), sample)
+    taken = rows.filter(part < last).groupBy("v").agg(F.count("*").alias("n"))
+    edge = rows.filter(part == last).groupBy("h", "qname", "v").agg(F.count("*").alias("n"))
+    passed = F.sum("n").over(Window.orderBy("h", "qname", "v")) - F.col("n")
+    edge = edge.withColumn("n", F.least("n", F.lit(sample - before) - passed)).filter("n > 0").select("v", "n")
+    return _median(taken.unionByName(edge).groupBy("v").agg(F.sum("n").alias("n")))
+
+
 def typical_fragment(alignments: DataFrame, sample: int = 10_000) -> DataFrame:
     """Median |TLEN| of proper pairs, or median read length without any, of the records of least hash."""
-    spec = Coverage()
-    rows = described(alignments.filter(~A.has(F.col("flag"), A.FLAGS["UNMAP"])), spec).withColumn("h", F.xxhash64("qname", "flag", "pos"))
-    pairs = rows.filter(F.col("proper") & (F.col("tlen") > 0)).orderBy("h", "qname").limit(sample).agg(F.percentile(F.col("tlen"), 0.5).alias("pair"))
-    reads = rows.orderBy("h", "qname").limit(sample).agg(F.percentile(A.query_length(F.col("cigar")), 0.5).alias("read"))
-    return pairs.crossJoin(F.broadcast(reads)).select(F.coalesce("pair", "read").alias("fragment_length"))
+    rows = described(alignments.filter(~A.has(F.col("flag"), A.FLAGS["UNMAP"])), Coverage()).withColumn("h", F.xxhash64("qname", "flag", "pos"))
+    found = _median_of_least(rows.filter(F.col("proper") & (F.col("tlen") > 0)), F.col("tlen"), sample)
+    if found is None:
+        found = _median_of_least(rows, A.query_length(F.col("cigar")), sample)
+    return alignments.sparkSession.createDataFrame([(found,)], "fragment_length double")
