@@ -340,3 +340,23 @@ def test_small_groups_move_by_doors(spark, documents, monkeypatch):
     again = sharding.assign(df.repartition(7).orderBy("text"), 10).toPandas()
     key = ["doc_id", "shard", "slot"]
     assert got[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
+
+
+def test_large_labels_stay_whole_where_pivots_rule_out_little(spark, monkeypatch):
+    """Vectors that fill many dimensions evenly are sent once for each block, not to most of the cells; links are the same."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    points = rng.normal(size=(600, 64))
+    points[500:] = points[:100] + 0.15 * rng.normal(size=(100, 64))
+    rows = [(i, v.tolist(), "one") for i, v in enumerate(points)] + [(1000 + i, v, "two") for i, v, _ in clustered(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").cache()
+    monkeypatch.setattr(embeddings, "WHOLE", 400)
+    monkeypatch.setattr(embeddings, "BLOCK", 300)
+    monkeypatch.setattr(embeddings, "TILE", (16, 64))
+    placed, sizes = embeddings.partitioned(embeddings.classes_of(df)[1], 0.2)
+    assert {r.label: r.n for r in placed.groupBy("label").agg(F.count("*").alias("n")).collect()}["one"] == 600
+    assert {r.label: r.n for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).collect()}["one"] == 600
+    want = brute_vectors(rows)
+    for block in (100, 1000):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, block=block).collect()} == want

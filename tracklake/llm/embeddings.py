@@ -8,7 +8,9 @@ cell j and d(x, y) <= eps, then d(x, p_j) <= d(x, p_i) + 2 eps for x's own pivot
 between both pivots. So a cell has all neighbours that its own vectors need there and is joined alone. Cells that are
 still large are partitioned again by pivots of their own, as long as that lowers the number of pairs to compare. Equal
 vectors of a label are one class that counts as often as it occurs. Cells above BLOCK classes are dealt into pairs of
-blocks. A task emits counts and a spanning forest, never all pairs; links are decided by the cosine itself.
+blocks. Large labels whose cells would send more rows than their saved pairs are worth stay whole and are dealt into
+blocks too. Within a task, pairs are first compared in LOW dimensions of a fixed rotation, where no distance is larger
+than the true one; of what is left the cosine itself decides. A task emits counts and a spanning forest, never all pairs.
 
 One pass sends at most PIVOTS pivots to all tasks; cells that had to wait have their turn in the next one. Where vectors
 fill many dimensions evenly, pivots rule out less: `compared` gives the share of a label's pairs that is left.
@@ -32,11 +34,15 @@ from pyspark.sql import functions as F
 from .common import mapped, materialize, ship_code
 from .graphs import block_pairs, components
 
-BLOCK = 2048
+BLOCK = 16_384
 #: Pivots of one pass; classes for each pivot, at least; classes above which a cell is partitioned again.
-PIVOTS, PER_PIVOT, MANY = 16_384, 16, 4 * BLOCK
+PIVOTS, PER_PIVOT, MANY = 16_384, 16, 8192
 #: A further partition stays if it leaves at most this share of a cell's pairs.
 GAIN = 0.8
+#: Compared pairs that cost as much as a row that is sent to a task; classes above which a label may stay whole for that.
+PAIRS_A_ROW, WHOLE = 5000, 4096
+#: Dimensions of the first comparison, and pairs of a tile of it.
+LOW, TILE = 16, (512, 4096)
 KEY = ["label", "dim", "cell"]
 PLACED = "class_id long, label string, dim int, unit binary, copies long, cell string, home boolean"
 
@@ -89,8 +95,8 @@ def joined_in(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (i < j) == ((i + j) % 2 == 0)
 
 
-def cells(placed: DataFrame, pivots: dict[tuple, np.ndarray], eps: float) -> DataFrame:
-    """A row for each class and cell that needs it; home marks its own cell. Cells without pivots stay as they are."""
+def cells(placed: DataFrame, pivots: dict[tuple, np.ndarray], eps: float, bare: bool = False) -> DataFrame:
+    """A row for each class and cell that needs it; home marks its own cell. Cells without pivots stay as they are. bare: no vectors."""
     handed = placed.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
 
     def run(batches):
@@ -124,7 +130,7 @@ def cells(placed: DataFrame, pivots: dict[tuple, np.ndarray], eps: float) -> Dat
                 at += [rows[i] for i in r.tolist()]
                 cell += [f"{k[2]}.{j}" for j in c.tolist()]
                 home += (is_home[r] & (own[r] == c)).tolist()
-            got = batch.take(pa.array(at, pa.int64()))
+            got = (batch.set_column(3, "unit", pa.nulls(batch.num_rows, pa.binary())) if bare else batch).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(got.column(i) for i in range(5)), pa.array(cell, pa.string()), pa.array(home, pa.bool_())], ["class_id", "label", "dim", "unit", "copies", "cell", "home"])
 
     return mapped(placed.select("class_id", "label", "dim", "unit", "copies", "cell", "home"), run, PLACED)
@@ -152,8 +158,16 @@ def partitioned(classes: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
         if not pivots:
             break
         split = cells(placed, pivots, eps)
-        sizes = sized(split, f"vectors-sizes{step}")
-        if step:
+        sizes = sized(split if step else cells(placed, pivots, eps, bare=True), f"vectors-sizes{step}")
+        if not step:
+            after = sizes.groupBy("label", "dim").agg(F.sum("n").alias("sent"), F.sum("pairs").alias("after"))
+            blocks = F.col("n") * F.ceil(F.col("n") / BLOCK) * PAIRS_A_ROW + F.col("pairs")
+            poor = materialize(whole.filter(F.col("n") > WHOLE).join(after, ["label", "dim"]).filter(F.col("sent") * PAIRS_A_ROW + F.col("after") > blocks).select("label", "dim"), "vectors-whole")
+            if poor.limit(1).count():
+                done = placed.join(F.broadcast(poor), ["label", "dim"], "left_semi").select(placed.columns)  # at most PIVOTS // 2 labels have pivots
+                split = cells(placed.join(F.broadcast(poor), ["label", "dim"], "left_anti"), pivots, eps)
+                sizes = sizes.join(F.broadcast(poor), ["label", "dim"], "left_anti")
+        else:
             # A cell that gains too little keeps its rows and is done with.
             split = materialize(split, f"vectors-split{step}")
             asked = placed.sparkSession.createDataFrame([k[:3] for k in turn], "label string, dim int, cell string")
@@ -186,35 +200,51 @@ def compared(vectors: DataFrame, least: float = 0.98) -> float:
     return (sizes.agg(F.sum("pairs")).first()[0] or 0) / n if n else 0.0
 
 
-def join_block(ids: np.ndarray, x: np.ndarray, copies: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, chunk: int = 512):
-    """Links of the home rows of left with all rows of right: number of linked vectors by position, and forest edges.
-
-    Links count for the home row, and for the other one too if it isn't home here: then no other task finds them.
-    """
-    at = left[home[left]]
-    counts = np.zeros(len(ids), np.int64)
-    root = np.arange(len(ids))
-    sent = ~home[right]
-    links = []
-    for s in range(0, len(at), chunk):
-        rows = at[s : s + chunk]
-        linked = (x[rows] @ x[right].T >= least) & (ids[rows][:, None] != ids[right][None, :])
-        counts[rows] += linked @ copies[right]
-        counts[right[sent]] += copies[rows] @ linked[:, sent]
-        if linked.any():
-            links.append((rows, np.packbits(linked, axis=1)))
-    changed = bool(links)
-    while changed:  # least position over links, both ways
-        before = root.copy()
-        for rows, packed in links:
-            linked = np.unpackbits(packed, axis=1, count=len(right)).astype(bool)
-            seen = np.where(linked, root[right][None, :], len(ids))
-            root[rows] = np.minimum(root[rows], seen.min(1))
-            back = np.where(linked, root[rows][:, None], len(ids)).min(0)
-            root[right] = np.minimum(root[right], back)
-        root = root[root]
-        changed = not np.array_equal(before, root)
-    return counts, root
+def pieces(home: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """Sides of the pairs between two blocks, or within one, of which at least one is home; the last says that both sides are the same rows."""
+    own, sent = left[home[left]], left[~home[left]]
+    return [(own, own, True), (own, sent, False)] if left is right else [(own, right, False), (sent, right[home[right]], False)]
+
+
+def linked_pairs(x: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, bool]], least: float):
+    """Linked pairs of positions (a, b), each pair once, in bounded batches."""
+    dim = x.shape[1]
+    low = x @ np.linalg.qr(np.random.default_rng(0).normal(size=(dim, min(dim, LOW))))[0]
+    half = (low * low).sum(1, keepdims=True) / 2
+    # A product of these is minus half a squared distance.
+    one, two = (np.hstack(m).astype(np.float32) for m in ((low, -half, np.ones_like(half)), (low, np.ones_like(half), -half)))
+    enough = np.float32(least - 1 - 1e-5)
+    for left, right, same in sides:
+        for r in range(0, len(right), TILE[1]):
+            cols = right[r : r + TILE[1]]
+            turned, exact = np.ascontiguousarray(two[cols].T), None
+            for s in range(0, min(len(left), r + len(cols)) if same else len(left), TILE[0]):
+                rows = left[s : s + TILE[0]]
+                a, b = np.divmod(np.flatnonzero(one[rows] @ turned >= enough), len(cols))
+                if 16 * len(a) > len(rows) * len(cols):
+                    exact = x[cols].T if exact is None else exact
+                    a, b = np.nonzero(x[rows] @ exact >= least)
+                elif len(a):
+                    cosine = np.concatenate([np.einsum("ij,ij->i", x[rows[a[k : k + 16_384]]], x[cols[b[k : k + 16_384]]]) for k in range(0, len(a), 16_384)])
+                    a, b = a[cosine >= least], b[cosine >= least]
+                if same:
+                    under = a + s < b + r
+                    a, b = a[under], b[under]
+                if len(a):
+                    yield rows[a], cols[b]
+
+
+def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least positions of components after links of a with b."""
+    while True:
+        u, v = root[a], root[b]
+        apart = u != v
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(u, v)[apart], np.minimum(u, v)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
 
 
 def linked_cells(dealt: DataFrame, least: float) -> DataFrame:
@@ -226,14 +256,15 @@ def linked_cells(dealt: DataFrame, least: float) -> DataFrame:
         ids, own = rows["class_id"].to_numpy(np.int64), rows["own"].to_numpy()
         x = np.frombuffer(b"".join(rows["unit"])).reshape(len(rows), -1)
         copies, home = rows["copies"].to_numpy(np.int64), rows["home"].to_numpy(bool)
-        first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for left, right in [(first, second)] if i == j else [(first, second), (second, first)]:
-            counts, root = join_block(ids, x, copies, home, left, right, least)
-            some = np.flatnonzero(counts)
-            out.append(pd.DataFrame({"class_id": ids[some], "links": counts[some], "other": ids[some]}))
-            moved = np.flatnonzero(root != np.arange(len(ids)))
-            out.append(pd.DataFrame({"class_id": ids[moved], "links": 0, "other": ids[root[moved]]}))
+        first = np.flatnonzero(own == i)
+        second = first if i == j else np.flatnonzero(own == j)
+        counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a, b in linked_pairs(x, pieces(home, first, second), least):
+            np.add.at(counts, a, copies[b])
+            np.add.at(counts, b, copies[a])
+            root = joined(root, a, b)
+        some, moved = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(ids)))
+        out = [pd.DataFrame({"class_id": ids[some], "links": counts[some], "other": ids[some]}), pd.DataFrame({"class_id": ids[moved], "links": 0, "other": ids[root[moved]]})]
         return pd.concat(out).astype("int64")
 
     return dealt.groupBy("label", "dim", "cell", "i", "j").applyInPandas(run, "class_id long, links long, other long")
