@@ -217,3 +217,26 @@ def test_matrix_text_rounds_ties_to_even(spark):
     m = spark.createDataFrame([(1, 0, 1, 0, values, "c", [(0, 1)], "n", None, ".")], f"row_id long, group_id int, ord long, sample int, bins array<float>, chrom string, blocks {S.BLOCKS}, name string, score double, strand string")
     want = ["nan" if v is None else f"{float(np.float32(v)):.6f}" for v in values]
     assert S.matrix_lines(m).first().line.split("\t")[6:] == want and want[:2] == ["-0.070312", "0.007812"]
+
+
+def test_kmeans_starts_share_passes(spark, monkeypatch):
+    """In one task or over blocks the best of the starts is the same; it is a fixed point and no worse than any start alone."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 5)) + 3 * rng.integers(0, 4, (400, 1))
+    vectors = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "row_id long, ord long, x array<double>").repartition(4)
+    held = {}
+    for limit in (1 << 20, 1):
+        monkeypatch.setattr(clusters, "HELD", limit)
+        held[limit] = {r.row_id: r.cluster for r in clusters.kmeans(vectors, 4, restarts=6).collect()}
+    assert held[1] == held[1 << 20] and len(held[1]) == 400
+    label = np.array([held[1][i] for i in range(400)])
+    centres = np.array([x[label == c].mean(0) for c in range(4)])
+    d = ((x[:, None] - centres) ** 2).sum(2)
+    assert (d.argmin(1) == label).all()
+    passes = []
+    monkeypatch.setattr(clusters, "_totals", lambda x, c, _whole=clusters._totals: passes.append(c.shape) or _whole(x, c))
+    hashes = np.arange(400, dtype=np.uint64)
+    best = clusters._best_centres(lambda c, s: clusters._drawn(x, hashes, c, s), lambda c: clusters._totals(x, c), 5, 4, 6, 300, 1e-5, 0)
+    assert passes[0][0] == passes[-1][0] == 6 and len(passes) < 302 and ((x[:, None] - best) ** 2).sum(2).min(1).sum() <= d.min(1).sum() * 1.2
+    same = vectors.withColumn("x", F.array(F.lit(1.0), F.lit(2.0)))
+    assert {r.cluster for r in clusters.kmeans(same, 3).collect()} == {0} and clusters.kmeans(same.limit(0), 3).count() == 0

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,8 @@ from tracklake.shipping import ship_code
 
 #: Rows whose distances a task may hold, 8 bytes for each pair; more are linked from centroids and sizes.
 WARD_ROWS = 8192
+#: Coordinates of the vectors that one task of k-means may hold.
+HELD = 1 << 20
 
 
 def row_vectors(matrix: DataFrame, samples: list[int] | None = None) -> DataFrame:
@@ -30,16 +31,121 @@ def _named(assigned: DataFrame) -> DataFrame:
     return assigned.join(F.broadcast(ranks), "label").drop("label").withColumn("name", F.concat(F.lit("cluster_"), (F.col("cluster") + 1).cast("string")))
 
 
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances (row, start, centre) of rows to the centres (start, centre, coordinate) of several starts."""
+    flat = centres.reshape(-1, x.shape[1])
+    d = (x * x).sum(1)[:, None] + (flat * flat).sum(1)[None, :] - 2 * (x @ flat.T)
+    return np.maximum(d, 0).reshape(len(x), *centres.shape[:2])
+
+
+def _totals(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Sums of each centre's rows, with their number and squared distances as two more coordinates."""
+    d = _squares(x, centres)
+    at = d.argmin(2)
+    mine = (at[:, :, None] == np.arange(centres.shape[1])).reshape(len(x), -1).astype(float)
+    cost = (mine * d.reshape(len(x), -1)).sum(0)
+    return np.hstack([mine.T @ x, mine.sum(0)[:, None], cost[:, None]]).reshape(*centres.shape[:2], -1)
+
+
+def _drawn(x: np.ndarray, hashes: np.ndarray, centres: np.ndarray, seeds: list[int]) -> np.ndarray:
+    """For each start the row drawn by its squared distance to the nearest centre (by chance alone without centres), before it its key: the least key of all wins."""
+    with np.errstate(over="ignore", divide="ignore"):
+        z = hashes[:, None] + np.array(seeds, np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+        chance = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
+        weight = _squares(x, centres).min(2) if centres.shape[1] else np.ones(chance.shape)
+        keys = np.where(weight > 0, -np.log1p(-chance) / weight, np.inf)
+    at = keys.argmin(0)
+    return np.hstack([keys[at, np.arange(len(seeds))][:, None], x[at]])
+
+
+def _best_centres(drawn, totals, dim: int, k: int, restarts: int, iterations: int, tolerance: float, seed: int) -> np.ndarray:
+    """Centres of the start of least cost. All starts move in the same pass over the rows: `drawn` and `totals` are such passes."""
+    centres = np.zeros((restarts, 0, dim))
+    for c in range(k):
+        centres = np.concatenate([centres, drawn(centres, [(seed + r) * k + c for r in range(restarts)])[:, None, 1:]], axis=1)
+    moving = np.arange(restarts)
+    for _ in range(iterations):
+        sums = totals(centres[moving])
+        there = sums[:, :, dim : dim + 1]
+        new = np.where(there > 0, sums[:, :, :dim] / np.maximum(there, 1), centres[moving])
+        far = (((new - centres[moving]) ** 2).sum(2) > tolerance**2).any(1)
+        centres[moving] = new
+        moving = moving[far]
+        if not len(moving):
+            break
+    return centres[totals(centres)[:, :, dim + 1].sum(1).argmin()]
+
+
 def kmeans(vectors: DataFrame, k: int, restarts: int = 20, iterations: int = 300, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
-    """Best of several starts by cost; empty clusters do not appear."""
-    features = vectors.withColumn("features", array_to_vector("x")).persist()
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=k, maxIter=iterations, tol=tolerance, seed=seed + r, predictionCol="label").fit(features)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    out = _named(best.transform(features).select("row_id", "ord", "x", "label"))
-    return out
+    """Best of several starts by cost, each from centres drawn by squared distance; empty clusters do not appear.
+
+    All starts share their passes. Up to HELD coordinates they run in one task, beyond that a pass is a job over blocks of rows.
+    """
+    ship_code(vectors.sparkSession)
+    options = {"k": k, "restarts": restarts, "iterations": iterations, "tolerance": tolerance, "seed": seed}
+
+    def packed(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([b.column(1).flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())], ["n", "h", "x"])
+
+    blocks = vectors.select(F.xxhash64("row_id").alias("h"), "x").mapInArrow(packed, "n long, h binary, x binary").persist()
+    unpacked = lambda n, h, x: (np.frombuffer(x).reshape(n, -1), np.frombuffer(h, np.uint64))
+    try:
+        size = blocks.agg(F.sum("n"), F.sum(F.length("x")), F.min(F.length("x") / F.col("n")), F.max(F.length("x") / F.col("n"))).first()
+        if not size[0]:
+            return _named(vectors.select("row_id", "ord", "x", F.lit(0).alias("label")))
+        if size[2] != size[3]:
+            raise ValueError("vectors differ in length")
+        dim = int(size[3]) // 8
+
+        def alone(rows: pd.DataFrame) -> pd.DataFrame:
+            parts = [unpacked(*r) for r in zip(rows["n"], rows["h"], rows["x"])]
+            x, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.argsort(h, kind="stable")  # whatever the blocks were
+            x, h = x[order], h[order]
+            best = _best_centres(lambda c, seeds: _drawn(x, h, c, seeds), lambda c: _totals(x, c), dim, **options)
+            return pd.DataFrame({"centres": [best.tobytes()]})
+
+        def over_blocks(fn, add):
+            """fn of the blocks, added up in each task: a flat array for each."""
+
+            def run(batches):
+                out = None
+                for b in batches:
+                    for r in zip(*(c.to_pylist() for c in b.columns)):
+                        one = fn(*unpacked(*r))
+                        out = one if out is None else add(out, one)
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["v"])
+
+            return [np.frombuffer(r["v"]) for r in blocks.mapInArrow(run, "v binary").collect()]
+
+        if size[1] <= 8 * HELD:
+            centres = np.frombuffer(blocks.groupBy(F.lit(0).alias("one")).applyInPandas(lambda rows: alone(rows), "centres binary").first()["centres"]).reshape(-1, dim)
+        else:
+
+            def drawn(c, seeds):
+                got = [g.reshape(len(seeds), -1) for g in over_blocks(lambda x, h: _drawn(x, h, c, seeds), lambda a, b: np.where(b[:, :1] < a[:, :1], b, a))]
+                every = np.array(got)
+                return every[every[:, :, 0].argmin(0), np.arange(len(seeds))]
+
+            def totals(c):
+                return sum(g.reshape(*c.shape[:2], -1) for g in over_blocks(lambda x, h: _totals(x, c), lambda a, b: a + b))
+
+            centres = _best_centres(drawn, totals, dim, **options)
+    finally:
+        blocks.unpersist()
+
+    def labelled(batches):
+        for b in batches:
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_squares(x, centres[None])[:, 0].argmin(1), pa.int32())], ["row_id", "ord", "x", "label"])
+
+    kind = dict(vectors.dtypes)
+    return _named(vectors.select("row_id", "ord", "x").mapInArrow(labelled, f"row_id {kind['row_id']}, ord {kind['ord']}, x array<double>, label int"))
 
 
 def ward_tree(x: np.ndarray) -> list[tuple[int, int, float]]:
