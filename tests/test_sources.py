@@ -236,7 +236,7 @@ def test_kmeans_starts_share_passes(spark, monkeypatch):
     passes = []
     monkeypatch.setattr(clusters, "_totals", lambda x, c, _whole=clusters._totals: passes.append(c.shape) or _whole(x, c))
     hashes = np.arange(400, dtype=np.uint64)
-    best = clusters._best_centres(lambda c, s: clusters._drawn(x, hashes, c, s), lambda c: clusters._totals(x, c), 5, 4, 6, 300, 1e-5, 0)
+    best, _ = clusters._best_centres(lambda c, s: clusters._drawn(x, hashes, c, s), lambda c: clusters._totals(x, c), 5, 4, list(range(6)), 300, 1e-5)
     assert passes[0][0] == passes[-1][0] == 6 and len(passes) < 302 and ((x[:, None] - best) ** 2).sum(2).min(1).sum() <= d.min(1).sum() * 1.2
     same = vectors.withColumn("x", F.array(F.lit(1.0), F.lit(2.0)))
     assert {r.cluster for r in clusters.kmeans(same, 3).collect()} == {0} and clusters.kmeans(same.limit(0), 3).count() == 0

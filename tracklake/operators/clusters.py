@@ -12,8 +12,8 @@ from tracklake.shipping import ship_code
 
 #: Rows whose distances a task may hold, 8 bytes for each pair; more are linked from centroids and sizes.
 WARD_ROWS = 8192
-#: Coordinates of the vectors that one task of k-means may hold.
-HELD = 1 << 20
+#: Coordinates of the vectors that one task of k-means may hold; tasks that share the starts then.
+HELD, PARTS = 1 << 23, 5
 
 
 def row_vectors(matrix: DataFrame, samples: list[int] | None = None) -> DataFrame:
@@ -39,12 +39,24 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _totals(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Sums of each centre's rows, with their number and squared distances as two more coordinates."""
-    d = _squares(x, centres)
-    at = d.argmin(2)
-    mine = (at[:, :, None] == np.arange(centres.shape[1])).reshape(len(x), -1).astype(float)
-    cost = (mine * d.reshape(len(x), -1)).sum(0)
-    return np.hstack([mine.T @ x, mine.sum(0)[:, None], cost[:, None]]).reshape(*centres.shape[:2], -1)
+    """Sums of each centre's rows, with their number and a share of the start's cost (less that of the origin) as two more coordinates."""
+    starts, k, dim = centres.shape
+    flat = centres.transpose(1, 0, 2).reshape(-1, dim)
+    half = (flat * flat).sum(1)[:, None] / 2
+    sums, there, cost = np.zeros((k * starts, dim)), np.zeros(k * starts), np.zeros(starts)
+    for s in range(0, len(x), 4096):
+        rows = x[s : s + 4096]
+        score = (half - flat @ rows.T).reshape(k, starts, -1)
+        least = score.min(0)
+        mine = score == least
+        if np.count_nonzero(mine) > least.size:  # equal distances: the first centre's
+            mine = score.argmin(0) == np.arange(k)[:, None, None]
+        mine = mine.reshape(k * starts, -1).astype(float)
+        sums += mine @ rows
+        there += mine.sum(1)
+        cost += least.sum(1)
+    out = np.hstack([sums, there[:, None], np.tile(cost / k, k)[:, None]])
+    return out.reshape(k, starts, -1).transpose(1, 0, 2)
 
 
 def _drawn(x: np.ndarray, hashes: np.ndarray, centres: np.ndarray, seeds: list[int]) -> np.ndarray:
@@ -60,12 +72,12 @@ def _drawn(x: np.ndarray, hashes: np.ndarray, centres: np.ndarray, seeds: list[i
     return np.hstack([keys[at, np.arange(len(seeds))][:, None], x[at]])
 
 
-def _best_centres(drawn, totals, dim: int, k: int, restarts: int, iterations: int, tolerance: float, seed: int) -> np.ndarray:
-    """Centres of the start of least cost. All starts move in the same pass over the rows: `drawn` and `totals` are such passes."""
-    centres = np.zeros((restarts, 0, dim))
+def _best_centres(drawn, totals, dim: int, k: int, starts: list[int], iterations: int, tolerance: float) -> tuple[np.ndarray, float]:
+    """Centres and cost of the start of least cost; starts are given by their seeds. All starts move in the same pass over the rows: `drawn` and `totals` are such passes."""
+    centres = np.zeros((len(starts), 0, dim))
     for c in range(k):
-        centres = np.concatenate([centres, drawn(centres, [(seed + r) * k + c for r in range(restarts)])[:, None, 1:]], axis=1)
-    moving = np.arange(restarts)
+        centres = np.concatenate([centres, drawn(centres, [r * k + c for r in starts])[:, None, 1:]], axis=1)
+    moving = np.arange(len(starts))
     for _ in range(iterations):
         sums = totals(centres[moving])
         there = sums[:, :, dim : dim + 1]
@@ -75,16 +87,17 @@ def _best_centres(drawn, totals, dim: int, k: int, restarts: int, iterations: in
         moving = moving[far]
         if not len(moving):
             break
-    return centres[totals(centres)[:, :, dim + 1].sum(1).argmin()]
+    cost = totals(centres)[:, :, dim + 1].sum(1)
+    return centres[cost.argmin()], float(cost.min())
 
 
 def kmeans(vectors: DataFrame, k: int, restarts: int = 20, iterations: int = 300, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
     """Best of several starts by cost, each from centres drawn by squared distance; empty clusters do not appear.
 
-    All starts share their passes. Up to HELD coordinates they run in one task, beyond that a pass is a job over blocks of rows.
+    Starts share their passes. Up to HELD coordinates PARTS tasks hold all rows, beyond that a pass is a job over blocks of rows.
     """
     ship_code(vectors.sparkSession)
-    options = {"k": k, "restarts": restarts, "iterations": iterations, "tolerance": tolerance, "seed": seed}
+    starts = [seed + r for r in range(restarts)]
 
     def packed(batches):
         for b in batches:
@@ -99,15 +112,15 @@ def kmeans(vectors: DataFrame, k: int, restarts: int = 20, iterations: int = 300
             return _named(vectors.select("row_id", "ord", "x", F.lit(0).alias("label")))
         if size[2] != size[3]:
             raise ValueError("vectors differ in length")
-        dim = int(size[3]) // 8
+        dim, parts = int(size[3]) // 8, min(restarts, PARTS)
 
         def alone(rows: pd.DataFrame) -> pd.DataFrame:
-            parts = [unpacked(*r) for r in zip(rows["n"], rows["h"], rows["x"])]
-            x, h = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            held = [unpacked(*r) for r in zip(rows["n"], rows["h"], rows["x"])]
+            x, h = (np.concatenate(v) for v in zip(*held))
             order = np.argsort(h, kind="stable")  # whatever the blocks were
             x, h = x[order], h[order]
-            best = _best_centres(lambda c, seeds: _drawn(x, h, c, seeds), lambda c: _totals(x, c), dim, **options)
-            return pd.DataFrame({"centres": [best.tobytes()]})
+            best = _best_centres(lambda c, seeds: _drawn(x, h, c, seeds), lambda c: _totals(x, c), dim, k, starts[rows["part"].iloc[0] :: parts], iterations, tolerance)
+            return pd.DataFrame({"centres": [best[0].tobytes()], "cost": [best[1]]})
 
         def over_blocks(fn, add):
             """fn of the blocks, added up in each task: a flat array for each."""
@@ -124,7 +137,8 @@ def kmeans(vectors: DataFrame, k: int, restarts: int = 20, iterations: int = 300
             return [np.frombuffer(r["v"]) for r in blocks.mapInArrow(run, "v binary").collect()]
 
         if size[1] <= 8 * HELD:
-            centres = np.frombuffer(blocks.groupBy(F.lit(0).alias("one")).applyInPandas(lambda rows: alone(rows), "centres binary").first()["centres"]).reshape(-1, dim)
+            dealt = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("part").applyInPandas(lambda rows: alone(rows), "centres binary, cost double")
+            centres = np.frombuffer(min(dealt.collect(), key=lambda r: (r["cost"], r["centres"]))["centres"]).reshape(-1, dim)
         else:
 
             def drawn(c, seeds):
@@ -135,7 +149,7 @@ def kmeans(vectors: DataFrame, k: int, restarts: int = 20, iterations: int = 300
             def totals(c):
                 return sum(g.reshape(*c.shape[:2], -1) for g in over_blocks(lambda x, h: _totals(x, c), lambda a, b: a + b))
 
-            centres = _best_centres(drawn, totals, dim, **options)
+            centres, _ = _best_centres(drawn, totals, dim, k, starts, iterations, tolerance)
     finally:
         blocks.unpersist()
 
