@@ -196,6 +196,55 @@ def ward_tree(x: np.ndarray) -> list[tuple[int, int, float]]:
     return _numbered(merges, n)
 
 
+def _nearest(centre: np.ndarray, size: np.ndarray, alive: np.ndarray, part: np.ndarray, tile: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest other cluster of each of `part`, and Ward's distance to it.
+
+    Single precision leaves the few clusters that may be nearest within its error; double precision decides between them.
+    """
+    dim, own = centre.shape[1], np.searchsorted(alive, part)
+    square = (centre * centre).sum(1)
+    plain = size[alive].max() == size[alive].min()
+    # Half a squared distance less the error of its product, and of what is cut from it.
+    error = (dim + 16) * 1.2e-7 * max(float(square[alive].max()), 1e-300) * 2
+    left = np.hstack([-centre[part], square[part][:, None] / 2 - error, np.ones((len(part), 1))]).astype(np.float32)
+    inverse = (1 / size).astype(np.float32)
+
+    def exact(a, b):
+        d = np.maximum(square[a] + square[b] - 2 * np.einsum("ij,ij->i", centre[a], centre[b]), 0)
+        return d * 2 * size[a] * size[b] / (size[a] + size[b])
+
+    top, found = np.full(len(part), np.inf, np.float32), []
+    for s in range(0, len(alive), tile):
+        cols = alive[s : s + tile]
+        right = np.ascontiguousarray(np.hstack([centre[cols], np.ones((len(cols), 1)), square[cols][:, None] / 2]).astype(np.float32).T)
+        low = left @ right
+        if not plain:
+            low /= inverse[part][:, None] + inverse[cols][None, :]
+        here = np.flatnonzero((own >= s) & (own < s + len(cols)))
+        low[here, own[here] - s] = np.inf
+        at = low.argmin(1)
+        weight = 1 / (inverse[part] + inverse[cols[at]]) if not plain else 1
+        least = low[np.arange(len(part)), at]
+        top = np.minimum(top, least + 2 * error * weight + np.abs(least) * 4e-6).astype(np.float32)
+        a, b = np.divmod(np.flatnonzero(low <= top[:, None]), len(cols))
+        finite = cols[b] != part[a]
+        a, b = a[finite], b[finite]
+        if 16 * len(a) > low.size:  # very many equal distances: one of each row
+            d = np.maximum(square[part][:, None] + square[cols][None, :] - 2 * centre[part] @ centre[cols].T, 0)
+            d *= 2 * size[part][:, None] * size[cols][None, :] / (size[part][:, None] + size[cols][None, :])
+            d[here, own[here] - s] = np.inf
+            a, b = np.arange(len(part)), d.argmin(1)
+            a, b = a[cols[b] != part], b[cols[b] != part]
+        found.append((a, cols[b], low[a, b]))
+    a, b, low = (np.concatenate(v) for v in zip(*found))
+    some = low <= top[a]
+    a, b = a[some], b[some]
+    d = np.concatenate([exact(part[a[k : k + 16_384]], b[k : k + 16_384]) for k in range(0, len(a), 16_384)])
+    order = np.lexsort((b, d, a))
+    first = order[np.flatnonzero(np.diff(a[order], prepend=-1))]
+    return b[first], d[first]
+
+
 def ward_tree_of_vectors(x: np.ndarray, block: int = 1024) -> list[tuple[int, int, float]]:
     """As ward_tree, from centroids and sizes: memory for the rows and `block` rows of distances.
 
@@ -204,18 +253,13 @@ def ward_tree_of_vectors(x: np.ndarray, block: int = 1024) -> list[tuple[int, in
     another order than in ward_tree.
     """
     n = len(x)
-    centre, size, alive = np.array(x, float), np.ones(n), np.arange(n)
+    centre, size, alive = x - x.mean(0), np.ones(n), np.arange(n)  # small numbers have small errors
     near, far, done = np.full(n, -1), np.full(n, np.inf), np.zeros(n)
     stale, merges = alive, []
     while len(alive) > 1:
-        points, square = centre[alive], (centre[alive] ** 2).sum(1)
         for s in range(0, len(stale), block):
             part = stale[s : s + block]
-            d = np.maximum((centre[part] ** 2).sum(1)[:, None] + square[None, :] - 2 * centre[part] @ points.T, 0)
-            d *= 2 * size[part][:, None] * size[alive][None, :] / (size[part][:, None] + size[alive][None, :])
-            d[np.arange(len(part)), np.searchsorted(alive, part)] = np.inf
-            at = d.argmin(1)
-            near[part], far[part] = alive[at], d[np.arange(len(part)), at]
+            near[part], far[part] = _nearest(centre, size, alive, part)
         pairs = alive[(near[near[alive]] == alive) & (alive < near[alive])]
         if not len(pairs):
             # Equal distances in a ring: the nearest pair of all merges.
