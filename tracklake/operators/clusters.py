@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +15,8 @@ from tracklake.shipping import ship_code
 
 #: Rows whose distances a task may hold, 8 bytes for each pair; more are linked from centroids and sizes.
 WARD_ROWS = 8192
+#: Threads of Ward's one task: nothing else runs beside it.
+THREADS = 2
 #: Coordinates of the vectors that one task of k-means may hold; tasks that share the starts then.
 HELD, PARTS = 1 << 23, 5
 
@@ -196,7 +201,7 @@ def ward_tree(x: np.ndarray) -> list[tuple[int, int, float]]:
     return _numbered(merges, n)
 
 
-def _nearest(centre: np.ndarray, size: np.ndarray, alive: np.ndarray, part: np.ndarray, tile: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(centre: np.ndarray, size: np.ndarray, alive: np.ndarray, part: np.ndarray, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """The nearest other cluster of each of `part`, and Ward's distance to it.
 
     Single precision leaves the few clusters that may be nearest within its error; double precision decides between them.
@@ -245,7 +250,7 @@ def _nearest(centre: np.ndarray, size: np.ndarray, alive: np.ndarray, part: np.n
     return b[first], d[first]
 
 
-def ward_tree_of_vectors(x: np.ndarray, block: int = 1024) -> list[tuple[int, int, float]]:
+def ward_tree_of_vectors(x: np.ndarray, block: int = 256) -> list[tuple[int, int, float]]:
     """As ward_tree, from centroids and sizes: memory for the rows and `block` rows of distances.
 
     In each round all pairs that are each other's nearest merge; by Ward's criterion a merged cluster is never nearer to a
@@ -255,11 +260,12 @@ def ward_tree_of_vectors(x: np.ndarray, block: int = 1024) -> list[tuple[int, in
     n = len(x)
     centre, size, alive = x - x.mean(0), np.ones(n), np.arange(n)  # small numbers have small errors
     near, far, done = np.full(n, -1), np.full(n, np.inf), np.zeros(n)
-    stale, merges = alive, []
+    stale, merges, pool = alive, [], ThreadPool(THREADS)
     while len(alive) > 1:
-        for s in range(0, len(stale), block):
-            part = stale[s : s + block]
-            near[part], far[part] = _nearest(centre, size, alive, part)
+        parts = [stale[s : s + block] for s in range(0, len(stale), block)]
+        look = partial(_nearest, centre, size, alive)
+        for part, (b, d) in zip(parts, pool.map(look, parts)):
+            near[part], far[part] = b, d
         pairs = alive[(near[near[alive]] == alive) & (alive < near[alive])]
         if not len(pairs):
             # Equal distances in a ring: the nearest pair of all merges.
@@ -275,6 +281,7 @@ def ward_tree_of_vectors(x: np.ndarray, block: int = 1024) -> list[tuple[int, in
             gone += [a, b]
         alive = np.setdiff1d(alive, [b for _, b, _ in merges[-len(pairs) :]], assume_unique=True)
         stale = alive[np.isin(alive, gone) | np.isin(near[alive], gone)]
+    pool.close()
     return _numbered(merges, n)
 
 
