@@ -240,3 +240,14 @@ def test_kmeans_starts_share_passes(spark, monkeypatch):
     assert passes[0][0] == passes[-1][0] == 6 and len(passes) < 302 and ((x[:, None] - best) ** 2).sum(2).min(1).sum() <= d.min(1).sum() * 1.2
     same = vectors.withColumn("x", F.array(F.lit(1.0), F.lit(2.0)))
     assert {r.cluster for r in clusters.kmeans(same, 3).collect()} == {0} and clusters.kmeans(same.limit(0), 3).count() == 0
+
+
+def test_ward_nearest_in_single_precision():
+    """The nearest cluster is that of double precision, among near ties, equal rows and sizes."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(200, 6)), 1 + 1e-7 * rng.normal(size=(60, 6)), np.ones((40, 6))])
+    size, alive = rng.integers(1, 4, 300).astype(float), np.arange(0, 300, 2)
+    d = ((x[alive][:, None] - x[alive][None]) ** 2).sum(2) * 2 / (1 / size[alive][:, None] + 1 / size[alive][None])
+    np.fill_diagonal(d, np.inf)
+    near, far = clusters._nearest(x, size, alive, alive, tile=32)
+    assert (near != alive).all() and np.allclose(far, d.min(1), rtol=1e-9, atol=1e-13) and (near[:100] == alive[d.argmin(1)][:100]).all()
